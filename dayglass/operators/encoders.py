@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dayglass.operators.joins import lookup_join
+from dayglass.operators.joins import largest_keys, lookup_join
 from dayglass.operators.ordering import add_range, cut_points
 from dayglass.session import chunk_count, cut_lineage
 
@@ -104,14 +104,23 @@ def _key(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(_NULL))
 
 
-def _attach(df: DataFrame, fitted: DataFrame, column: str, row_id: str, values: dict[str, str]) -> DataFrame:
+def _entries(fitted: DataFrame, column: str) -> DataFrame:
+    one = fitted.where(F.col("column") == column)
+    return one.withColumn("__key", F.coalesce("value", F.lit(_NULL))).drop("column", "value")
+
+
+def _hot(fitted: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Per column the values whose rows are spread in a join; the NULL entry is always among them."""
+    found = largest_keys({c: _entries(fitted, c) for c in columns}, "__key", "n")
+    return {c: sorted({*keys, _NULL}) for c, keys in found.items()}
+
+
+def _attach(
+    df: DataFrame, fitted: DataFrame, column: str, row_id: str, values: dict[str, str], hot: list[str]
+) -> DataFrame:
     """Join the fitted figures of one column to the rows; NULL categories match the NULL entry."""
-    one = fitted.where(F.col("column") == column).select(
-        F.coalesce("value", F.lit(_NULL)).alias("__key"),
-        F.col("n").alias("__n"),
-        *[F.col(source).alias(out) for source, out in values.items()],
-    )
-    return lookup_join(df.withColumn("__key", _key(column)), one, ["__key"], "__n", row_id).drop("__key", "__n")
+    one = _entries(fitted, column).select("__key", *[F.col(source).alias(out) for source, out in values.items()])
+    return lookup_join(df.withColumn("__key", _key(column)), one, "__key", hot, row_id).drop("__key")
 
 
 def apply_label_codes(
@@ -122,8 +131,9 @@ def apply_label_codes(
     if unseen_to_mode:
         best = F.min_by("code", F.struct((-F.col("n")).alias("a"), F.col("code").alias("b")))
         modes = dict(codes.where(F.col("value").isNotNull()).groupBy("column").agg(best).collect())
+    hot = _hot(codes, columns)
     for c in columns:
-        df = _attach(df, codes, c, row_id, {"code": "__code"})
+        df = _attach(df, codes, c, row_id, {"code": "__code"}, hot[c])
         code = F.coalesce("__code", F.lit(modes[c])) if unseen_to_mode else F.col("__code")
         df = df.withColumn(c, code.cast("int")).drop("__code")
     return df
@@ -158,12 +168,13 @@ def align_categories(
     )
     shared = cut_lineage(counted.where(F.col("value").isNotNull()))
     top = dict(_top_value(shared, texts).collect())
+    hot = _hot(shared, columns)
     for c in columns:
         kind = train.schema[c].dataType
-        train = _attach(train, shared, c, row_id, {"value": "__seen"}).withColumn(
+        train = _attach(train, shared, c, row_id, {"n": "__seen"}, hot[c]).withColumn(
             c, F.when(F.col("__seen").isNotNull(), F.col(c)).otherwise(F.lit("-1").cast(kind))
         ).drop("__seen")
-        val = _attach(val, shared, c, row_id, {"value": "__seen"}).withColumn(
+        val = _attach(val, shared, c, row_id, {"n": "__seen"}, hot[c]).withColumn(
             c, F.when(F.col("__seen").isNotNull(), F.col(c)).otherwise(F.lit(top.get(c, "-1")).cast(kind))
         ).drop("__seen")
     return train, val
@@ -188,9 +199,9 @@ def apply_target_stats(
     df: DataFrame, stats: DataFrame, columns: list[str], prior: float, row_id: str, strength: float = 1.0
 ) -> DataFrame:
     """(s + prior * strength) / (n + strength); the prior for categories seen once, unseen or NULL."""
-    p = F.lit(prior)
+    p, hot = F.lit(prior), _hot(stats, columns)
     for c in columns:
-        df = _attach(df, stats, c, row_id, {"n": "__count", "s": "__sum"})
+        df = _attach(df, stats, c, row_id, {"n": "__count", "s": "__sum"}, hot[c])
         value = F.when(F.col("__count") > 1, (F.col("__sum") + p * strength) / (F.col("__count") + strength))
         df = df.withColumn(c, F.coalesce(value, p)).drop("__count", "__sum")
     return df
@@ -206,9 +217,9 @@ def apply_smoothed_stats(
     smoothing: float = 10.0,
 ) -> DataFrame:
     """Mean of the category mixed with the prior by a logistic weight of the category size."""
-    p = F.lit(prior)
+    p, hot = F.lit(prior), _hot(stats, columns)
     for c in columns:
-        df = _attach(df, stats, c, row_id, {"n": "__count", "s": "__sum"})
+        df = _attach(df, stats, c, row_id, {"n": "__count", "s": "__sum"}, hot[c])
         weight = 1 / (1 + F.exp(-(F.col("__count") - min_samples) / smoothing))
         mixed = weight * F.col("__sum") / F.col("__count") + (1 - weight) * p
         df = df.withColumn(c, F.coalesce(mixed, p)).drop("__count", "__sum")
@@ -268,39 +279,37 @@ def day_out_scores(
     """
     train = df if last_day is None else df.where(F.col(day) < last_day)
     y = _label(label)
-    per_day = train.groupBy(day).agg(F.count("*").alias("n"), F.sum(y).alias("s"))
     # At most one row per day: the rate of all other days.
-    totals = per_day.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    own = {r[day]: (r["n"], r["s"]) for r in per_day.collect()}
-    rate = F.lit(totals["s"] / totals["n"])
-    if own:
-        table = F.create_map(
-            *[F.lit(x) for d, (n, s) in own.items() if totals["n"] > n for x in (d, (totals["s"] - s) / (totals["n"] - n))]
-        )
-        rate = F.coalesce(table[F.col(day)], rate)
+    own = train.groupBy(day).agg(F.count("*").alias("n"), F.sum(y).alias("s")).collect()
+    rows, hits = sum(r["n"] for r in own), sum(r["s"] for r in own)
+    others = [(r[day], (hits - r["s"]) / (rows - r["n"])) for r in own if rows > r["n"]]
+    rate = F.lit(hits / rows)
+    if others:
+        rate = F.coalesce(F.create_map(*[F.lit(x) for pair in others for x in pair])[F.col(day)], rate)
     columns = list(dict.fromkeys(models.values()))
+    cells = (
+        to_long(train.withColumn("__y", y), columns, [day, "__y"])
+        .where(F.col("value").isNotNull())
+        .groupBy("column", "value", day)
+        .agg(F.count("*").alias("n"), F.sum("__y").alias("s"))
+    )
+    # One row per category with its totals and a map of its days (at most one entry per day).
+    fitted = cut_lineage(
+        cells.groupBy("column", "value").agg(
+            F.sum("n").alias("n"),
+            F.sum("s").alias("s"),
+            F.map_from_entries(F.collect_list(F.struct(F.col(day), F.struct("n", "s")))).alias("days"),
+        )
+    )
+    hot = _hot(fitted, columns)
     out = df.select(row_id, day, *keep, *columns).withColumn("__prior", rate)
     for name, c in models.items():
-        cells = (
-            train.where(F.col(c).isNotNull())
-            .groupBy(F.col(c).alias("__key"), F.col(day).alias("__day"))
-            .agg(F.count("*").alias("__n"), F.sum(y).alias("__s"))
-        )
-        # One row per category with its totals and a small map of its days.
-        table = cells.groupBy("__key").agg(
-            F.sum("__n").alias("__n"),
-            F.sum("__s").alias("__s"),
-            F.map_from_entries(F.collect_list(F.struct("__day", F.struct("__n", "__s")))).alias("__days"),
-        )
+        joined = _attach(out, fitted, c, row_id, {"n": "__n", "s": "__s", "days": "__days"}, hot[c])
         own_day = F.col("__days")[F.col(day)]
-        n = F.col("__n") - F.coalesce(own_day["__n"], F.lit(0))
-        s = F.col("__s") - F.coalesce(own_day["__s"], F.lit(0.0))
+        n = F.col("__n") - F.coalesce(own_day["n"], F.lit(0))
+        s = F.col("__s") - F.coalesce(own_day["s"], F.lit(0.0))
         score = F.coalesce(F.when(n > 1, (s + F.col("__prior")) / (n + 1)), F.col("__prior"))
-        out = (
-            lookup_join(out.withColumn("__key", F.col(c)), table, ["__key"], "__n", row_id)
-            .withColumn(name, score)
-            .drop("__key", "__n", "__s", "__days")
-        )
+        out = joined.withColumn(name, score).drop("__n", "__s", "__days")
     return out.select(row_id, day, *keep, *models)
 
 
@@ -332,7 +341,7 @@ def binary_encode(df: DataFrame, codes: DataFrame, column: str, row_id: str) ->
     """Ordinal code (from 1) of the category in base 2, one column per bit, highest bit first; unseen is 0."""
     known = codes.where(F.col("column") == column)
     width = max(1, int(known.agg(F.max("code")).first()[0] + 1).bit_length())
-    coded = _attach(df, codes, column, row_id, {"code": "__code"})
+    coded = _attach(df, codes, column, row_id, {"code": "__code"}, _hot(codes, [column])[column])
     ordinal = F.coalesce(F.col("__code") + 1, F.lit(0))
     bits = [
         F.shiftright(ordinal, width - 1 - i).bitwiseAND(F.lit(1)).cast("int").alias(f"{column}_{i}") for i in range(width)

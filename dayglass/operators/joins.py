@@ -8,32 +8,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayglass.operators.ordering import global_rank
-from dayglass.session import chunk_count
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, spread_by: str) -> DataFrame:
-    """Left join of ``rows`` with a unique-key ``table`` that is safe for hot and NULL keys.
+SALTS = 64
+HOT_KEYS = 1000
 
-    ``table[weight]`` counts the rows behind a key. A key with more than one part's share of them (there are
-    fewer such keys than parts) is repeated with a salt, and its rows are spread over the salts. Spark still
-    broadcasts the table instead when its size is under the broadcast limit.
+
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, hot: list, spread_by: str) -> DataFrame:
+    """Left join of ``rows`` with a unique-key ``table``, safe for keys that hold a large share of the rows.
+
+    Rows of a hot key are spread over salts and its table entry is repeated once per salt. ``hot`` is the short
+    list of the largest keys (see :func:`largest_keys`). Spark still broadcasts the table instead of shuffling
+    when its size is under the broadcast limit.
+    """
+    if not hot:
+        return rows.join(table, key, "left")
+    is_hot = F.col(key).isin(hot)
+    salt = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = table.withColumn("__salt", F.explode(copies))
+    return rows.withColumn("__salt", salt).join(salted, [key, "__salt"], "left").drop("__salt")
+
+
+def largest_keys(tables: dict[str, DataFrame], key: str, weight: str) -> dict[str, list]:
+    """The keys with the most rows behind them, per table, in one job.
+
+    A key outside the list holds less than one part in ``HOT_KEYS`` of the rows.
     """
-    parts = chunk_count(rows.sparkSession)
-    salts = min(parts, 64)
-    total = table.agg(F.sum(weight)).scalar()
-    hot = table.where(F.col(weight) * parts > total)
-    hot_keys = hot.agg(F.collect_list(F.struct(*on))).scalar()
-    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
-    salted_rows = rows.withColumn(
-        "__salt", F.when(missing | F.array_contains(hot_keys, F.struct(*on)), salt).otherwise(0)
-    )
-    is_hot = F.col(weight) * parts > total
-    salted_table = table.withColumn(
-        "__salt",
-        F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    )
-    return salted_rows.join(salted_table, [*on, "__salt"], "left").drop("__salt")
+    tops = [
+        t.orderBy(F.col(weight).desc()).limit(HOT_KEYS).select(F.lit(name).alias("name"), F.col(key).alias("key"))
+        for name, t in tables.items()
+    ]
+    found: dict[str, list] = {name: [] for name in tables}
+    for row in reduce(DataFrame.unionByName, tops).collect():
+        found[row["name"]].append(row["key"])
+    return found
 
 
 def join_scores(tables: dict[str, DataFrame], row_id: str, score: str = "score") -> DataFrame:

@@ -98,7 +98,7 @@ def multi_label_weights(df: DataFrame, labels: str, known: list | None = None) -
     rows = df.select(F.count("*")).scalar()
     counts = df.select(F.explode(F.array_distinct(labels)).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
     if known is not None:
-        names = df.sparkSession.createDataFrame([(k,) for k in known], ["label"])
+        names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in known])).alias("label"))
         counts = names.join(counts, "label", "left")
     k = counts.select(F.count("*")).scalar()
     return counts.select("label", F.coalesce(rows / (k * F.col("n")), F.lit(1.0)).alias("weight"))
