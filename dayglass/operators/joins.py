@@ -11,7 +11,7 @@ from dayglass.operators.ordering import global_rank
 
 
 SALTS = 64
-HOT_KEYS = 1000
+HOT_KEYS = 128
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, key: str, hot: list, spread_by: str) -> DataFrame:
