@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,38 +135,17 @@ def fit_counters(df: DataFrame, columns: list[str], digits: int = 9) -> Spread:
 
 
 def covariance(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(i, j, cov) of the upper triangle, sample covariance.
+    """(i, j, cov) of the upper triangle, sample covariance over the rows without NULLs.
 
-    Each task folds its rows into one d x d product sum, so only those small matrices are moved, whatever the
-    number of rows.
+    Spark ML sums the d x d products inside the tasks; only matrices of that size reach the driver.
     """
-    import numpy as np
-
-    d = len(columns)
-    shift_row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
-    shift = np.array([shift_row[c] or 0.0 for c in columns])
-    upper = [(i, j) for i in range(d) for j in range(i, d)]
-
-    def fold(batches):
-        n, sums, crossed = 0, np.zeros(d), np.zeros((d, d))
-        for batch in batches:
-            x = batch.to_numpy(dtype=float) - shift
-            n, sums, crossed = n + len(x), sums + x.sum(axis=0), crossed + x.T @ x
-        if n:
-            import pandas as pd
-
-            yield pd.DataFrame(
-                {
-                    "i": [i for i, _ in upper],
-                    "j": [j for _, j in upper],
-                    "n": n,
-                    "si": [sums[i] for i, _ in upper],
-                    "sj": [sums[j] for _, j in upper],
-                    "sij": [crossed[i, j] for i, j in upper],
-                }
-            )
-
     complete = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    parts = complete.mapInPandas(fold, "i int, j int, n long, si double, sj double, sij double")
-    n, si, sj, sij = (F.sum(c) for c in ("n", "si", "sj", "sij"))
-    return parts.groupBy("i", "j").agg(((sij - si * sj / n) / (n - 1)).alias("cov"))
+    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(complete).select("features")
+    correlation = Correlation.corr(vectors, "features").first()[0].toArray()
+    stds = vectors.select(Summarizer.std(F.col("features")).alias("std")).first()["std"].toArray()
+    rows = [
+        (i, j, float(stds[i] * stds[j] * (1.0 if i == j else correlation[i, j])) if stds[i] * stds[j] else 0.0)
+        for i in range(len(columns))
+        for j in range(i, len(columns))
+    ]
+    return df.sparkSession.createDataFrame(rows, "i int, j int, cov double")
