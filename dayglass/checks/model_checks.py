@@ -97,7 +97,7 @@ def _mixed_sql(nums: list[str], gamma: float, by_frequency: bool) -> str:
                 + "".join(f" LEFT JOIN t{i}_{c} ON t{i}_{c}.cluster = c{i}.cluster" for c in _CATS)
                 + ")"
             )
-    return with_views("ord", ",\n".join(parts) + " SELECT row_id, cluster, round(cost, 6) AS cost FROM a2")
+    return with_views("ord", ",\n".join(parts) + " SELECT row_id, cluster, CAST(round(cost, 6) AS DOUBLE) AS cost FROM a2")
 
 
 SQL["kmodes"], SQL["kmodes_by_frequency"] = _mixed_sql([], 1.0, False), _mixed_sql([], 1.0, True)

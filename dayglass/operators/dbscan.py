@@ -166,8 +166,9 @@ def _links(core: DataFrame, near: DataFrame, grid: _Grid) -> DataFrame:
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label): the smallest seed of each node's component. ``nodes`` has a unique seed per node.
 
-    Every round takes the smallest label around, then the label of that label's owner, so the number of rounds
-    grows with the logarithm of the longest path rather than with its length.
+    In a round every node takes the smallest label around it, passes it on to the owner of its old label, and
+    then takes the label of its new label's owner. So labels travel over whole merged regions at once and few
+    rounds are needed even for long chains.
     """
     edges = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     state = cut_lineage(nodes.select("node", "seed", F.col("seed").alias("label")))
@@ -177,16 +178,18 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("label").alias("around"))
         )
-        lower = state.join(around, "node", "left").withColumn("next", F.least("label", "around"))
-        owners = state.select(F.col("seed").alias("next"), F.col("label").alias("owner_label"))
-        state_next = cut_lineage(
-            lower.join(owners, "next", "left").select(
-                "node", "seed", F.least("next", "owner_label").alias("label"), F.col("label").alias("old")
+        seen = state.join(around, "node", "left").withColumn("around", F.least("label", "around"))
+        passed = seen.groupBy(F.col("label").alias("seed")).agg(F.min("around").alias("passed"))
+        lower = cut_lineage(
+            seen.join(passed, "seed", "left").select(
+                "node", "seed", F.col("label").alias("old"), F.least("around", "passed").alias("next")
             )
         )
-        changed = not state_next.where(F.col("label") != F.col("old")).isEmpty()
-        state = state_next.drop("old")
-        if not changed:
+        owners = lower.select(F.col("seed").alias("next"), F.col("next").alias("owner_label"))
+        state = cut_lineage(
+            lower.join(owners, "next", "left").select("node", "seed", F.least("next", "owner_label").alias("label"), "old")
+        )
+        if state.where(F.col("label") != F.col("old")).isEmpty():
             return state.select("node", "label")
 
 

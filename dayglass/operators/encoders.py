@@ -313,6 +313,46 @@ def day_out_scores(
     return out.select(row_id, day, *keep, *models)
 
 
+def earlier_day_stats(
+    df: DataFrame, columns: list[str], label: str, day: str, row_id: str, base_rate: float = 0.145
+) -> DataFrame:
+    """Replace categories by their target statistic over all earlier days, for every row at once.
+
+    A row of day d never sees labels of day d or later, so one table serves all walk-forward folds. Unlabelled
+    rows add nothing to the sums. Only (category, day) totals are accumulated.
+    """
+    y = _label(label)
+    cells = (
+        to_long(df.withColumn("__y", y), columns, [day, "__y"])
+        .groupBy("column", F.coalesce("value", F.lit(_NULL)).alias("value"), day)
+        .agg(F.count("*").alias("rows"), F.count("__y").alias("n"), F.sum("__y").alias("s"))
+    )
+    earlier = Window.partitionBy("column", "value").orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    fitted = cut_lineage(
+        cells.select(
+            "column",
+            F.concat_ws("|", "value", F.col(day).cast("string")).alias("value"),
+            F.col("rows").alias("n"),
+            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"),
+            F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("s0"),
+        )
+    )
+    # One row per day.
+    days = df.groupBy(day).agg(F.count(y).alias("n"), F.sum(y).alias("s")).orderBy(day).collect()
+    rates, n, s = [], 0, 0.0
+    for r in days:
+        rates += [r[day], s / n if n else base_rate]
+        n, s = n + r["n"], s + (r["s"] or 0.0)
+    prior = F.create_map(*[F.lit(v) for v in rates])[F.col(day)]
+    hot = _hot(fitted, columns)
+    for c in columns:
+        keyed = df.withColumn("__key", F.concat_ws("|", _key(c), F.col(day).cast("string")))
+        one = _entries(fitted, c).select("__key", "n0", "s0")
+        joined = lookup_join(keyed, one, "__key", hot[c], row_id)
+        df = joined.withColumn(c, (F.col("s0") + prior) / (F.col("n0") + 1)).drop("__key", "n0", "s0")
+    return df
+
+
 def one_hot(df: DataFrame, column: str, values: list, keep_original: bool = False) -> DataFrame:
     """One 0/1 column per listed value, named ``<column>_<value>``; unknown values give all zeros."""
     flags = [F.coalesce(F.col(column) == F.lit(v), F.lit(False)).cast("int").alias(f"{column}_{v}") for v in values]

@@ -25,12 +25,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written rows."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the written table.
+
+    A written table survives lost executors, and unlike a checkpointed plan it carries no constraints over from
+    the plan it came from, which would pile up in loops. With ``by`` (a day) later reads are pruned to its folders.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def chunk_count(spark: SparkSession) -> int:
