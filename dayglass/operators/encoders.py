@@ -158,26 +158,34 @@ def label_encode_train(
     )
 
 
+def align_tagged(df: DataFrame, columns: list[str], row_id: str, split: str = "split") -> DataFrame:
+    """Keep values known to both the train and the val rows; others become -1 in train and the commonest shared
+    value in val. Rows of any other split stay as they are."""
+    texts = [c for c in columns if _is_text(df, c)]
+    sides = to_long(df.where(F.col(split).isin("train", "val")), columns, [split])
+    counted = sides.where(F.col("value").isNotNull()).groupBy("column", "value").agg(
+        F.count_if(F.col(split) == "train").alias("n"), F.count_if(F.col(split) == "val").alias("n_val")
+    )
+    shared = cut_lineage(counted.where("n > 0 AND n_val > 0"))
+    top, hot = dict(_top_value(shared, texts).collect()), _hot(shared, columns)
+    for c in columns:
+        kind = df.schema[c].dataType
+        other = F.when(F.col(split) == "train", F.lit("-1").cast(kind)).when(
+            F.col(split) == "val", F.lit(top.get(c, "-1")).cast(kind)
+        )
+        seen = _attach(df, shared, c, row_id, {"n": "__seen"}, hot[c])
+        kept = F.col("__seen").isNotNull() | ~F.col(split).isin("train", "val")
+        df = seen.withColumn(c, F.when(kept, F.col(c)).otherwise(other)).drop("__seen")
+    return df
+
+
 def align_categories(
     train: DataFrame, val: DataFrame, columns: list[str], row_id: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Keep values known to both sides; others become -1 in train and the commonest shared value in val."""
-    texts = [c for c in columns if _is_text(train, c)]
-    counted = value_counts(train, columns).join(
-        value_counts(val, columns).select("column", "value", F.col("n").alias("n_val")), ["column", "value"]
-    )
-    shared = cut_lineage(counted.where(F.col("value").isNotNull()))
-    top = dict(_top_value(shared, texts).collect())
-    hot = _hot(shared, columns)
-    for c in columns:
-        kind = train.schema[c].dataType
-        train = _attach(train, shared, c, row_id, {"n": "__seen"}, hot[c]).withColumn(
-            c, F.when(F.col("__seen").isNotNull(), F.col(c)).otherwise(F.lit("-1").cast(kind))
-        ).drop("__seen")
-        val = _attach(val, shared, c, row_id, {"n": "__seen"}, hot[c]).withColumn(
-            c, F.when(F.col("__seen").isNotNull(), F.col(c)).otherwise(F.lit(top.get(c, "-1")).cast(kind))
-        ).drop("__seen")
-    return train, val
+    """As :func:`align_tagged`, for two tables."""
+    both = train.withColumn("__split", F.lit("train")).unionByName(val.withColumn("__split", F.lit("val")))
+    aligned = align_tagged(both, columns, row_id, "__split")
+    return tuple(aligned.where(F.col("__split") == part).drop("__split") for part in ("train", "val"))
 
 
 def label_rate(df: DataFrame, label: str) -> float:

@@ -54,9 +54,15 @@ def apply_spread(df: DataFrame, columns: list[str], spread: Spread) -> DataFrame
 
 
 def remove_outliers(
-    df: DataFrame, columns: list[str], coefficient: float, spread: Spread, row_id: str, percentage: float = 0.001
+    df: DataFrame,
+    columns: list[str],
+    coefficient: float,
+    spread: Spread,
+    row_id: str,
+    percentage: float = 0.001,
+    by: str | None = None,
 ) -> DataFrame:
-    """Replace the furthest outliers by the column mean of this table.
+    """Replace the furthest outliers by the column mean of this table (of its ``by`` part, such as a split).
 
     An outlier is further than ``coefficient`` standard deviations (of train) from the (train) mean; at most
     ``floor(rows * percentage)`` of them per column are replaced, furthest first, ties by row id. Only the last
@@ -64,33 +70,57 @@ def remove_outliers(
     join.
     """
     columns = [c for c in columns if spread.width[c]]
-    own = df.agg(
-        F.count("*").alias("__rows"), *[F.avg(F.col(c).cast("double")).alias(c) for c in columns]
-    ).first()
-    limit = int(own["__rows"] * percentage)
-    if limit == 0 or not columns:
-        return df
+    part = F.lit("") if by is None else F.col(by)
+    df = df.withColumn("__part", part)
     distance = {c: F.abs(scaled(c, spread)) for c in columns}
-    pairs = F.array(
-        *[
-            F.when(distance[c] > coefficient, F.struct(F.lit(c).alias("column"), distance[c].alias("distance")))
-            for c in columns
-        ]
-    )
-    candidates = df.select(row_id, F.explode(F.array_compact(pairs)).alias("pair")).select(row_id, "pair.*")
-    ranked = global_rank(candidates, "distance", row_id, within=("column",), descending=True)
-    last = (
-        ranked.where(F.col("rank") <= limit)
-        .groupBy("column")
-        .agg(F.max_by(F.struct("distance", row_id), "rank").alias("last"))
-        .collect()
+    # One row per part.
+    own = df.groupBy("__part").agg(
+        F.count("*").alias("__rows"),
+        *[F.avg(F.col(c).cast("double")).alias(c) for c in columns],
+        *[F.count_if(distance[c] > coefficient).alias(f"__n_{c}") for c in columns],
     )
+    parts = {r["__part"]: r for r in own.collect()}
+    limits = {name: int(r["__rows"] * percentage) for name, r in parts.items()}
+    # Where there are no more candidates than may be replaced, all of them are, and nothing has to be ranked.
+    crowded = [
+        (name, c) for name, r in parts.items() for c in columns if limits[name] and r[f"__n_{c}"] > limits[name]
+    ]
+    edges: dict[tuple, tuple] = {}
+    if crowded:
+        pairs = F.array(
+            *[
+                F.when(
+                    F.col("__part").isin([name for name, x in crowded if x == c]) & (distance[c] > coefficient),
+                    F.struct(F.lit(c).alias("column"), distance[c].alias("distance")),
+                )
+                for c in sorted({c for _, c in crowded})
+            ]
+        )
+        candidates = df.select(row_id, "__part", F.explode(F.array_compact(pairs)).alias("pair")).select(
+            row_id, "__part", "pair.*"
+        )
+        ranked = global_rank(candidates, "distance", row_id, within=("__part", "column"), descending=True)
+        allowed = F.create_map(*[F.lit(x) for item in limits.items() for x in item])[F.col("__part")]
+        last = (
+            ranked.where(F.col("rank") <= allowed)
+            .groupBy("__part", "column")
+            .agg(F.max_by(F.struct("distance", row_id), "rank").alias("last"))
+            .collect()
+        )
+        edges = {(r["__part"], r["column"]): (r["last"]["distance"], r["last"][row_id]) for r in last}
     new = {}
-    for row in last:
-        c, edge, edge_id = row["column"], row["last"]["distance"], row["last"][row_id]
-        far = (distance[c] > edge) | ((distance[c] == edge) & (F.col(row_id) <= edge_id))
-        new[c] = F.when(far, F.lit(own[c])).otherwise(F.col(c).cast("double"))
-    return _replace(df, new)
+    for c in columns:
+        value = F.col(c).cast("double")
+        for name, row in parts.items():
+            if not limits[name] or not row[f"__n_{c}"]:
+                continue
+            far = distance[c] > coefficient
+            if (name, c) in edges:
+                edge, edge_id = edges[name, c]
+                far = (distance[c] > edge) | ((distance[c] == edge) & (F.col(row_id) <= edge_id))
+            value = F.when((F.col("__part") == name) & far, F.lit(row[c])).otherwise(value)
+        new[c] = value
+    return _replace(df, new).drop("__part")
 
 
 def fit_counters(df: DataFrame, columns: list[str], digits: int = 9) -> Spread:

@@ -1,7 +1,7 @@
 """The two feature builds: dense features for networks, and features for clustering and neighbours.
 
-Both take tables tagged by split, fit every statistic on the train rows and return one table with a ``split``
-column. Each numeric step is a column expression with fitted literals, so a split stays one scan per fit.
+Both put the tables into one, tagged by ``split``, fit every statistic on the train rows and apply it to all rows
+as column expressions with fitted literals. The result is one scan with lookup joins, not one plan per split.
 """
 
 from __future__ import annotations
@@ -15,15 +15,27 @@ from dayglass.functions import scalar
 from dayglass.operators import cleaning as B
 from dayglass.operators import encoders as D
 from dayglass.operators import scaling as S
-from dayglass.operators.splits import split_by_day
+from dayglass.operators.splits import tag_split
 from dayglass.roles import Roles
+from dayglass.session import cut_lineage
 
 SIGMAS = 4
 SPARSE_SHARE = 0.95
 
 
-def _tagged(parts: dict[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [df.withColumn("split", F.lit(name)) for name, df in parts.items()])
+def _train(df: DataFrame) -> DataFrame:
+    return df.where(F.col("split") == "train")
+
+
+def _stats_for_all(df: DataFrame, cats: list[str], label: str, roles: Roles, ordered_train: bool) -> DataFrame:
+    """Categories as target statistics: of the whole train part, or of the earlier rows for train rows."""
+    train = _train(df)
+    stats, prior = D.fit_target_stats(train, cats, label), D.label_rate(train, label)
+    if not ordered_train:
+        return D.apply_target_stats(df, stats, cats, prior, roles.row_id)
+    rest = D.apply_target_stats(df.where(F.col("split") != "train"), stats, cats, prior, roles.row_id)
+    ordered = D.ordered_target_stats(train, cats, label, roles.day, roles.row_id, prior)
+    return ordered.unionByName(rest)
 
 
 def nn_features(
@@ -35,48 +47,24 @@ def nn_features(
     ordered_train: bool = False,
 ) -> DataFrame:
     """(row id, split, categories as target statistics, binaries as 0/1, scaled numerics, label)."""
-    cats, nums = list(roles.categorical), list(roles.counter + roles.numeric)
+    cats, counters, plain = list(roles.categorical), list(roles.counter), list(roles.numeric)
+    nums = counters + plain
     wanted = [roles.row_id, roles.day, *cats, *roles.binary, *nums]
-    test = test.select(*wanted, F.lit(None).cast("int").alias(label))
-    labelled = train_val.select(*wanted, F.col(label).cast("int").alias(label))
-    if threshold is None:
-        parts = {"train": labelled, "test": test}
-    else:
-        train, val = split_by_day(labelled, roles.day, threshold)
-        train, val = D.align_categories(train, val, cats, roles.row_id)
-        parts = {"train": train, "val": val, "test": test}
-    train = parts["train"]
-
-    stats, prior = D.fit_target_stats(train, cats, label), D.label_rate(train, label)
-    raw = S.fit_zscore(train, nums)
-
-    def encode(name: str, df: DataFrame) -> DataFrame:
-        if name == "train" and ordered_train:
-            df = D.ordered_target_stats(df, cats, label, roles.day, roles.row_id, prior)
-        else:
-            df = D.apply_target_stats(df, stats, cats, prior, roles.row_id)
-        df = B.bools_to_int(df, list(roles.binary))
-        return df
-
-    def clean(df: DataFrame) -> DataFrame:
-        df = B.fill(df.select(roles.row_id, *nums), raw.center)
-        df = S.remove_outliers(df, nums, SIGMAS, raw, roles.row_id)
-        return df.withColumns({c: scalar.log_positive(F.col(c)) for c in roles.counter})
-
-    cleaned = {name: clean(df) for name, df in parts.items()}
-    steps = [
-        (list(roles.counter), S.fit_minmax),
-        (list(roles.numeric), S.fit_standard),
-        (list(roles.numeric), S.fit_minmax),
-    ]
-    for columns, fit in steps:
+    labelled = tag_split(train_val.select(*wanted, F.col(label).cast("int").alias(label)), roles.day, threshold)
+    unlabelled = test.select(*wanted, F.lit(None).cast("int").alias(label), F.lit("test").alias("split"))
+    # Written once: every fit below reads a few columns of it.
+    df = cut_lineage(B.bools_to_int(labelled.unionByName(unlabelled), list(roles.binary)))
+
+    raw = S.fit_zscore(_train(df), nums)
+    df = S.remove_outliers(B.fill(df, raw.center), nums, SIGMAS, raw, roles.row_id, by="split")
+    df = df.withColumns({c: scalar.log_positive(F.col(c)) for c in counters})
+    for columns, fit in ((counters, S.fit_minmax), (plain, S.fit_standard), (plain, S.fit_minmax)):
         if columns:
-            spread = fit(cleaned["train"], columns)
-            cleaned = {name: S.apply_spread(df, columns, spread) for name, df in cleaned.items()}
-    blocks = {
-        name: encode(name, df.drop(*nums)).drop(roles.day).join(cleaned[name], roles.row_id) for name, df in parts.items()
-    }
-    return _tagged(blocks)
+            df = S.apply_spread(df, columns, fit(_train(df), columns))
+
+    if threshold is not None:
+        df = D.align_tagged(df, cats, roles.row_id)
+    return _stats_for_all(df, cats, label, roles, ordered_train).drop(roles.day)
 
 
 def cluster_features(
@@ -84,35 +72,24 @@ def cluster_features(
 ) -> DataFrame:
     """(row id, split, label, sin/cos of the weekday, binaries, counters, numerics, categories as statistics)."""
     cats, counters, nums = list(roles.categorical), list(roles.counter), list(roles.numeric)
-    keep = [roles.row_id, roles.day, *cats, *roles.binary, *counters, *nums]
+    wanted = [roles.row_id, roles.day, *cats, *roles.binary, *counters, *nums]
 
-    def start(df: DataFrame) -> DataFrame:
+    def tagged(df: DataFrame, name: str) -> DataFrame:
         labels = F.col(label).cast("int") if label in df.columns else F.lit(None).cast("int")
-        df = B.add_trig_date(df.select(*keep, labels.alias(label)), roles.day)
-        return B.bools_to_int(B.fill_const(df, cats), list(roles.binary))
-
-    parts = {"train": start(train), "val": start(val)}
-
-    def each(step) -> None:
-        for name in parts:
-            parts[name] = step(parts[name])
+        return df.select(*wanted, labels.alias(label), F.lit(name).alias("split"))
 
+    both = reduce(DataFrame.unionByName, [tagged(train, "train"), tagged(val, "val")])
+    df = cut_lineage(B.bools_to_int(B.fill_const(both, cats), list(roles.binary)))
+    df = B.add_trig_date(df, roles.day)
     if counters:
-        steps = S.fit_counters(parts["train"], counters)
-        each(lambda df: S.apply_spread(df, counters, steps))
+        df = S.apply_spread(df, counters, S.fit_counters(_train(df), counters))
         if fill_counters:
-            modes = B.column_modes(parts["train"], counters)
-            each(lambda df: B.fill(df, modes))
-        shares = B.zero_shares(parts["train"], counters)
-        each(lambda df: B.log_or_binarise(df, shares, SPARSE_SHARE))
+            df = B.fill(df, B.column_modes(_train(df), counters))
+        df = B.log_or_binarise(df, B.zero_shares(_train(df), counters), SPARSE_SHARE)
     if nums:
-        raw = S.fit_zscore(parts["train"], nums)
-        each(lambda df: S.remove_outliers(df, nums, SIGMAS, raw, roles.row_id))
-        spread = S.fit_zscore(parts["train"], nums)
-        each(lambda df: B.fill(S.apply_spread(df, nums, spread), {c: 0.0 for c in nums}))
+        df = S.remove_outliers(df, nums, SIGMAS, S.fit_zscore(_train(df), nums), roles.row_id, by="split")
+        df = B.fill(S.apply_spread(df, nums, S.fit_zscore(_train(df), nums)), {c: 0.0 for c in nums})
     if cats:
-        parts["train"], parts["val"] = D.align_categories(parts["train"], parts["val"], cats, roles.row_id)
-        stats, prior = D.fit_target_stats(parts["train"], cats, label), D.label_rate(parts["train"], label)
-        parts["val"] = D.apply_target_stats(parts["val"], stats, cats, prior, roles.row_id)
-        parts["train"] = D.ordered_target_stats(parts["train"], cats, label, roles.day, roles.row_id, prior)
-    return _tagged(parts)
+        df = D.align_tagged(df, cats, roles.row_id)
+        df = _stats_for_all(df, cats, label, roles, ordered_train=True)
+    return df

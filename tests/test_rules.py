@@ -57,7 +57,7 @@ def test_outlier_ties_by_row_id(spark):
     spread = S.Spread({"x": 0.0}, {"x": 1.0})
     got = dict(S.remove_outliers(df, ["x"], 4, spread, "row_id", percentage=0.01).where("row_id > 97").collect())
     assert got == {98: 0.2, 99: 10.0}
-    assert S.remove_outliers(df, ["x"], 4, spread, "row_id", percentage=0.001) is df
+    assert S.remove_outliers(df, ["x"], 4, spread, "row_id", percentage=0.001).agg(F.max("x")).first()[0] == 10.0
 
 
 def test_threshold_day_is_checked(spark):
