@@ -86,7 +86,8 @@ def _blocks(n: str) -> Column:
 
 def _within_reach(asked: DataFrame, cells: DataFrame, points: DataFrame, near: DataFrame, grid: _Grid, value: str) -> DataFrame:
     """For points of thin cells: (pid, value) of each neighbouring cell entirely within reach, and of each single
-    point within reach of the cells that are only partly so. ``cells`` and ``points`` carry ``value``."""
+    point within reach of the cells that are only partly so. ``cells`` and ``points`` carry ``value``, and points
+    the size of their cell, by which a crowded cell is cut into blocks."""
     sides = cells.select(F.col("cell").alias("b"), *grid.corners("b"), F.col("n").alias("bn"), F.col(value).alias("cell_value"))
     visits = (
         asked.select("pid", F.col("cell").alias("a"), *[F.col(f"x{i}").alias(f"q{i}") for i in grid.axes])
@@ -96,71 +97,79 @@ def _within_reach(asked: DataFrame, cells: DataFrame, points: DataFrame, near: D
         .withColumn("whole", grid.far(("q", "q"), ("blo", "bhi")) <= grid.eps)
     )
     entire = visits.where("whole").select("pid", F.col("cell_value").alias("value"))
-    sizes = cells.select("cell", F.col("n").alias("bn"))
-    blocked = points.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("pid"), _blocks("bn")).cast("int"))
+    blocked = points.withColumn("block", F.pmod(F.xxhash64("pid"), _blocks("cell_n")).cast("int"))
     partly = (
         visits.where(~F.col("whole"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), _blocks("bn") - 1)))
         .select("pid", "block", F.col("b").alias("cell"), *[f"q{i}" for i in grid.axes])
-        .join(blocked.drop("pid"), ["cell", "block"])
+        .join(blocked.select("cell", "block", value, *[f"x{i}" for i in grid.axes]), ["cell", "block"])
         .where(grid.points("q", "x") <= grid.eps)
         .select("pid", F.col(value).alias("value"))
     )
     return entire.unionByName(partly)
 
 
-def _links(core: DataFrame, near: DataFrame, grid: _Grid) -> DataFrame:
-    """(a, b), a < b: neighbouring cells with a pair of core points within reach."""
+def _with_sizes(rows: DataFrame, table: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Attach the figures of cells or boxes to their points; ``table.n`` tells the crowded ones."""
+    return lookup_join(rows, table, key, largest_keys({"t": table}, key, "n")["t"], spread_by)
+
+
+def _links(core: DataFrame, core_cells: DataFrame, near: DataFrame, grid: _Grid) -> DataFrame:
+    """(a, b), a < b: neighbouring cells with a pair of core points within reach.
+
+    A round decides pairs of boxes by their corners, compares small pairs point by point and leaves large
+    undecided pairs, with their boxes halved, to the next round.
+    """
+    axes = [f"x{i}" for i in grid.axes]
 
     def side(boxes: DataFrame, s: str) -> DataFrame:
-        return boxes.select(
-            F.col("cell").alias(s), F.col("box").alias(f"{s}box"), F.col("n").alias(f"{s}n"), *grid.corners(s)
-        )
+        return boxes.select(F.col("cell").alias(s), F.col("box").alias(f"{s}box"), F.col("n").alias(f"{s}n"), *grid.corners(s))
 
-    def both(pairs: DataFrame, boxes: DataFrame, keys) -> DataFrame:
-        return reduce(lambda df, s: df.join(side(boxes, s), keys(s)), ("a", "b"), pairs)
+    def singles(points: DataFrame, s: str) -> DataFrame:
+        small = points.where(F.col("n") <= PAIRS)
+        return small.select(F.col("box").alias(f"{s}box"), *[F.col(x).alias(s + x[1:]) for x in axes])
 
-    points = core.select("cell", *[f"x{i}" for i in grid.axes]).withColumn("box", F.lit(""))
-    boxes = points.groupBy("cell", "box").agg(F.count("*").alias("n"), *grid.box())
-    open_pairs = both(near.where(F.col("a") < F.col("b")), boxes, lambda s: s)
+    # A box is named by its cell and its place in it; at first it is the whole cell.
+    boxes = core_cells.select("cell", F.col("cell").alias("box"), "n", *[f"{c}{i}" for c in ("lo", "hi") for i in grid.axes])
+    points = core.select("pid", "cell", F.col("cell").alias("box"), F.col("core_n").alias("n"), *axes)
+    open_pairs = near.where(F.col("a") < F.col("b")).join(side(boxes, "a"), "a").join(side(boxes, "b"), "b")
     found: list[DataFrame] = []
     level = 0
     while True:
-        within = open_pairs.where(grid.gap(("alo", "ahi"), ("blo", "bhi")) <= grid.eps)
-        within = within.withColumn("sure", grid.far(("alo", "ahi"), ("blo", "bhi")) <= grid.eps)
-        within = cut_lineage(within)
+        within = cut_lineage(
+            open_pairs.where(grid.gap(("alo", "ahi"), ("blo", "bhi")) <= grid.eps).withColumn(
+                "sure", grid.far(("alo", "ahi"), ("blo", "bhi")) <= grid.eps
+            )
+        )
         found.append(within.where("sure").select("a", "b").distinct())
         unsure = within.where(~F.col("sure")).join(found[-1], ["a", "b"], "left_anti")
         few = F.col("an") * F.col("bn") <= PAIRS
-        singles = [
-            points.select(F.col("cell").alias(s), F.col("box").alias(f"{s}box"), *[F.col(f"x{i}").alias(f"{s}{i}") for i in grid.axes])
-            for s in ("a", "b")
-        ]
         compared = (
             unsure.where(few)
             .select("a", "abox", "b", "bbox")
-            .join(singles[0], ["a", "abox"])
-            .join(singles[1], ["b", "bbox"])
+            .join(singles(points, "a"), "abox")
+            .join(singles(points, "b"), "bbox")
             .where(grid.points("a", "b") <= grid.eps)
         )
         found.append(cut_lineage(compared.select("a", "b").distinct()))
-        rest = unsure.where(~few).join(found[-1], ["a", "b"], "left_anti").select("a", "abox", "b", "bbox")
+        rest = cut_lineage(unsure.where(~few).join(found[-1], ["a", "b"], "left_anti").select("a", "abox", "b", "bbox"))
         if rest.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, found).distinct()
         level += 1
-        points = points.withColumn("inner", grid.subcell(level))
-        children = points.groupBy("cell", "box", "inner").agg(F.count("*").alias("n"), *grid.box())
-        halves = {
-            s: side(children.withColumn("parent", F.col("box")).withColumn("box", F.col("inner")).drop("inner"), s).join(
-                children.select(F.col("cell").alias(s), F.col("inner").alias(f"{s}box"), F.col("box").alias(f"{s}parent")),
-                [s, f"{s}box"],
-            )
-            for s in ("a", "b")
-        }
-        parents = rest.select("a", F.col("abox").alias("aparent"), "b", F.col("bbox").alias("bparent"))
-        open_pairs = parents.join(halves["a"], ["a", "aparent"]).join(halves["b"], ["b", "bparent"])
-        points = points.withColumn("box", F.col("inner")).drop("inner")
-    return reduce(DataFrame.unionByName, found).distinct()
+        split = rest.select(F.col("abox").alias("parent")).union(rest.select("bbox")).distinct()
+        halved = (
+            points.drop("n")
+            .withColumnRenamed("box", "parent")
+            .join(split, "parent", "left_semi")
+            .withColumn("box", F.concat_ws("/", "cell", grid.subcell(level)))
+        )
+        boxes = cut_lineage(halved.groupBy("cell", "parent", "box").agg(F.count("*").alias("n"), *grid.box()))
+        points = cut_lineage(_with_sizes(halved.drop("parent"), boxes.select("box", "n"), "box", "pid"))
+        open_pairs = rest
+        for s in ("a", "b"):
+            children = boxes.select("parent", "cell", "box", "n", *[f"{c}{i}" for c in ("lo", "hi") for i in grid.axes])
+            inner = side(children, s).join(children.select(F.col("box").alias(f"{s}box"), F.col("parent").alias(f"{s}parent")), f"{s}box")
+            open_pairs = open_pairs.withColumnRenamed(f"{s}box", f"{s}parent").join(inner.drop(s), f"{s}parent")
 
 
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -216,27 +225,23 @@ def dbscan(
         points.groupBy("cell", *keys).agg(F.sum("w").alias("w"), F.count("*").alias("n"), *grid.box())
     )
     near = cut_lineage(_neighbour_cells(cells, grid))
+    sized = _with_sizes(points.drop(*keys), cells.select("cell", F.col("w").alias("cell_w"), "n"), "cell", "pid")
+    points = cut_lineage(sized.withColumnRenamed("n", "cell_n"))
 
-    dense = cells.where(F.col("w") >= min_samples).select("cell")
-    thin = points.join(cells.where(F.col("w") < min_samples).select("cell", F.col("w").alias("own")), "cell")
+    thin = points.where(F.col("cell_w") < min_samples)
     around = _within_reach(thin, cells, points, near, grid, "w").groupBy("pid").agg(F.sum("value").alias("others"))
-    judged = cut_lineage(
-        thin.join(around, "pid", "left").withColumn(
-            "core", F.col("own") + F.coalesce("others", F.lit(0)) >= min_samples
-        )
-    )
+    enough = F.col("cell_w") + F.coalesce("others", F.lit(0)) >= min_samples
+    judged = cut_lineage(thin.join(around, "pid", "left").withColumn("core", enough))
     columns = ["pid", "cell", *[f"x{i}" for i in grid.axes]]
-    core = cut_lineage(
-        points.join(dense, "cell", "left_semi").select(*columns).unionByName(judged.where("core").select(*columns))
-    )
-    core_cells = core.groupBy("cell").agg(F.min("pid").alias("seed"), F.count("*").alias("n"), *grid.box())
-    core_cells = cut_lineage(core_cells)
+    core = points.where(F.col("cell_w") >= min_samples).select(*columns).unionByName(judged.where("core").select(*columns))
+    core_cells = cut_lineage(core.groupBy("cell").agg(F.min("pid").alias("seed"), F.count("*").alias("n"), *grid.box()))
+    core = cut_lineage(_with_sizes(core, core_cells.select("cell", "n"), "cell", "pid").withColumnRenamed("n", "core_n"))
     both_core = near.join(core_cells.select(F.col("cell").alias("a")), "a", "left_semi").join(
         core_cells.select(F.col("cell").alias("b")), "b", "left_semi"
     )
-    labels = connected(core_cells.select(F.col("cell").alias("node"), "seed"), _links(core, both_core, grid))
-    labelled_cells = core_cells.join(labels.withColumnRenamed("node", "cell"), "cell")
-    labelled_core = core.join(labels.withColumnRenamed("node", "cell"), "cell")
+    labels = connected(core_cells.select(F.col("cell").alias("node"), "seed"), _links(core, core_cells, both_core, grid))
+    labelled_cells = cut_lineage(core_cells.join(labels.withColumnRenamed("node", "cell"), "cell"))
+    labelled_core = _with_sizes(core, labelled_cells.select("cell", "label", "n"), "cell", "pid").withColumnRenamed("n", "cell_n")
 
     rest = judged.where(~F.col("core"))
     touched = _within_reach(rest, labelled_cells, labelled_core, near, grid, "label")

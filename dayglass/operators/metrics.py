@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from dayglass.functions import losses, scalar
+from dayglass.session import cut_lineage
 
 
 def _y(label: str) -> Column:
@@ -129,42 +132,55 @@ def _scatter(df: DataFrame, cluster: str, features: str) -> DataFrame:
     return centres.join(inner, cluster)
 
 
-def cluster_indices(df: DataFrame, cluster: str, features: str) -> DataFrame:
-    """(clusters, calinski_harabasz, davies_bouldin); (1, 0.0, 1000.0) when there is one cluster.
+CLUSTER_BLOCK = 1024
+
 
-    Rows are only grouped by cluster. The comparison of clusters works on one row per cluster: the number of
-    clusters is a model parameter.
+def _worst_overlap(per_cluster: DataFrame, cluster: str, blocks: int) -> DataFrame:
+    """(cluster, overlap): the largest (spread_i + spread_j) / distance over the other clusters j.
+
+    Clusters are cut into blocks; a task compares two blocks and gives back one maximum per cluster.
     """
-    per_cluster = _scatter(df, cluster, features)
-    whole = per_cluster.agg(
-        F.count("*").alias("k"),
-        F.sum("size").alias("n"),
-        F.sum("squares").alias("within"),
-        vector_to_array(Summarizer.mean(array_to_vector("centre"), F.col("size").cast("double"))).alias("mean"),
-        F.collect_list(F.struct("size", "centre", "spread")).alias("all"),
-    )
-    between = F.aggregate(
-        "all", F.lit(0.0), lambda s, c: s + c["size"] * squared_distance(c["centre"], F.col("mean"))
-    )
+    block = F.pmod(F.xxhash64(cluster), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    names = per_cluster.select(F.col(cluster).cast("string").alias("name"), "centre", "spread", block.alias("own"))
+    left = names.withColumnRenamed("own", "a").withColumn("b", every)
+    right = names.withColumnRenamed("own", "b").withColumn("a", every)
+
+    def compare(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(others):
+            return pd.DataFrame({"name": [], "overlap": []})
+        x, z = np.array(mine["centre"].tolist()), np.array(others["centre"].tolist())
+        distance = np.stack([np.sqrt(((z - row) ** 2).sum(axis=1)) for row in x])
+        spread = mine["spread"].to_numpy()[:, None] + others["spread"].to_numpy()[None, :]
+        same = mine["name"].to_numpy()[:, None] == others["name"].to_numpy()[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            overlap = np.where(same, -np.inf, spread / distance)
+        return pd.DataFrame({"name": mine["name"], "overlap": overlap.max(axis=1)})
+
+    pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(compare, "name string, overlap double")
+    return pairs.groupBy("name").agg(F.max("overlap").alias("overlap"))
 
-    def worst(c: Column) -> Column:
-        others = F.filter("all", lambda o: o["centre"] != c["centre"])
-        return F.array_max(
-            F.transform(
-                others, lambda o: (c["spread"] + o["spread"]) / F.sqrt(squared_distance(c["centre"], o["centre"]))
-            )
-        )
 
-    db = F.aggregate(F.transform("all", worst), F.lit(0.0), lambda s, x: s + x) / F.col("k")
-    ch = (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
-    one = F.col("k") < 2
-    return (
-        whole.withColumn("between", between)
-        .select(
-            F.col("k").alias("clusters"),
-            F.when(one, 0.0).otherwise(ch).alias("calinski_harabasz"),
-            F.when(one, 1000.0).otherwise(db).alias("davies_bouldin"),
+def cluster_indices(df: DataFrame, cluster: str, features: str) -> DataFrame:
+    """(clusters, calinski_harabasz, davies_bouldin); (1, 0.0, 1000.0) when there is one cluster."""
+    per_cluster = cut_lineage(_scatter(df, cluster, features))
+    k = per_cluster.count()
+    if k < 2:
+        return df.sparkSession.range(1).select(
+            F.lit(k).cast("long").alias("clusters"), F.lit(0.0).alias("calinski_harabasz"), F.lit(1000.0).alias("davies_bouldin")
         )
+    weighted = Summarizer.mean(array_to_vector("centre"), F.col("size").cast("double"))
+    mean = per_cluster.agg(vector_to_array(weighted)).scalar()
+    sums = per_cluster.withColumn("mean", mean).agg(
+        F.sum("size").alias("n"),
+        F.sum("squares").alias("within"),
+        F.sum(F.col("size") * squared_distance(F.col("centre"), F.col("mean"))).alias("between"),
+    )
+    overlap = _worst_overlap(per_cluster, cluster, -(-k // CLUSTER_BLOCK)).agg(F.avg("overlap")).scalar()
+    return sums.select(
+        F.lit(k).cast("long").alias("clusters"),
+        ((F.col("between") / (k - 1)) / (F.col("within") / (F.col("n") - k))).alias("calinski_harabasz"),
+        overlap.alias("davies_bouldin"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
@@ -32,7 +32,7 @@ def cut_lineage(df: DataFrame, by: str | None = None) -> DataFrame:
     the plan it came from, which would pile up in loops. With ``by`` (a day) later reads are pruned to its folders.
     """
     path = scratch_path(df.sparkSession, "stage")
-    writer = df.write if by is None else df.write.partitionBy(by)
+    writer = df.write if by is None else df.hint("rebalance", by).write.partitionBy(by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 

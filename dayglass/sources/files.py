@@ -29,8 +29,9 @@ def write_impressions_tsv(df: DataFrame, folder: str) -> None:
 
 
 def write_log(df: DataFrame, path: str, day: str) -> None:
-    """Typed Parquet, one folder per day; rows of a day are spread over several writers."""
-    df.write.partitionBy(day).parquet(path)
+    """Typed Parquet, one folder per day. Rebalancing gathers the rows of a day into few files and lets Spark
+    split a day that is larger than the others over several writers."""
+    df.hint("rebalance", day).write.partitionBy(day).parquet(path)
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

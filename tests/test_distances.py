@@ -119,3 +119,21 @@ def test_kmodes_handles_missing_values(spark):
     df = spark.createDataFrame(rows, "row_id long, c string, k int")
     got = centres.kmodes(df, "row_id", ["c", "k"], 2, 3)[0].toPandas().set_index("row_id")
     assert got.cluster.tolist()[:4] == [0, 1, 0, 1] and got.cost.tolist()[:4] == [0, 0, 0, 0]
+
+
+def test_cluster_indices_over_several_blocks(spark, monkeypatch):
+    from dayglass.operators import metrics
+
+    monkeypatch.setattr(metrics, "CLUSTER_BLOCK", 3)
+    rng = np.random.default_rng(7)
+    x, c = rng.normal(size=(200, 3)), rng.integers(0, 10, 200)
+    df = spark.createDataFrame([(int(k), [float(v) for v in r]) for k, r in zip(c, x)], "c int, x array<double>")
+    got = metrics.cluster_indices(df, "c", "x").first()
+    means = np.array([x[c == k].mean(0) for k in range(10)])
+    spread = np.array([np.linalg.norm(x[c == k] - means[k], axis=1).mean() for k in range(10)])
+    worst = [max((spread[i] + spread[j]) / np.linalg.norm(means[i] - means[j]) for j in range(10) if j != i) for i in range(10)]
+    within = sum(((x[c == k] - means[k]) ** 2).sum() for k in range(10))
+    between = sum((c == k).sum() * ((means[k] - x.mean(0)) ** 2).sum() for k in range(10))
+    assert got["clusters"] == 10
+    assert abs(got["davies_bouldin"] - np.mean(worst)) < 1e-9
+    assert abs(got["calinski_harabasz"] - (between / 9) / (within / 190)) < 1e-9
