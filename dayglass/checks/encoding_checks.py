@@ -4,9 +4,8 @@ from pyspark.sql import functions as F
 
 from dayglass.operators import encoders as D
 from dayglass.operators import scaling as S
-from dayglass.operators import cleaning as B
 from dayglass.sources.fixtures import LAST_DAY, SPLIT_DAY, imp, ord_, table, with_views
-from dayglass.checks.helpers import per_column_sql, rounded, union_all
+from dayglass.checks.helpers import per_column_sql, rounded
 
 QUERIES, SQL = {}, {}
 
@@ -207,12 +206,19 @@ _WIDE = ["c_segment", "c_priority", "c_nation", "c_cust"]
 
 
 def _cardinality_filter(s, d):
+    """The kept columns in long form, so that the schema does not depend on the data."""
     rows = ord_(s, d)
-    return rows.select("row_id", *D.columns_below(rows, _WIDE, 229))
+    return D.to_long(rows, D.columns_below(rows, _WIDE, 229), ["row_id"])
 
 
 QUERIES["cardinality_filter"] = _cardinality_filter
-SQL["cardinality_filter"] = with_views("ord", "SELECT row_id, c_segment, c_priority, c_nation FROM ord")
+SQL["cardinality_filter"] = with_views(
+    "ord",
+    "l AS ("
+    + per_column_sql(_WIDE, "SELECT row_id, '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM ord")
+    + """), k AS (SELECT "column" FROM l GROUP BY "column" HAVING count(DISTINCT value) < 229)
+SELECT row_id, "column", value FROM l WHERE "column" IN (SELECT "column" FROM k)""",
+)
 
 
 def _outliers(s, d):
