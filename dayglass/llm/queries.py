@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dayglass.llm.decontamination import find_passages, passage_digest
+from dayglass.llm.frames import table
 from dayglass.llm.url_filter import judge_urls
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 #: Fixed values of the url query: host, path, verdict.
 URL_RULES = (
     ("org", "/", "allow"),
@@ -40,5 +38,34 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (n)
 """ % ", ".join(str(r) for r in URL_RULES)
 
-QUERIES = {"op4_url_filter": op4_url_filter}
-SQL = {"op4_url_filter": _URL_SQL}
+
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return passage_digest(find_passages(docs, table(spark, folder, "benchmark"), keep=["doc_id"]))
+
+
+_PASSAGE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS words
+  FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+spots AS (
+  SELECT n, i, size, array_to_string(w[i:i + size - 1], ' ') AS words
+  FROM d, (SELECT DISTINCT size FROM windows), unnest(range(1, len(w) - size + 2)) AS u(i)),
+found AS (SELECT n, i, size, item_id FROM spots JOIN windows USING (size, words)),
+hit AS (SELECT n, count(DISTINCT p) AS n_hit FROM found, unnest(range(i, i + size)) AS u(p) GROUP BY n),
+item AS (
+  SELECT n, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+  FROM (SELECT DISTINCT n, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY n)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (n) LEFT JOIN item USING (n)
+"""
+
+QUERIES = {"op4_url_filter": op4_url_filter, "op7_decontamination": op7_decontamination}
+SQL = {"op4_url_filter": _URL_SQL, "op7_decontamination": _PASSAGE_SQL}
