@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from dayglass.llm.decontamination import find_passages, passage_digest
+from dayglass.llm.fingerprints import edited_by_next
 from dayglass.llm.frames import table
+from dayglass.llm.pieces import encode_pieces, piece_digest
 from dayglass.llm.url_filter import judge_urls
 
 
@@ -67,5 +70,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (n) LEFT JOIN item USING (n)
 """
 
-QUERIES = {"op4_url_filter": op4_url_filter, "op7_decontamination": op7_decontamination}
+
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return edited_by_next(table(spark, folder, "documents"))
+
+
+def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return piece_digest(encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"]))
+
+
+QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op4_url_filter": op4_url_filter,
+    "op7_decontamination": op7_decontamination,
+    "op10_pieces": op10_pieces,
+}
 SQL = {"op4_url_filter": _URL_SQL, "op7_decontamination": _PASSAGE_SQL}

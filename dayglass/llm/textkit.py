@@ -53,8 +53,11 @@ ALPHANUMERIC = _table(lambda b: b >= 0x80 or chr(b).isalnum())
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut a column of texts into blocks of about ``limit`` bytes; NULL counts as an empty text, a text stays whole."""
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, most: int = 1 << 20) -> Iterator[Block]:
+    """Cut a column of texts into blocks of about ``limit`` bytes and at most ``most`` texts.
+
+    NULL counts as an empty text; a text stays whole.
+    """
     filled = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(filled):
         return
@@ -64,7 +67,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     low = 0
     while low < len(filled):
         high = int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1
-        high = min(max(high, low + 1), len(filled))
+        high = min(max(high, low + 1), len(filled), low + most)
         yield Block(low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
         low = high
 
