@@ -9,7 +9,9 @@ from dayglass.llm.decontamination import find_passages, passage_digest
 from dayglass.llm.fingerprints import edited_by_next
 from dayglass.llm.frames import table
 from dayglass.llm.pieces import encode_pieces, piece_digest
+from dayglass.llm.token_files import read_documents, write_token_files
 from dayglass.llm.url_filter import judge_urls
+from dayglass.session import scratch_path
 
 
 #: Fixed values of the url query: host, path, verdict.
@@ -80,10 +82,17 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_digest(encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"]))
 
 
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_documents(spark, path)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op4_url_filter": op4_url_filter,
     "op7_decontamination": op7_decontamination,
+    "op9_token_files": op9_token_files,
     "op10_pieces": op10_pieces,
 }
 SQL = {"op4_url_filter": _URL_SQL, "op7_decontamination": _PASSAGE_SQL}
