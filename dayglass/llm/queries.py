@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from dayglass.llm.decontamination import find_passages, passage_digest
 from dayglass.llm.fingerprints import edited_by_next
 from dayglass.llm.frames import table
+from dayglass.llm.jaccard_join import jaccard_components
 from dayglass.llm.pieces import encode_pieces, piece_digest
 from dayglass.llm.token_files import read_documents, write_token_files
 from dayglass.llm.url_filter import judge_urls
@@ -82,6 +83,10 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_digest(encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"]))
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -91,6 +96,7 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op4_url_filter": op4_url_filter,
+    "op5_ngram_join": op5_ngram_join,
     "op7_decontamination": op7_decontamination,
     "op9_token_files": op9_token_files,
     "op10_pieces": op10_pieces,
