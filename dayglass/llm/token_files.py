@@ -8,6 +8,7 @@ of documents), ``doc_ids``, ``n_ids``, ``ids`` (little-endian unsigned, 2 bytes
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,10 +22,12 @@ from dayglass.operators.ordering import add_range, cut_points
 from dayglass.session import chunk_count
 
 #: Ids and documents after which a segment is closed; one document is never cut.
-SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1 << 14
+SEGMENT_IDS, SEGMENT_DOCS = 1 << 16, 1 << 12
 SAMPLE = 64
+#: Bytes of a row group, so that a reader's batch of whole segments stays small.
+ROW_GROUP = 8 << 20
 #: Characters of words that a task keeps in its table; a fuller table starts anew, which changes no result.
-TABLE_CHARS = 16 << 20
+TABLE_CHARS = 6 << 20
 
 
 class EliasFano:
@@ -101,10 +104,14 @@ class Segment:
 class WordIds:
     """Ids of texts from a table of distinct words with the blank before them, each tokenized once.
 
-    The byte-level splitter never joins a blank between two visible characters to what stands before it, so a text
-    may be cut before each such blank. Texts with other white space around blanks are tokenized whole.
+    The byte-level splitter ends a token before a blank that stands between two visible characters, and between a
+    letter and a mark such as a comma. So a text may be cut there; other texts are tokenized whole. New words are
+    tokenized together: the first id of each is one whose bytes begin with a blank, and no other id is.
     """
 
+    _LOOSE = re.compile(r" \s|\s |^\s|\s$")
+    _TAIL = re.compile(r"[,.;:!?]+$")
+
     def __init__(self, path: str, end_id: int | None, kind: str):
         from tokenizers import Tokenizer
 
@@ -112,32 +119,46 @@ class WordIds:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = kind
         self.end = b"" if end_id is None else np.array([end_id], kind).tobytes()
-        self.first: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab(True)
+        self.opens = np.zeros(max(names.values()) + 1, bool)
+        self.opens[[i for name, i in names.items() if name.startswith("\u0120")]] = True
         self.table: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
         self.size = 0
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
-
-    def _plain(self, text: str, words: list[str]) -> bool:
-        """Whether every blank of the text stands between visible characters and no special token is in it."""
-        if any(s in text for s in self.special):
-            return False
-        return all(w and not w[0].isspace() and not w[-1].isspace() for w in words)
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, word: str) -> tuple[str, str]:
+        """The word without the marks at its end, where a letter stands before them, and the marks."""
+        core = self._TAIL.sub("", word)
+        return (core, word[len(core) :]) if core and core[-1].isalpha() else (word, "")
+
+    def _learn(self, words: set[str]) -> None:
+        cut = {w: self._cut(w) for w in words}
+        cores = list({c for c, _ in cut.values()} - self.cores.keys())
+        if cores:
+            ids = self._encoded([" " + " ".join(cores)])[0]
+            first = np.flatnonzero(self.opens[ids])
+            for core, part in zip(cores, np.split(ids, first[1:]), strict=True):
+                self.cores[core] = part.tobytes()
+        tails = list({t for _, t in cut.values()})
+        tail_ids = {t: i.tobytes() for t, i in zip(tails, self._encoded(tails))}
+        for word, (core, tail) in cut.items():
+            self.table[word] = self.cores[core] + tail_ids[tail]
+            self.size += len(word) + 8
 
     def of(self, texts: list[str]) -> list[bytes]:
         if self.size > TABLE_CHARS:
-            self.table, self.size = {}, 0
-        split = [t.split(" ") for t in texts]
-        plain = [self._plain(t, w) for t, w in zip(texts, split)]
-        new = list(set().union(*(w[1:] for w, p in zip(split, plain) if p)) - self.table.keys())
-        for word, ids in zip(new, self._encoded([" " + w for w in new])):
-            self.table[word] = ids
-            self.size += len(word) + 8
-        heads = iter(self._encoded([w[0] if p else t for t, w, p in zip(texts, split, plain)]))
+            self.table, self.cores, self.size = {}, {}, 0
+        plain = [not self._LOOSE.search(t) and not any(s in t for s in self.special) for t in texts]
+        split = [t.split(" ") if p else [t] for t, p in zip(texts, plain)]
+        new = set().union(*(w[1:] for w in split)) - self.table.keys()
+        if new:
+            self._learn(new)
+        heads = self._encoded([w[0] for w in split])
         found = self.table.__getitem__
-        return [b"".join([next(heads), *map(found, w[1:] if p else ()), self.end]) for w, p in zip(split, plain)]
+        return [b"".join([h.tobytes(), *map(found, w[1:]), self.end]) for h, w in zip(heads, split)]
 
 
 def write_token_files(
@@ -192,7 +213,7 @@ def write_token_files(
         if names:
             yield closed()
 
-    dealt.select("piece", "id", "text").mapInArrow(run, fields).write.parquet(path)
+    dealt.select("piece", "id", "text").mapInArrow(run, fields).write.option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
