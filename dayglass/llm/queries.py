@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dayglass.llm.decontamination import find_passages, passage_digest
 from dayglass.llm.fingerprints import edited_by_next
-from dayglass.llm.frames import table
+from dayglass.llm.frames import crc_bucket, table
 from dayglass.llm.jaccard_join import jaccard_components
 from dayglass.llm.pieces import encode_pieces, piece_digest
 from dayglass.llm.token_files import read_documents, write_token_files
+from dayglass.llm.toxicity import fit_toxicity, score_toxicity
 from dayglass.llm.url_filter import judge_urls
 from dayglass.session import scratch_path
 
@@ -83,6 +85,17 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_digest(encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"]))
 
 
+def _judged(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = crc_bucket("doc_id", 5) == 0
+    model = fit_toxicity(docs, table(spark, folder, "labels"), ~held_out)
+    return _judged(score_toxicity(docs, model, keep=["doc_id"]), held_out)
+
+
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 
@@ -95,6 +108,7 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_ngram_join": op5_ngram_join,
     "op7_decontamination": op7_decontamination,
