@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dayglass.llm.frames import with_text_columns
 from dayglass.llm.samples import labelled_sample
-from dayglass.llm.textkit import ALPHANUMERIC, Rolling, Words, blocks, split_words
+from dayglass.llm.textkit import ALPHANUMERIC, Rolling, Words, blocks, mix, split_words
 
 #: Labelled texts of each class that are used for fitting, and windows taken from each of them.
 PER_CLASS, WINDOWS = 3000, 4
@@ -128,20 +127,33 @@ def _telling(toxic: int, clean: int, share: float, texts: list[int]) -> bool:
     return own > share and nats >= NATS
 
 
+def _times(hashes: np.ndarray, unit: np.ndarray) -> dict[int, int]:
+    """In how many different units each hash is."""
+    _, at = np.unique(mix(hashes + unit * np.uint64(0x9FB21C651E98DF25)), return_index=True)
+    value, count = np.unique(hashes[at], return_counts=True)
+    return dict(zip(value.tolist(), count.tolist()))
+
+
 def label_tokens(parts: list[Words], toxic: list[np.ndarray]) -> list[np.ndarray]:
-    """Token labels from document labels: words, or stems of 4 and 5 characters, that only toxic texts have."""
-    seen = [Counter(), Counter()]
-    texts = [0, 0]
-    hashed = []
-    for words, labels in zip(parts, toxic):
+    """Token labels from document labels: words, or stems of 4 and 5 characters, that only toxic texts have.
+
+    A mark counts as often as it is in different toxic texts after different words, so that a passage or a text that
+    is there in many copies counts once.
+    """
+    hashed, owner, before, labelled = [], [], [], []
+    for number, (words, labels) in enumerate(zip(parts, toxic)):
         own = affixes(words, Rolling(words.data)) if len(words.begin) else [np.zeros(0, np.uint64)] * 5
-        kept = np.stack([own[0], own[2], own[3]], axis=1)
-        hashed.append(kept)
-        for i, y in enumerate(labels.tolist()):
-            texts[y] += 1
-            seen[y].update(np.unique(kept[words.first[i] : words.first[i + 1]]).tolist())
+        hashed.append(np.stack([own[0], own[2], own[3]], axis=1))
+        text = np.repeat(np.arange(len(labels)), np.diff(words.first))
+        owner.append(np.repeat((text + (number << 32)).astype(np.uint64), 3))
+        before.append(np.repeat(np.roll(own[0], 1), 3))
+        labelled.append(np.repeat(labels[text], 3))
+    every, owner, before, labelled = np.concatenate(hashed).ravel(), np.concatenate(owner), np.concatenate(before), np.concatenate(labelled) == 1
+    texts = [sum(int((y == k).sum()) for y in toxic) for k in (0, 1)]
     share = texts[1] / max(1, sum(texts))
-    marks = {h for h, n in seen[1].items() if _telling(n, seen[0][h], share, texts)}
+    in_toxic, after = _times(every[labelled], owner[labelled]), _times(every[labelled], before[labelled])
+    in_clean = _times(every[~labelled], owner[~labelled])
+    marks = {h for h, n in in_toxic.items() if _telling(min(n, after[h]), in_clean.get(h, 0), share, texts)}
     known = np.sort(np.fromiter(marks, np.uint64, len(marks)))
     out = []
     for words, labels, kept in zip(parts, toxic, hashed):
