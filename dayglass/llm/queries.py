@@ -11,6 +11,7 @@ from dayglass.llm.fingerprints import edited_by_next
 from dayglass.llm.frames import crc_bucket, table
 from dayglass.llm.jaccard_join import jaccard_components
 from dayglass.llm.pieces import encode_pieces, piece_digest
+from dayglass.llm.quality import fit_quality, score_quality
 from dayglass.llm.token_files import read_documents, write_token_files
 from dayglass.llm.toxicity import fit_toxicity, score_toxicity
 from dayglass.llm.url_filter import judge_urls
@@ -100,6 +101,13 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = crc_bucket("doc_id", 3) == 1
+    model = fit_quality(docs, table(spark, folder, "labels"), ~held_out)
+    return _judged(score_quality(docs, model, keep=["doc_id"]), held_out)
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -112,6 +120,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_ngram_join": op5_ngram_join,
     "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_pieces": op10_pieces,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +13,12 @@ from dayglass.llm.frames import quoted
 LONGEST = 50_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], list[int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], list[int], float]:
     """At most ``per_class`` texts of label 0 and of label 1, in the order of a hash of their ids.
 
     Only rows with ``learn`` are drawn, no NULL text, and no text over LONGEST characters. An id that is there several
-    times gives one text. The driver gets at most 2 * per_class texts.
+    times gives one text. The driver gets at most 2 * per_class texts. Third comes the log of the odds of label 1 among
+    all such labels less that among the texts drawn, to be added to the log-odds of what is learned from these.
     """
     ids = labels.where(learn & F.col(quoted(label)).isin(0, 1)).select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(label)).cast("int").alias("label"))
     ids = ids.groupBy("id").agg(F.max("label").alias("label")).withColumn("order", F.xxhash64("id"))
@@ -26,4 +29,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     # The broadcast side has at most 2 * per_class rows.
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label", "order").agg(F.min("text").alias("text")).toArrow()
     found = sorted(zip(rows["order"].to_pylist(), rows["id"].to_pylist(), rows["text"].to_pylist(), rows["label"].to_pylist()))
-    return [r[2] for r in found], [r[3] for r in found]
+    all_rows = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    drawn = [sum(r[3] == k for r in found) for k in (0, 1)]
+    shift = math.log(all_rows[1] / all_rows[0] * drawn[0] / drawn[1]) if min(drawn) else 0.0
+    return [r[2] for r in found], [r[3] for r in found], shift

@@ -303,4 +303,5 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
 
     Without toxic examples every text gets a score near 0.
     """
-    return fit(*labelled_sample(docs, labels, label, F.lit(True) if learn is None else learn, per_class, doc_id, text))
+    texts, toxic, _ = labelled_sample(docs, labels, label, F.lit(True) if learn is None else learn, per_class, doc_id, text)
+    return fit(texts, toxic)
