@@ -10,6 +10,7 @@ from dayglass.llm.decontamination import find_passages, passage_digest
 from dayglass.llm.fingerprints import edited_by_next
 from dayglass.llm.frames import crc_bucket, table
 from dayglass.llm.jaccard_join import jaccard_components
+from dayglass.llm.language_model import score_texts
 from dayglass.llm.pieces import encode_pieces, piece_digest
 from dayglass.llm.quality import fit_quality, score_quality
 from dayglass.llm.token_files import read_documents, write_token_files
@@ -48,6 +49,13 @@ FROM parts LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (n)
 """ % ", ".join(str(r) for r in URL_RULES)
 
 
+def op6_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = crc_bucket("doc_id", 10) == 0
+    scored = score_texts(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return passage_digest(find_passages(docs, table(spark, folder, "benchmark"), keep=["doc_id"]))
@@ -119,6 +127,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_ngram_join": op5_ngram_join,
+    "op6_lm_scores": op6_lm_scores,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
