@@ -33,8 +33,8 @@ WIDTH, PERCENT = 5, 75
 GROUP, SMALL = 5.2, 64
 #: Share of the documents from which a feature is frequent, and most features that are held to be so.
 FREQUENT, MOST_FREQUENT = 0.002, 1 << 19
-#: Vertices in one row of a run; longer runs take several rows.
-RUN_ROW = 4096
+#: Vertices in one row of a run; longer runs take several rows. Runs of up to SHORT_RUN give all their pairs.
+RUN_ROW, SHORT_RUN = 4096, 16
 #: Bits of the filter that spares documents outside all candidates the way to the comparison.
 FILTER_BITS = 1 << 24
 
@@ -288,23 +288,23 @@ def _runs(docs: DataFrame, text: str, width: int, percent: int, frequent: np.nda
 
 
 def _near_enough(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and parity bits do not rule out."""
+    """Pairs (a, b) that sizes and parity bits do not rule out, with the differences that the bits show."""
     a = info.select(F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     b = info.select(F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, na, nb, bits_a, bits_b = (c.to_pylist() for c in batch.columns)
-            kept = [
-                i
-                for i in range(len(x))
-                if 100 * min(na[i], nb[i]) >= percent * max(na[i], nb[i])
-                and least_differences(bits_a[i], bits_b[i]) <= most_differences(na[i], nb[i], percent)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in kept], pa.int64()) for c in (x, y)], names=["a", "b"])
+            rows = []
+            for i in range(len(x)):
+                if 100 * min(na[i], nb[i]) >= percent * max(na[i], nb[i]):
+                    least = least_differences(bits_a[i], bits_b[i])
+                    if least <= most_differences(na[i], nb[i], percent):
+                        rows.append((x[i], y[i], least))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "least"])
 
     wide = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
-    return wide.mapInArrow(run, "a bigint, b bigint")
+    return wide.mapInArrow(run, "a bigint, b bigint, least bigint")
 
 
 def _vertex_filter(vertices: DataFrame) -> np.ndarray:
@@ -370,67 +370,117 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("vertex", "component")
 
 
-def _cross_pairs(members: DataFrame, vertex_info: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a run that lie in different components and that sizes and parity bits do not rule out.
+def _short_run_pairs(runs: DataFrame) -> DataFrame:
+    """All pairs (a, b) of runs of at most SHORT_RUN vertices: at most SHORT_RUN / 2 for each of their vertices."""
+    each = F.transform(
+        "vertices",
+        lambda x, i: F.transform(F.slice("vertices", i + 2, SHORT_RUN), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))),
+    )
+    return runs.where((F.col("chunk") == 0) & (F.size("vertices") <= SHORT_RUN)).select(F.explode(F.flatten(each)).alias("p")).select("p.*").distinct()
 
-    ``members``: (run, chunk, vertex, component) of runs that hold several components. A run is compared in blocks of
-    two of its rows, each block in one task; only pairs that pass are given out.
+
+def _block_pairs(rows: list[tuple], percent: int, nearest: bool) -> Iterator[list[tuple[int, int, int]]]:
+    """Pairs (a, b, least differences) of one block whose vertices lie in different components and may be similar.
+
+    With ``nearest`` only the pair of each vertex with the fewest differences.
+    """
+    rows = sorted(rows, key=lambda r: r[6])
+    vertex, chunk, component, n = (np.array([r[k] for r in rows]) for k in (4, 3, 5, 6))
+    crossing = rows[0][1] != rows[0][2]
+    bits = [np.frombuffer(r[7], np.uint8) for r in rows]
+    size = np.array([len(b) for b in bits])
+    far = np.iinfo(np.int64).max
+    best, partner = np.full(len(rows), far), np.zeros(len(rows), np.int64)
+    found: list[tuple[int, int, int]] = []
+    for width in np.unique(size):
+        # Sets whose bits are of this length against all that are at least as long, folded to it.
+        here, there = np.flatnonzero(size == width), np.flatnonzero(size >= width)
+        folded = np.stack([np.bitwise_xor.reduce(bits[t].reshape(-1, width), axis=0) for t in there]).view(np.uint64)
+        place = {t: k for k, t in enumerate(there.tolist())}
+        for a in here.tolist():
+            able = (there > a) & (component[there] != component[a]) & (100 * n[a] >= percent * n[there])
+            if crossing:
+                able &= chunk[there] != chunk[a]
+            k = np.flatnonzero(able)
+            if not len(k):
+                continue
+            least = np.bitwise_count(folded[k] ^ folded[place[a]]).sum(axis=1).astype(np.int64)
+            near = least <= most_differences(n[a], n[there[k]], percent)
+            b, least = there[k[near]], least[near]
+            if not len(b):
+                continue
+            if nearest:
+                closer = least < best[b]
+                best[b[closer]], partner[b[closer]] = least[closer], a
+                if least.min() < best[a]:
+                    best[a], partner[a] = least.min(), b[least.argmin()]
+            else:
+                x, y = np.minimum(vertex[a], vertex[b]), np.maximum(vertex[a], vertex[b])
+                found += zip(x.tolist(), y.tolist(), least.tolist())
+                if len(found) > 1 << 16:
+                    yield found
+                    found = []
+    for a in np.flatnonzero(best < far).tolist():
+        x, y = int(vertex[a]), int(vertex[partner[a]])
+        found.append((min(x, y), max(x, y), int(best[a])))
+    yield found
+
+
+def _long_run_pairs(runs: DataFrame, label: DataFrame | None, info: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b, least) of runs of more than SHORT_RUN vertices between different components, see :func:`_block_pairs`.
+
+    A run is compared in blocks of two of its rows, each block in one task.
     """
-    last = members.groupBy("run").agg(F.max("chunk").alias("last"))
-    other = F.sequence(F.lit(0), F.col("last"))
-    placed = members.join(last, "run").withColumn("other", F.explode(other)).join(vertex_info.select("vertex", "n", "bits"), "vertex")
-    rows = placed.select("run", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "vertex", "component", "n", "bits")
-    dealt = rows.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "vertex")
-
-    def block_pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        found: list[tuple[int, int]] = []
-        rows = sorted(rows, key=lambda r: r[6])
-        n = np.array([r[6] for r in rows])
-        component = np.array([r[5] for r in rows])
-        chunk = np.array([r[3] for r in rows])
-        bits = [np.frombuffer(r[7], np.uint8) for r in rows]
-        crossing = rows[0][1] != rows[0][2]
-        size = np.array([len(b) for b in bits])
-        for width in np.unique(size):
-            # Sets whose bits are of this length, against all at least as long, folded to it.
-            here = np.flatnonzero(size == width)
-            there = np.flatnonzero(size >= width)
-            folded = np.stack([np.bitwise_xor.reduce(bits[t].reshape(-1, width), axis=0) for t in there])
-            folded = folded.view(np.uint64) if width % 8 == 0 else folded
-            place = {t: k for k, t in enumerate(there.tolist())}
-            for a in here.tolist():
-                able = (there > a) & (component[there] != component[a]) & (100 * n[a] >= percent * n[there])
-                if crossing:
-                    able &= chunk[there] != chunk[a]
-                k = np.flatnonzero(able)
-                if len(k):
-                    least = np.bitwise_count(folded[k] ^ folded[place[a]]).sum(axis=1)
-                    for b in there[k[least <= most_differences(n[a], n[there[k]], percent)]].tolist():
-                        x, y = rows[a][4], rows[b][4]
-                        found.append((min(x, y), max(x, y)))
-        return found
+    long = runs.where((F.col("chunk") > 0) | (F.size("vertices") > SHORT_RUN))
+    members = long.select("run", "chunk", F.explode("vertices").alias("vertex"))
+    if label is None:
+        members = members.withColumn("component", F.col("vertex"))
+    else:
+        members = members.join(label, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    mixed = members.groupBy("run").agg(F.max("chunk").alias("last"), F.min("component").alias("low"), F.max("component").alias("high"))
+    placed = members.join(mixed.where("low != high").select("run", "last"), "run").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    rows = placed.join(info.select("vertex", "n", "bits"), "vertex").select(
+        "run", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "vertex", "component", "n", "bits"
+    )
+    dealt = rows.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[tuple[int, int]] = set()
+        met: set[tuple[int, int, int]] = set()
         held: list[tuple] = []
 
-        def made() -> pa.RecordBatch:
-            fresh = [p for p in set(block_pairs(held)) if p not in met] if len(held) > 1 else []
-            if len(met) > 1 << 20:
-                met.clear()
-            met.update(fresh)
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in fresh], pa.int64()) for i in range(2)], names=["a", "b"])
+        def made() -> Iterator[pa.RecordBatch]:
+            for found in _block_pairs(held, percent, nearest) if len(held) > 1 else ():
+                fresh = list(set(found) - met)
+                if len(met) > 1 << 20:
+                    met.clear()
+                met.update(fresh)
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in fresh], pa.int64()) for k in range(3)], names=["a", "b", "least"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0][:3] != row[:3]:
-                    yield made()
+                    yield from made()
                     held = []
                 held.append(row)
         if held:
-            yield made()
+            yield from made()
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, least bigint").distinct()
+
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, least) the one of each vertex with the fewest differences."""
+    ends = F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))
+    each = pairs.select("least", F.explode(ends).alias("x")).groupBy("x.v").agg(F.min(F.struct("least", "x.w")).alias("best"))
+    return each.select(F.least("v", "best.w").alias("a"), F.greatest("v", "best.w").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose vertices are not yet in one component."""
+    for side in ("a", "b"):
+        own = label.select(F.col("vertex").alias(side), F.col("component").alias(f"component_{side}"))
+        pairs = pairs.join(own, side, "left").withColumn(f"component_{side}", F.coalesce(f"component_{side}", side))
+    return pairs.where("component_a != component_b").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -441,30 +491,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     100 * common >= percent * union. Repeated rows and copies are one vertex; NULL ids do not count as smallest
     unless nothing else is there. Sets and shingles are told apart by 64-bit hashes.
 
-    Order of work: copies fall together; signatures give runs; each vertex is compared with the vertex of its runs
-    that has most company; vertices of a run that are still apart are then compared in blocks, first by parity
-    bits that can only rule out, then by their whole sets. No link between different components is left out.
+    Order of work: copies fall together; signatures give runs of vertices; parity bits, which can only rule out, thin
+    their pairs; each vertex is compared by whole sets with the nearest of its pairs; then all pairs whose vertices are
+    still in different components are. No link between different components is left out.
     """
     stored = cut_lineage(_vertices(docs, doc_id, text, width))
     info = stored.where("n IS NOT NULL").select("doc_id", "vertex", "n", "bits")
     vertices = cut_lineage(info.where("n > 0").groupBy("vertex").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("bits").alias("bits")))
     runs = cut_lineage(_runs(docs, text, width, percent, _frequent_features(stored)))
-    members = runs.select("run", "chunk", F.explode("vertices").alias("vertex"))
-
-    size = members.groupBy("run").agg(F.count("*").alias("size"))
-    weight = members.join(size, "run").groupBy("vertex").agg(F.sum("size").alias("weight"))
-    weighed = members.join(weight, "vertex")
-    hub = weighed.groupBy("run").agg(F.max(F.struct("weight", "vertex")).alias("hub"))
-    star = members.join(hub, "run").where("vertex != hub.vertex").groupBy("vertex").agg(F.max("hub").alias("hub"))
-    pairs = star.select(F.col("vertex").alias("a"), F.col("hub.vertex").alias("b"))
-    links = cut_lineage(_linked(cut_lineage(_near_enough(pairs, vertices, percent)), docs, text, width, percent))
 
+    short = cut_lineage(_near_enough(_short_run_pairs(runs), vertices, percent))
+    first = cut_lineage(_nearest(short).union(_long_run_pairs(runs, None, vertices, percent, nearest=True).select("a", "b")).distinct())
+    links = cut_lineage(_linked(first, docs, text, width, percent))
     label = components(links)
-    labelled = members.join(label, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-    mixed = labelled.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    cross = cut_lineage(_cross_pairs(labelled.join(mixed, "run", "left_semi"), vertices, percent))
-    if not cross.isEmpty():
-        label = components(links.union(_linked(cross, docs, text, width, percent)))
+    rest = _apart(short, label).union(_apart(_long_run_pairs(runs, label, vertices, percent, nearest=False), label))
+    rest = cut_lineage(rest.distinct().join(first, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        label = components(links.union(_linked(rest, docs, text, width, percent)))
 
     named = label.join(vertices.select("vertex", "first"), "vertex")
     smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
