@@ -8,7 +8,6 @@ of documents), ``doc_ids``, ``n_ids``, ``ids`` (little-endian unsigned, 2 bytes
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ SAMPLE = 64
 #: Bytes of a row group, so that a reader's batch of whole segments stays small.
 ROW_GROUP = 8 << 20
 #: Characters of words that a task keeps in its table; a fuller table starts anew, which changes no result.
-TABLE_CHARS = 6 << 20
+TABLE_CHARS = 12 << 20
 
 
 class EliasFano:
@@ -109,8 +108,7 @@ class WordIds:
     tokenized together: the first id of each is one whose bytes begin with a blank, and no other id is.
     """
 
-    _LOOSE = re.compile(r" \s|\s |^\s|\s$")
-    _TAIL = re.compile(r"[,.;:!?]+$")
+    _MARKS = ",.;:!?"
 
     def __init__(self, path: str, end_id: int | None, kind: str):
         from tokenizers import Tokenizer
@@ -129,36 +127,43 @@ class WordIds:
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, word: str) -> tuple[str, str]:
-        """The word without the marks at its end, where a letter stands before them, and the marks."""
-        core = self._TAIL.sub("", word)
-        return (core, word[len(core) :]) if core and core[-1].isalpha() else (word, "")
-
     def _learn(self, words: set[str]) -> None:
-        cut = {w: self._cut(w) for w in words}
-        cores = list({c for c, _ in cut.values()} - self.cores.keys())
-        if cores:
-            ids = self._encoded([" " + " ".join(cores)])[0]
-            first = np.flatnonzero(self.opens[ids])
-            for core, part in zip(cores, np.split(ids, first[1:]), strict=True):
-                self.cores[core] = part.tobytes()
-        tails = list({t for _, t in cut.values()})
+        marks, cores, cut = self._MARKS, self.cores, []
+        for word in words:
+            core = word.rstrip(marks) if word[-1] in marks else word
+            cut.append((word, core, word[len(core) :]) if core and core[-1].isalpha() else (word, word, ""))
+        new = list({c for _, c, _ in cut} - cores.keys())
+        if new:
+            ids = self._encoded([" " + " ".join(new)])[0]
+            first = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
+            if len(first) != len(new) + 1:
+                raise ValueError("the tokenizer joins words")
+            raw, width = ids.tobytes(), ids.itemsize
+            for core, a, b in zip(new, first, first[1:]):
+                cores[core] = raw[a * width : b * width]
+        tails = list({t for _, _, t in cut})
         tail_ids = {t: i.tobytes() for t, i in zip(tails, self._encoded(tails))}
-        for word, (core, tail) in cut.items():
-            self.table[word] = self.cores[core] + tail_ids[tail]
-            self.size += len(word) + 8
+        self.table.update((word, cores[core] + tail_ids[tail]) for word, core, tail in cut)
+        self.size += sum(map(len, words)) + 8 * len(words)
 
     def of(self, texts: list[str]) -> list[bytes]:
         if self.size > TABLE_CHARS:
             self.table, self.cores, self.size = {}, {}, 0
-        plain = [not self._LOOSE.search(t) and not any(s in t for s in self.special) for t in texts]
-        split = [t.split(" ") if p else [t] for t, p in zip(texts, plain)]
-        new = set().union(*(w[1:] for w in split)) - self.table.keys()
+        split = []
+        for text in texts:
+            head, blank, rest = text.partition(" ")
+            cut = blank and head and not head[-1].isspace() and not any(s in text for s in self.special)
+            split.append((head, rest.split(" ")) if cut else (text, []))
+        new = set().union(*(words for _, words in split)) - self.table.keys()
+        loose = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        if loose:
+            split = [s if loose.isdisjoint(s[1]) else (t, []) for s, t in zip(split, texts)]
+            new = set().union(*(words for _, words in split)) - self.table.keys()
         if new:
             self._learn(new)
-        heads = self._encoded([w[0] for w in split])
+        heads = self._encoded([head for head, _ in split])
         found = self.table.__getitem__
-        return [b"".join([h.tobytes(), *map(found, w[1:]), self.end]) for h, w in zip(heads, split)]
+        return [b"".join([h.tobytes(), *map(found, words), self.end]) for h, (_, words) in zip(heads, split)]
 
 
 def write_token_files(
