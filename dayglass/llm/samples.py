@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dayglass.llm.frames import quoted
 
 #: Longest text that is used for fitting. Scoring has no such bound.
-LONGEST = 50_000
+LONGEST = 20_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], list[int], float]:

@@ -14,7 +14,7 @@ from dayglass.llm.samples import labelled_sample
 from dayglass.llm.textkit import ALPHANUMERIC, Rolling, Words, blocks, mix, split_words
 
 #: Labelled texts of each class that are used for fitting, and windows taken from each of them.
-PER_CLASS, WINDOWS = 3000, 4
+PER_CLASS, WINDOWS = 2000, 4
 #: Buckets of hashed features, and words on each side of a window's middle.
 BUCKETS, REACH = 1 << 17, 12
 #: A word or stem marks toxic tokens if its log-odds for toxic texts are at least ODDS and if so uneven a share of
@@ -53,7 +53,7 @@ def features(words: Words) -> np.ndarray:
     after = np.roll(own[0], -1) * np.uint64(5) + np.uint64(29)
     before[first[:-1]] = 7
     after[first[1:]] = 11
-    return np.stack([*own, before, after], axis=1) % np.uint64(BUCKETS)
+    return (np.stack([*own, before, after], axis=1) % np.uint64(BUCKETS)).astype(np.uint32)
 
 
 def _ratios(emission: np.ndarray, first: np.ndarray, steps: np.ndarray, opening: float) -> np.ndarray:
@@ -119,6 +119,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _marks(words: Words) -> np.ndarray:
+    """Hashes of each word and of its first 4 and 5 characters."""
+    own = affixes(words, Rolling(words.data)) if len(words.begin) else [np.zeros(0, np.uint64)] * 5
+    return np.stack([own[0], own[2], own[3]], axis=1)
+
+
 def _telling(toxic: int, clean: int, share: float, texts: list[int]) -> bool:
     if np.log((toxic + 0.5) / (texts[1] + 1)) - np.log((clean + 0.5) / (texts[0] + 1)) < ODDS:
         return False
@@ -127,10 +133,14 @@ def _telling(toxic: int, clean: int, share: float, texts: list[int]) -> bool:
     return own > share and nats >= NATS
 
 
-def _times(hashes: np.ndarray, unit: np.ndarray) -> dict[int, int]:
-    """In how many different units each hash is."""
-    _, at = np.unique(mix(hashes + unit * np.uint64(0x9FB21C651E98DF25)), return_index=True)
-    value, count = np.unique(hashes[at], return_counts=True)
+def _each_once(hashes: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash and unit mixed, hash) of all different pairs."""
+    mixed, at = np.unique(mix(hashes + unit * np.uint64(0x9FB21C651E98DF25)), return_index=True)
+    return mixed, hashes[at]
+
+
+def _counted(hashes: list[np.ndarray]) -> dict[int, int]:
+    value, count = np.unique(np.concatenate(hashes), return_counts=True)
     return dict(zip(value.tolist(), count.tolist()))
 
 
@@ -140,23 +150,24 @@ def label_tokens(parts: list[Words], toxic: list[np.ndarray]) -> list[np.ndarray
     A mark counts as often as it is in different toxic texts after different words, so that a passage or a text that
     is there in many copies counts once.
     """
-    hashed, owner, before, labelled = [], [], [], []
-    for number, (words, labels) in enumerate(zip(parts, toxic)):
-        own = affixes(words, Rolling(words.data)) if len(words.begin) else [np.zeros(0, np.uint64)] * 5
-        hashed.append(np.stack([own[0], own[2], own[3]], axis=1))
-        text = np.repeat(np.arange(len(labels)), np.diff(words.first))
-        owner.append(np.repeat((text + (number << 32)).astype(np.uint64), 3))
-        before.append(np.repeat(np.roll(own[0], 1), 3))
-        labelled.append(np.repeat(labels[text], 3))
-    every, owner, before, labelled = np.concatenate(hashed).ravel(), np.concatenate(owner), np.concatenate(before), np.concatenate(labelled) == 1
+    in_texts: dict[int, list[np.ndarray]] = {0: [np.zeros(0, np.uint64)], 1: [np.zeros(0, np.uint64)]}
+    after = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+    for words, labels in zip(parts, toxic):
+        kept, text = _marks(words), np.repeat(np.arange(len(labels)), np.diff(words.first))
+        for k in (0, 1):
+            rows = np.flatnonzero(labels[text] == k)
+            in_texts[k].append(_each_once(kept[rows].ravel(), np.repeat(text[rows], 3).astype(np.uint64))[1])
+        after.append(_each_once(kept[rows].ravel(), np.repeat(np.roll(kept[:, 0], 1)[rows], 3)))
     texts = [sum(int((y == k).sum()) for y in toxic) for k in (0, 1)]
     share = texts[1] / max(1, sum(texts))
-    in_toxic, after = _times(every[labelled], owner[labelled]), _times(every[labelled], before[labelled])
-    in_clean = _times(every[~labelled], owner[~labelled])
-    marks = {h for h, n in in_toxic.items() if _telling(min(n, after[h]), in_clean.get(h, 0), share, texts)}
+    _, at = np.unique(np.concatenate([mixed for mixed, _ in after]), return_index=True)
+    different = _counted([np.concatenate([h for _, h in after])[at]])
+    in_clean = _counted(in_texts[0])
+    marks = {h for h, n in _counted(in_texts[1]).items() if _telling(min(n, different[h]), in_clean.get(h, 0), share, texts)}
     known = np.sort(np.fromiter(marks, np.uint64, len(marks)))
     out = []
-    for words, labels, kept in zip(parts, toxic, hashed):
+    for words, labels in zip(parts, toxic):
+        kept = _marks(words)
         text = np.repeat(labels, np.diff(words.first)).astype(bool)
         out.append(np.isin(kept, known).any(axis=1) & text)
     return out
@@ -259,7 +270,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     steps, none = np.ones((2, 2)), np.zeros(BUCKETS)
     if not any(y.any() for y in ys):
         return Model(none, steps, 1.0, np.array([-20.0, 0.0, 0.0]))
-    model = Model(*_fit_weights(np.concatenate(xs).astype(np.int64), np.concatenate(ys), first, rng), np.zeros(3))
+    model = Model(*_fit_weights(np.concatenate(xs), np.concatenate(ys), first, rng), np.zeros(3))
     signals = np.concatenate([document_signals(_infer(words, model), words.first) for words in parts])
     return model._replace(score=_fit_score(signals, np.concatenate(labels).astype(float)))
 
@@ -301,7 +312,8 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", keep: list
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "toxic", per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fit on at most ``per_class`` labelled texts of each class, drawn by a hash of their ids from rows with ``learn``.
 
-    Without toxic examples every text gets a score near 0.
+    The log-odds are then moved from the shares of the sample to those of all labels. Without toxic examples every text gets a score near 0.
     """
-    texts, toxic, _ = labelled_sample(docs, labels, label, F.lit(True) if learn is None else learn, per_class, doc_id, text)
-    return fit(texts, toxic)
+    texts, toxic, shift = labelled_sample(docs, labels, label, F.lit(True) if learn is None else learn, per_class, doc_id, text)
+    model = fit(texts, toxic)
+    return model._replace(score=model.score + np.array([shift, 0, 0]))
