@@ -13,6 +13,7 @@ from dayglass.llm.jaccard_join import jaccard_components
 from dayglass.llm.language_model import score_texts
 from dayglass.llm.pieces import encode_pieces, piece_digest
 from dayglass.llm.quality import fit_quality, score_quality
+from dayglass.llm.secrets import finding_rows, fit_scanner, scan_secrets
 from dayglass.llm.token_files import read_documents, write_token_files
 from dayglass.llm.toxicity import fit_toxicity, score_toxicity
 from dayglass.llm.url_filter import judge_urls
@@ -94,6 +95,11 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_digest(encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"]))
 
 
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return finding_rows(scan_secrets(docs, fit_scanner(docs), keep=["doc_id"]))
+
+
 def _judged(scored: DataFrame, held_out) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -124,6 +130,7 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_secret_scan": op2_secret_scan,
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_ngram_join": op5_ngram_join,
