@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,8 +90,6 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerpri
 
 def likeness_column(a: Column, b: Column) -> Column:
     """:func:`likeness` of two columns of hexadecimal fingerprints; NULL counts as empty."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def compare(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([likeness(bytes.fromhex(i or ""), bytes.fromhex(j or "")) for i, j in zip(x, y)], dtype=float)

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,8 +97,6 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", keep: li
 
 def decode_pieces(docs: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text that the model makes of an array of ids (NULL: empty)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decoded(column: pd.Series) -> pd.Series:
         import sentencepiece

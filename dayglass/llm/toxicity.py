@@ -59,7 +59,7 @@ def features(words: Words) -> np.ndarray:
 def _ratios(emission: np.ndarray, first: np.ndarray, steps: np.ndarray, opening: float) -> np.ndarray:
     """Odds of label 1 given the tokens up to each token, for sequences that begin at ``first``.
 
-    Each token maps the odds r to e * (s01 + s11 r) / (s00 + s10 r). Sequences are cut into lanes; the maps of a lane
+    The first token has e * opening; every other maps the odds r to e * (s01 + s11 r) / (s00 + s10 r). Sequences are cut into lanes; the maps of a lane
     are multiplied up, which gives the odds at which each lane starts, and then all lanes run side by side.
     """
     counts = np.diff(first)
@@ -76,12 +76,14 @@ def _ratios(emission: np.ndarray, first: np.ndarray, steps: np.ndarray, opening:
         e, m = emission[start[live] + i], maps[live]
         top = e[:, None] * (steps[1, 1] * m[:, 0] + steps[0, 1] * m[:, 1])
         low = steps[1, 0] * m[:, 0] + steps[0, 0] * m[:, 1]
+        if not i:
+            opens = rank[live] == 0
+            top[opens], low[opens] = np.stack([np.zeros(opens.sum()), e[opens] * opening], axis=1), (0.0, 1.0)
         maps[live] = np.stack([top, low], axis=1) / np.maximum(top, low).max(axis=1)[:, None, None]
     entry = np.empty(len(text))
-    now = np.full(len(counts), opening)
+    now = np.ones(len(counts))
     order = np.argsort(rank, kind="stable")
     bounds = np.searchsorted(rank[order], np.arange(rank.max() + 2)) if len(rank) else [0]
-    # Before its first token a sequence has no step; odds that a step turns into ``opening`` stand in for it.
     for i in range(len(bounds) - 1):
         here = order[bounds[i] : bounds[i + 1]]
         r = now[text[here]]
@@ -96,21 +98,18 @@ def _ratios(emission: np.ndarray, first: np.ndarray, steps: np.ndarray, opening:
             break
         r = r.copy()
         r[live] = emission[start[live] + i] * (steps[0, 1] + steps[1, 1] * r[live]) / (steps[0, 0] + steps[1, 0] * r[live])
+        if not i:
+            r[rank == 0] = emission[start[rank == 0]] * opening
         out[start[live] + i] = r[live]
     return out
 
 
-def _odds_before(steps: np.ndarray, wanted: float) -> float:
-    """Odds that one step turns into ``wanted``; may be negative, as the maps are only multiplied."""
-    return (wanted * steps[0, 0] - steps[0, 1]) / (steps[1, 1] - wanted * steps[1, 0])
-
-
 def forward_backward(logits: np.ndarray, first: np.ndarray, steps: np.ndarray, opening: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward odds, backward odds with the token's own emission, and log-odds of the marginals."""
     emission = np.exp(np.clip(logits, -30, 30))
-    ahead = _ratios(emission, first, steps, _odds_before(steps, opening))
+    ahead = _ratios(emission, first, steps, opening)
     last = len(logits) - first[::-1]
-    back = _ratios(emission[::-1], last, steps.T, _odds_before(steps.T, 1.0))[::-1]
+    back = _ratios(emission[::-1], last, steps.T, 1.0)[::-1]
     tiny = 1e-300
     return ahead, back, np.log(np.maximum(ahead, tiny)) + np.log(np.maximum(back, tiny)) - np.clip(logits, -30, 30)
 
@@ -223,14 +222,17 @@ def _fit_weights(x: np.ndarray, y: np.ndarray, first: np.ndarray, rng: np.random
 
 
 def document_signals(marginal: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per text: one, the largest log-odds of a token (clipped), and the log of the expected number of toxic tokens."""
+    """Per text: one, the largest log-odds of a token (clipped), and the log of the summed marginals of tagged tokens.
+
+    Tokens below one half do not add up, so that the length of a text alone says nothing.
+    """
     out = np.zeros((len(first) - 1, 3))
     out[:, 0], out[:, 1] = 1, -8
     full = np.flatnonzero(np.diff(first))
     if len(full):
         clipped = np.clip(marginal, -8, 8)
         out[full, 1] = np.maximum.reduceat(clipped, first[full])
-        out[full, 2] = np.log1p(np.add.reduceat(_sigmoid(marginal), first[full]))
+        out[full, 2] = np.log1p(np.add.reduceat(np.where(marginal >= 0, _sigmoid(marginal), 0.0), first[full]))
     return out
 
 
@@ -267,9 +269,8 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
             ys.append(y[window])
             sizes.append(len(window))
     first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-    steps, none = np.ones((2, 2)), np.zeros(BUCKETS)
     if not any(y.any() for y in ys):
-        return Model(none, steps, 1.0, np.array([-20.0, 0.0, 0.0]))
+        return Model(np.zeros(BUCKETS), np.array([[1.0, 1e-6], [1.0, 1e-6]]), 1e-6, np.array([-20.0, 0.0, 0.0]))
     model = Model(*_fit_weights(np.concatenate(xs), np.concatenate(ys), first, rng), np.zeros(3))
     signals = np.concatenate([document_signals(_infer(words, model), words.first) for words in parts])
     return model._replace(score=_fit_score(signals, np.concatenate(labels).astype(float)))
