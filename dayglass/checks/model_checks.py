@@ -194,11 +194,10 @@ def _boosting_sql() -> str:
         "r0 AS (SELECT row_id, CAST(is_installed AS INTEGER) AS y, 1 / (1 + exp(0.5)) AS p, "
         + ", ".join(f"CAST({bin_sql(c)} AS INTEGER) AS bin_{c}" for c in _FEATURES)
         + " FROM imp, lim)",
-        "t0 AS (SELECT *, CASE WHEN y = 1 THEN p ELSE 1 - p END AS pt, CASE WHEN y = 1 THEN 0.25 ELSE 0.75 END AS w, 2 * y - 1 AS s FROM r0)",
         """n0 AS (SELECT row_id, 1 AS node, """
         + ", ".join(f"bin_{c}" for c in _FEATURES)
-        + """, w * s * pow(1 - pt, 2) * (2 * pt * ln(pt) + pt - 1) AS g,
-  (-w * s * 2 * (1 - pt) * (2 * pt * ln(pt) + pt - 1) + w * s * pow(1 - pt, 2) * (2 * ln(pt) + 3)) * s * pt * (1 - pt) AS h FROM t0)""",
+        + """, CASE WHEN y = 1 THEN 0.25 * (1 - p) ** 2 * (2 * p * ln(p) - (1 - p)) ELSE 0.75 * p * p * (p - 2 * (1 - p) * ln(1 - p)) END AS g,
+  CASE WHEN y = 1 THEN 0.25 * p * (1 - p) ** 2 * (5 * (1 - p) + 2 * ln(p) * (1 - 3 * p)) ELSE 0.75 * (1 - p) * p * p * (5 * p + 2 * ln(1 - p) * (3 * p - 2)) END AS h FROM r0)""",
     ]
     for i in range(2):
         long = " UNION ALL ".join(f"SELECT node, '{c}' AS f, bin_{c} AS b, g, h FROM n{i}" for c in _FEATURES)

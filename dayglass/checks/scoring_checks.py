@@ -180,15 +180,27 @@ SQL["sigmoid_with_offset"] = with_views(
 
 _LONG = "m AS (" + per_column_sql(list(MODELS), "SELECT '{c}' AS model, day, CAST(is_installed AS INTEGER) AS y, {c} AS p FROM scores") + ")"
 _LL = "-CASE WHEN y = 1 THEN ln(least(greatest(p, 1e-15), 1 - 1e-15)) ELSE ln(1 - least(greatest(p, 1e-15), 1 - 1e-15)) END"
+# The same rows with every eleventh score and every thirteenth label missing.
+_GAPS = "m AS (" + per_column_sql(
+    list(MODELS),
+    "SELECT '{c}' AS model, day, CASE WHEN row_id % 13 <> 0 THEN CAST(is_installed AS INTEGER) END AS y, CASE WHEN row_id % 11 <> 0 THEN {c} END AS p FROM scores",
+) + "), k AS (SELECT * FROM m WHERE y IS NOT NULL AND p IS NOT NULL)"
 
 
 def _long(s, d):
     return I.long_scores(scores(s, d), list(MODELS), ["day", "is_installed"])
 
 
-QUERIES["log_loss"] = lambda s, d: rounded(I.log_loss(_long(s, d), "is_installed", "p", ["model", "day"]), 9)
+def _with_gaps(s, d):
+    long = I.long_scores(scores(s, d), list(MODELS), ["row_id", "day", "is_installed"])
+    return long.withColumns(
+        {"p": F.when(F.col("row_id") % 11 != 0, F.col("p")), "is_installed": F.when(F.col("row_id") % 13 != 0, F.col("is_installed"))}
+    )
+
+
+QUERIES["log_loss"] = lambda s, d: rounded(I.log_loss(_with_gaps(s, d), "is_installed", "p", ["model", "day"]), 9)
 SQL["log_loss"] = with_views(
-    "scores", f"{_LONG} SELECT model, day, count(*) AS rows, round(avg({_LL}), 9) AS log_loss FROM m GROUP BY ALL"
+    "scores", f"{_GAPS} SELECT model, day, count(*) AS rows, round(avg({_LL}), 9) AS log_loss FROM k GROUP BY ALL"
 )
 
 QUERIES["normalized_cross_entropy"] = lambda s, d: rounded(
@@ -202,10 +214,10 @@ SQL["normalized_cross_entropy"] = with_views(
 
 _PT = "CASE WHEN y = 1 THEN p ELSE 1 - p END"
 _AT = "CASE WHEN y = 1 THEN 0.25 ELSE 0.75 END"
-QUERIES["focal_loss"] = lambda s, d: rounded(I.focal_loss(_long(s, d), "is_installed", "p", 2.0, 0.25, ["model"]), 9)
+QUERIES["focal_loss"] = lambda s, d: rounded(I.focal_loss(_with_gaps(s, d), "is_installed", "p", 2.0, 0.25, ["model"]), 9)
 SQL["focal_loss"] = with_views(
     "scores",
-    f"{_LONG} SELECT model, count(*) AS rows, round(avg(-({_AT}) * pow(1 - ({_PT}), 2) * ln({_PT})), 9) AS focal_loss FROM m GROUP BY ALL",
+    f"{_GAPS} SELECT model, count(*) AS rows, round(avg(-({_AT}) * pow(1 - ({_PT}), 2) * ln({_PT})), 9) AS focal_loss FROM k GROUP BY ALL",
 )
 
 QUERIES["focal_grad_hess"] = lambda s, d: rounded(
@@ -213,10 +225,9 @@ QUERIES["focal_grad_hess"] = lambda s, d: rounded(
 )
 SQL["focal_grad_hess"] = with_views(
     "scores",
-    f"""q AS (SELECT row_id, CAST(is_installed AS INTEGER) AS y, cat AS p FROM scores),
-t AS (SELECT row_id, {_PT} AS pt, {_AT} AS w, 2 * y - 1 AS s FROM q)
-SELECT row_id, round(w * s * pow(1 - pt, 2) * (2 * pt * ln(pt) + pt - 1), 9) AS grad,
-  round((-w * s * 2 * (1 - pt) * (2 * pt * ln(pt) + pt - 1) + w * s * pow(1 - pt, 2) * (2 * ln(pt) + 3)) * s * pt * (1 - pt), 9) AS hess FROM t""",
+    """q AS (SELECT row_id, is_installed AS y, cat AS p, 1 - cat AS n FROM scores)
+SELECT row_id, round(CASE WHEN y THEN 0.25 * n * n * (2 * p * ln(p) - n) ELSE 0.75 * p * p * (p - 2 * n * ln(n)) END, 9) AS grad,
+  round(CASE WHEN y THEN 0.25 * p * n * n * (5 * n + 2 * ln(p) * (1 - 3 * p)) ELSE 0.75 * n * p * p * (5 * p + 2 * ln(n) * (3 * p - 2)) END, 9) AS hess FROM q""",
 )
 
 QUERIES["focal_init_score"] = lambda s, d: rounded(I.focal_init_score(imp(s, d), "is_installed", 2.0, 0.25), 9)

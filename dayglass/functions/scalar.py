@@ -36,8 +36,8 @@ def bool_to_int(c: Column) -> Column:
 
 
 def canonical_code(c: Column) -> Column:
-    """"0" and "0.0" become 0, "1" and "1.0" become 1, missing or unreadable becomes -2."""
-    return F.coalesce(c.try_cast("double").cast("int"), F.lit(-2))
+    """"0" and "0.0" become 0, "1" and "1.0" become 1, missing, unreadable or out of range becomes -2."""
+    return F.coalesce(c.try_cast("double").try_cast("int"), F.lit(-2))
 
 
 def weekday_code(day: Column, old: Column, codes: dict[int, str], first_day: int = 45, last_day: int = 67) -> Column:

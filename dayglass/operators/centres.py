@@ -77,16 +77,15 @@ def kmeans(
 
 @dataclass
 class MixedCentre:
-    """One centre of k-modes (no numbers) or k-prototypes."""
+    """One centre of k-modes (no numbers) or k-prototypes. Modes are written as texts, so every type keeps its values."""
 
-    modes: dict[str, object]
+    modes: dict[str, str | None]
     means: dict[str, float] = field(default_factory=dict)
     frequency: dict[str, float] = field(default_factory=dict)
 
 
-def _same(c: str, mode) -> Column:
-    value = F.col(c) if mode is None or isinstance(mode, str) else F.col(c).cast("double")
-    return value.eqNullSafe(F.lit(mode))
+def _same(c: str, mode: str | None) -> Column:
+    return F.col(c).cast("string").eqNullSafe(F.lit(mode).cast("string"))
 
 
 def _cost(centre: MixedCentre, gamma: float, by_frequency: bool) -> Column:
@@ -121,8 +120,6 @@ def _mixed_step(df: DataFrame, centres: list[MixedCentre], cats: list[str], nums
     new = [MixedCentre(dict(c.modes), dict(c.means), dict(c.frequency)) for c in centres]
     for row in tops.collect():
         value, centre = row["top"]["value"], new[row["cluster"]]
-        if value is not None and row["column"] not in texts:
-            value = float(value)
         centre.modes[row["column"]] = value
         centre.frequency[row["column"]] = row["top"]["n"] / row["size"]
     if nums:
@@ -133,9 +130,8 @@ def _mixed_step(df: DataFrame, centres: list[MixedCentre], cats: list[str], nums
 
 
 def _first_mixed(df: DataFrame, row_id: str, cats: list[str], nums: list[str], k: int) -> list[MixedCentre]:
-    return [
-        MixedCentre({c: r[c] for c in cats}, {c: float(r[c]) for c in nums}) for r in first_rows(df, row_id, k)
-    ]
+    written = df.select(row_id, *[F.col(c).cast("string").alias(c) for c in cats], *nums)
+    return [MixedCentre({c: r[c] for c in cats}, {c: float(r[c]) for c in nums}) for r in first_rows(written, row_id, k)]
 
 
 def kmodes(

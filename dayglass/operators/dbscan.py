@@ -205,11 +205,17 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def dbscan(
     df: DataFrame, row_id: str, features: list[str], eps: float, min_samples: int, metric: str = "euclidean"
 ) -> DataFrame:
-    """(row id, cluster): the smallest core row id of the cluster, -1 for noise."""
+    """(row id, cluster): the smallest core row id of the cluster, -1 for noise.
+
+    A row with a NULL or NaN coordinate has no distance to any other and is noise.
+    """
     grid = _Grid(len(features), eps, metric)
     named = df.select(
         F.col(row_id).cast("long").alias("id"), *[(F.col(c).cast("double") + 0.0).alias(f"x{i}") for i, c in enumerate(features)]
     )
+    placed = reduce(lambda a, b: a & b, [F.col(f"x{i}").isNotNull() & ~F.isnan(f"x{i}") for i in range(len(features))])
+    lost = named.where(~placed).select(F.col("id").alias(row_id), F.lit(-1).cast("long").alias("cluster"))
+    named = named.where(placed)
     spot = F.concat_ws("|", *[F.col(f"x{i}").cast("string") for i in grid.axes])
     named = named.withColumn("spot", spot)
     coordinates = [F.floor(F.col(f"x{i}") / grid.side).cast("long").alias(f"c{i}") for i in grid.axes]
@@ -252,6 +258,5 @@ def dbscan(
         points.select("spot", "pid", "w").join(found, "pid", "left").select("spot", "w", F.coalesce("label", F.lit(-1)).cast("long").alias("cluster"))
     )
     hot = largest_keys({"spot": by_spot.where(F.col("w") > 1)}, "spot", "w")["spot"]
-    return lookup_join(named.select("id", "spot"), by_spot.drop("w"), "spot", hot, "id").select(
-        F.col("id").alias(row_id), "cluster"
-    )
+    joined = lookup_join(named.select("id", "spot"), by_spot.drop("w"), "spot", hot, "id")
+    return joined.select(F.col("id").alias(row_id), "cluster").unionByName(lost)

@@ -34,9 +34,9 @@ def _label(label: str) -> Column:
 
 
 def _sort_key(text_columns: list[str]) -> Column:
-    """Numbers sort as numbers, texts as texts."""
+    """Numbers sort as numbers, texts (and false before true) as texts."""
     if not text_columns:
-        return F.col("value").cast("double")
+        return F.col("value").try_cast("double")
     return F.when(~F.col("column").isin(text_columns), F.col("value").try_cast("double"))
 
 

@@ -24,8 +24,9 @@ def long_scores(df: DataFrame, models: list[str], keep: list[str]) -> DataFrame:
 
 
 def log_loss(df: DataFrame, label: str, p: str, by: list[str] | None = None) -> DataFrame:
-    loss = F.avg(losses.log_loss(_y(label), F.col(p))).alias("log_loss")
-    return df.groupBy(*(by or [])).agg(F.count("*").alias("rows"), loss)
+    """Mean loss and number of the rows that have both a label and a score."""
+    loss = losses.log_loss(_y(label), F.col(p))
+    return df.groupBy(*(by or [])).agg(F.count(loss).alias("rows"), F.avg(loss).alias("log_loss"))
 
 
 def normalized_cross_entropy(
@@ -37,8 +38,8 @@ def normalized_cross_entropy(
 
 
 def focal_loss(df: DataFrame, label: str, p: str, gamma: float, alpha: float | None, by: list[str] | None = None) -> DataFrame:
-    loss = F.avg(losses.focal_loss(_y(label), F.col(p), gamma, alpha)).alias("focal_loss")
-    return df.groupBy(*(by or [])).agg(F.count("*").alias("rows"), loss)
+    loss = losses.focal_loss(_y(label), F.col(p), gamma, alpha)
+    return df.groupBy(*(by or [])).agg(F.count(loss).alias("rows"), F.avg(loss).alias("focal_loss"))
 
 
 def focal_grad_hess(df: DataFrame, label: str, p: str, gamma: float, alpha: float | None) -> DataFrame:

@@ -79,29 +79,32 @@ def global_rank(
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of several columns, exact, in three passes and without a full sort.
+    """Linearly interpolated quantiles of several columns, exact and without a full sort; None for a column of NULLs.
 
-    Approximate quantiles bracket each wanted rank, one aggregation counts the rows below every bracket, and
-    only values inside a bracket are grouped and numbered.
+    Approximate quantiles bracket each wanted rank by some ranks more than their error on both sides; one aggregation
+    counts the rows below every bracket, and only values inside are grouped and numbered. Columns whose ranks turn
+    out to lie outside a bracket are done again with wider ones.
     """
-    slack = 2.0 / 10000
-    low = [max(0.0, p - slack) for p in shares]
-    high = [min(1.0, p + slack) for p in shares]
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    sizes = wide.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    result: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
+    open_columns, slack = [c for c in columns if sizes[c]], 2.0 / 10000
+    while open_columns:
+        found = _bracketed(wide, open_columns, sizes, shares, slack)
+        result.update(found)
+        open_columns, slack = [c for c in open_columns if c not in found], slack * 8
+    return result
+
+
+def _bracketed(wide: DataFrame, columns: list[str], sizes: dict[str, int], shares: list[float], slack: float) -> dict[str, list[float]]:
+    """The quantiles of those columns all of whose wanted ranks lie inside their brackets."""
+    reach = {c: slack + 2.0 / sizes[c] for c in columns}
     stats = wide.agg(
-        *[F.count(c).alias(f"{c}__n") for c in columns],
-        *[F.percentile_approx(c, low, 10000).alias(f"{c}__low") for c in columns],
-        *[F.percentile_approx(c, high, 10000).alias(f"{c}__high") for c in columns],
-    ).first()
-    live = [c for c in columns if stats[f"{c}__n"]]
-    if not live:
-        return {c: [None] * len(shares) for c in columns}
-    brackets = {
-        (c, i): (stats[f"{c}__low"][i], stats[f"{c}__high"][i]) for c in live for i in range(len(shares))
-    }
-    below = wide.agg(
-        *[F.sum((F.col(c) < lo).cast("long")).alias(f"{c}__{i}") for (c, i), (lo, _) in brackets.items()]
+        *[F.percentile_approx(c, [max(0.0, p - reach[c]) for p in shares], 10000).alias(f"{c}__low") for c in columns],
+        *[F.percentile_approx(c, [min(1.0, p + reach[c]) for p in shares], 10000).alias(f"{c}__high") for c in columns],
     ).first()
+    brackets = {(c, i): (stats[f"{c}__low"][i], stats[f"{c}__high"][i]) for c in columns for i in range(len(shares))}
+    below = wide.agg(*[F.count(F.when(F.col(c) < lo, 1)).alias(f"{c}__{i}") for (c, i), (lo, _) in brackets.items()]).first()
 
     def tagged(c: str) -> Column:
         hits = [
@@ -110,24 +113,28 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> d
         ]
         return F.array(*hits)
 
-    near = wide.select(F.explode(F.array_compact(F.concat(*[tagged(c) for c in live]))).alias("hit")).select("hit.*")
+    near = wide.select(F.explode(F.array_compact(F.concat(*[tagged(c) for c in columns]))).alias("hit")).select("hit.*")
     counted = near.groupBy("name", "i", "value").agg(F.count("*").alias("n"))
-    running = counted.withColumn(
-        "upto", F.sum("n").over(Window.partitionBy("name", "i").orderBy("value"))
-    )
+    running = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("name", "i").orderBy("value")))
     wanted: list[Column] = []
-    positions: dict[tuple[str, int], float] = {}
-    for (c, i) in brackets:
-        rank = shares[i] * (stats[f"{c}__n"] - 1) + 1
-        positions[c, i] = rank
-        for k, name in ((int(rank), "lower"), (min(int(rank) + 1, stats[f"{c}__n"]), "upper")):
-            inside = k - below[f"{c}__{i}"]
-            here = (F.col("name") == c) & (F.col("i") == i) & (F.col("upto") >= inside)
+    inside: dict[tuple[str, int], tuple[float, int, int]] = {}
+    for c, i in brackets:
+        rank = shares[i] * (sizes[c] - 1) + 1
+        ranks = int(rank), min(int(rank) + 1, sizes[c])
+        inside[c, i] = (rank - int(rank), *(k - below[f"{c}__{i}"] for k in ranks))
+        for k, name in zip(inside[c, i][1:], ("lower", "upper")):
+            here = (F.col("name") == c) & (F.col("i") == i) & (F.col("upto") >= k)
             wanted.append(F.min(F.when(here, F.col("value"))).alias(f"{c}__{i}__{name}"))
     picked = running.agg(*wanted).first()
-    result: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
-    for (c, i), rank in positions.items():
-        a, b = picked[f"{c}__{i}__lower"], picked[f"{c}__{i}__upper"]
-        b = a if b is None else b
-        result[c][i] = a + (b - a) * (rank - int(rank))
-    return result
+    found: dict[str, list[float]] = {}
+    for c in columns:
+        values = []
+        for i in range(len(shares)):
+            part, first, _ = inside[c, i]
+            a, b = picked[f"{c}__{i}__lower"], picked[f"{c}__{i}__upper"]
+            if first < 1 or a is None or b is None:
+                break
+            values.append(a + (b - a) * part)
+        else:
+            found[c] = values
+    return found
