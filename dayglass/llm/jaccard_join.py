@@ -35,6 +35,8 @@ GROUP, SMALL = 5.2, 64
 FREQUENT, MOST_FREQUENT = 0.002, 1 << 19
 #: Vertices in one row of a run; longer runs take several rows. Runs of up to SHORT_RUN give all their pairs.
 RUN_ROW, SHORT_RUN = 4096, 16
+#: Of the long runs of a vertex, how many it names so that a pair is given out in one run only.
+NAMED_RUNS = 16
 #: Bits of the filter that spares documents outside all candidates the way to the comparison.
 FILTER_BITS = 1 << 24
 
@@ -154,10 +156,15 @@ def _one_level(sets, here, instance, low, level, rare, percent):
     return np.concatenate(texts), np.concatenate(signatures), poor
 
 
+def _keyed(text: str) -> list:
+    """A 64-bit key of the text and the text."""
+    return [F.xxhash64(F.col(quoted(text)).cast("string")).alias("text_key"), F.col(quoted(text)).cast("string").alias("text")]
+
+
 def _vertices(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, vertex, n, bits) per document; and per task one row without n that lists its frequent features."""
-    source = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).cast("string").alias("text"))
-    fields = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, vertex bigint, n bigint, bits binary, frequent array<bigint>, counts array<bigint>, seen bigint"
+    """(doc_id, text_key, vertex, n, bits) per document; and per task one row without n that lists its frequent features."""
+    source = docs.select(F.col(quoted(doc_id)).alias("doc_id"), *_keyed(text))
+    fields = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key bigint, vertex bigint, n bigint, bits binary, frequent array<bigint>, counts array<bigint>, seen bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -165,7 +172,7 @@ def _vertices(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(2)):
                 sets = ShingleSets(block, width)
                 own = [sets.values[a:b] for a, b in zip(sets.first[:-1].tolist(), sets.first[1:].tolist())]
                 for key, values in zip(sets.keys.tolist(), own):
@@ -176,6 +183,7 @@ def _vertices(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                 none = pa.nulls(rows, pa.list_(pa.int64()))
                 columns = [
                     batch.column(0).slice(block.low, rows),
+                    batch.column(1).slice(block.low, rows),
                     pa.array(sets.keys, pa.int64(), mask=sets.sizes == 0),
                     pa.array(sets.sizes, pa.int64()),
                     pa.array([parity_bits(v) for v in own], pa.binary()),
@@ -187,14 +195,14 @@ def _vertices(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
         if features:
             value, count = np.unique(np.concatenate(features), return_counts=True)
             often = count >= max(3, FREQUENT * len(met))
-            one = [pa.nulls(1, kind), *(pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.binary()))]
+            one = [pa.nulls(1, kind), *(pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
             lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (value[often].view(np.int64), count[often])]
             yield pa.RecordBatch.from_arrays([*one, *lists, pa.array([len(met)], pa.int64())], names=_VERTEX_NAMES)
 
     return source.mapInArrow(run, fields)
 
 
-_VERTEX_NAMES = ["doc_id", "vertex", "n", "bits", "frequent", "counts", "seen"]
+_VERTEX_NAMES = ["doc_id", "text_key", "vertex", "n", "bits", "frequent", "counts", "seen"]
 
 
 def _frequent_features(stored: DataFrame) -> np.ndarray:
@@ -262,7 +270,15 @@ def _runs(docs: DataFrame, text: str, width: int, percent: int, frequent: np.nda
             begin = np.flatnonzero(new)
             # Only runs of several rows, and those at the ends of the batch, are looked at one by one.
             size = np.diff(np.concatenate((begin, [len(s)])))
-            look = np.flatnonzero((size > 1) | (begin == 0) | (begin + size == len(s)))
+            edge = (begin == 0) | (begin + size == len(s))
+            two = begin[(size == 2) & ~edge]
+            two = two[v[two] != v[two + 1]]
+            names = mix((mix(v[two].view(np.uint64)) ^ mix(v[two + 1].view(np.uint64))) + np.uint64(2)).view(np.int64)
+            for name, a in zip(names.tolist(), two.tolist()):
+                if name not in met:
+                    met.add(name)
+                    rows.append((name, 0, v[a : a + 2]))
+            look = np.flatnonzero((size > 2) | edge)
             for a, n in zip(begin[look].tolist(), size[look].tolist()):
                 part = v[a : a + n]
                 part = part[np.concatenate(([True], part[1:] != part[:-1]))]
@@ -307,10 +323,10 @@ def _near_enough(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return wide.mapInArrow(run, "a bigint, b bigint, least bigint")
 
 
-def _vertex_filter(vertices: DataFrame) -> np.ndarray:
-    """A bit map of FILTER_BITS bits, whatever the number of vertices, with a bit set for each."""
-    slot = F.pmod(F.col("vertex"), F.lit(FILTER_BITS))
-    words = vertices.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+def _key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit map of FILTER_BITS bits, whatever the number of keys, with a bit set for each."""
+    slot = F.pmod(F.col("text_key"), F.lit(FILTER_BITS))
+    words = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
     found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).collect()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     for word, value in found:
@@ -318,23 +334,26 @@ def _vertex_filter(vertices: DataFrame) -> np.ndarray:
     return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by comparing whole sets.
 
-    Sets are made again from the texts. A bit map of fixed size spares most texts outside the pairs the shuffle.
+    Sets are made again, from one text of each vertex. A bit map of fixed size over the keys of these texts spares most
+    others the work; the join that follows is exact.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
-    marks = docs.sparkSession.sparkContext.broadcast(_vertex_filter(wanted))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().join(vertices.select("vertex", "text_key"), "vertex")
+    marks = docs.sparkSession.sparkContext.broadcast(_key_filter(wanted))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            for block in blocks(batch.column(0)):
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            _, first = np.unique(keys, return_index=True)
+            hit = first[marks.value[keys[first] % FILTER_BITS]]
+            for block in blocks(batch.column(1).take(pa.array(np.sort(hit)))):
                 sets = ShingleSets(block, width)
-                hit = np.flatnonzero(marks.value[sets.keys % FILTER_BITS] & (sets.sizes > 0))
                 keys = sets.keys.tolist()
-                hit = [i for i in hit.tolist() if not (keys[i] in met or met.add(keys[i]))]
-                columns = [pa.array([keys[i] for i in hit], pa.int64()), pa.array([sets.values[sets.first[i] : sets.first[i + 1]].tobytes() for i in hit], pa.binary())]
+                fresh = [i for i in range(len(keys)) if sets.sizes[i] and not (keys[i] in met or met.add(keys[i]))]
+                columns = [pa.array([keys[i] for i in fresh], pa.int64()), pa.array([sets.values[sets.first[i] : sets.first[i + 1]].tobytes() for i in fresh], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["vertex", "features"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +366,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, text: str, width: int, percent: i
             mask = pa.array(kept, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in range(2)], names=["a", "b"])
 
-    made = docs.select(F.col(quoted(text)).cast("string").alias("text")).mapInArrow(sets_of, "vertex bigint, features binary")
+    made = docs.select(*_keyed(text)).mapInArrow(sets_of, "vertex bigint, features binary")
     sets = cut_lineage(made.join(wanted, "vertex", "left_semi").dropDuplicates(["vertex"]))
     wide = pairs.join(sets.withColumnsRenamed({"vertex": "a", "features": "fa"}), "a").join(sets.withColumnsRenamed({"vertex": "b", "features": "fb"}), "b")
     return wide.select("a", "b", "fa", "fb").mapInArrow(compare, "a bigint, b bigint")
@@ -388,6 +407,7 @@ def _block_pairs(rows: list[tuple], percent: int, nearest: bool) -> Iterator[lis
     vertex, chunk, component, n = (np.array([r[k] for r in rows]) for k in (4, 3, 5, 6))
     crossing = rows[0][1] != rows[0][2]
     bits = [np.frombuffer(r[7], np.uint8) for r in rows]
+    named = [frozenset(r[8]) for r in rows]
     size = np.array([len(b) for b in bits])
     far = np.iinfo(np.int64).max
     best, partner = np.full(len(rows), far), np.zeros(len(rows), np.int64)
@@ -415,8 +435,11 @@ def _block_pairs(rows: list[tuple], percent: int, nearest: bool) -> Iterator[lis
                 if least.min() < best[a]:
                     best[a], partner[a] = least.min(), b[least.argmin()]
             else:
-                x, y = np.minimum(vertex[a], vertex[b]), np.maximum(vertex[a], vertex[b])
-                found += zip(x.tolist(), y.tolist(), least.tolist())
+                for j, d in zip(b.tolist(), least.tolist()):
+                    # The first run that both name; without one the pair comes out in each of its runs.
+                    shared = named[a] & named[j]
+                    if not shared or min(shared) == rows[a][0]:
+                        found.append((min(rows[a][4], rows[j][4]), max(rows[a][4], rows[j][4]), d))
                 if len(found) > 1 << 16:
                     yield found
                     found = []
@@ -426,22 +449,28 @@ def _block_pairs(rows: list[tuple], percent: int, nearest: bool) -> Iterator[lis
     yield found
 
 
-def _long_run_pairs(runs: DataFrame, label: DataFrame | None, info: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def _long_run_pairs(runs: DataFrame, label: DataFrame | None, info: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, least) of runs of more than SHORT_RUN vertices between different components, see :func:`_block_pairs`.
 
-    A run is compared in blocks of two of its rows, each block in one task.
+    A run is compared in blocks of two of its rows, each block in one task. Without ``label`` every vertex takes part in
+    its longest run only and is paired with its nearest there; with it, all pairs of all runs that hold several
+    components are looked at.
     """
+    nearest = label is None
     long = runs.where((F.col("chunk") > 0) | (F.size("vertices") > SHORT_RUN))
     members = long.select("run", "chunk", F.explode("vertices").alias("vertex"))
-    if label is None:
-        members = members.withColumn("component", F.col("vertex"))
+    if nearest:
+        sizes = long.groupBy("run").agg(F.sum(F.size("vertices")).alias("size"))
+        own = members.join(sizes, "run").groupBy("vertex").agg(F.max(F.struct("size", "run")).alias("own"))
+        members = members.join(own.select("vertex", F.col("own.run").alias("run")), ["run", "vertex"]).withColumn("component", F.col("vertex"))
     else:
         members = members.join(label, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     mixed = members.groupBy("run").agg(F.max("chunk").alias("last"), F.min("component").alias("low"), F.max("component").alias("high"))
-    placed = members.join(mixed.where("low != high").select("run", "last"), "run").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    rows = placed.join(info.select("vertex", "n", "bits"), "vertex").select(
-        "run", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "vertex", "component", "n", "bits"
-    )
+    members = members.join(mixed.where("low != high").select("run", "last"), "run")
+    named = members.groupBy("vertex").agg(F.slice(F.array_sort(F.collect_set("run")), 1, NAMED_RUNS).alias("named"))
+    known = info.select("vertex", "n", "bits").join(named, "vertex")
+    placed = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).join(known, "vertex")
+    rows = placed.select("run", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "vertex", "component", "n", "bits", "named")
     dealt = rows.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -496,18 +525,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     still in different components are. No link between different components is left out.
     """
     stored = cut_lineage(_vertices(docs, doc_id, text, width))
-    info = stored.where("n IS NOT NULL").select("doc_id", "vertex", "n", "bits")
-    vertices = cut_lineage(info.where("n > 0").groupBy("vertex").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("bits").alias("bits")))
+    info = stored.where("n IS NOT NULL").select("doc_id", "text_key", "vertex", "n", "bits")
+    vertices = cut_lineage(info.where("n > 0").groupBy("vertex").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.min("bits").alias("bits")))
     runs = cut_lineage(_runs(docs, text, width, percent, _frequent_features(stored)))
 
     short = cut_lineage(_near_enough(_short_run_pairs(runs), vertices, percent))
-    first = cut_lineage(_nearest(short).union(_long_run_pairs(runs, None, vertices, percent, nearest=True).select("a", "b")).distinct())
-    links = cut_lineage(_linked(first, docs, text, width, percent))
+    first = cut_lineage(_nearest(short).union(_long_run_pairs(runs, None, vertices, percent).select("a", "b")).distinct())
+    links = cut_lineage(_linked(first, docs, vertices, text, width, percent))
     label = components(links)
-    rest = _apart(short, label).union(_apart(_long_run_pairs(runs, label, vertices, percent, nearest=False), label))
+    rest = _apart(short, label).union(_apart(_long_run_pairs(runs, label, vertices, percent), label))
     rest = cut_lineage(rest.distinct().join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        label = components(links.union(_linked(rest, docs, text, width, percent)))
+        label = components(links.union(_linked(rest, docs, vertices, text, width, percent)))
 
     named = label.join(vertices.select("vertex", "first"), "vertex")
     smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
