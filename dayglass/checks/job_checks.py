@@ -147,8 +147,8 @@ QUERIES["stacked_hybrid"] = _stacked
 
 
 def _walk_forward(s, d):
-    rows, features = _table(s, d, LAST_DAY)
-    return J.walk_forward_scores(rows, features, "row_id", "day", J.TreeSettings(1, 2, 0.1, 32), weighted=True)
+    rows, features = _table(s, d)
+    return J.walk_forward_scores(rows, features, "row_id", "day", J.TreeSettings(1, 2, 0.1, 32), weighted=True, test_day=LAST_DAY)
 
 
 QUERIES["walk_forward_model"] = _walk_forward
@@ -209,7 +209,7 @@ QUERIES["param_sweep"] = _sweep
 
 
 def _run(s, d):
-    return predict_next_day(imp(s, d), IMP, LAST_DAY, {"light_oof": "c_user", "hist_oof": "c_hour"}, _BASE)
+    return predict_next_day(imp(s, d), IMP, LAST_DAY, _BASE, preparation=J.Preparation(factors={"cnt": "n_cnt", "val": "n_val"}, weak={"cat": ("c_k",)}))
 
 
 QUERIES["prediction_run"] = _run

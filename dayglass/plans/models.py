@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dayglass.functions import scalar
 from dayglass.operators import cleaning as B
 from dayglass.operators import encoders as D
 from dayglass.operators import metrics as I
@@ -24,8 +26,8 @@ from dayglass.operators import scaling as S
 from dayglass.operators import scoring as H
 from dayglass.operators.encoders import to_long
 from dayglass.operators.splits import exclude_days
-from dayglass.roles import Roles
-from dayglass.session import cut_lineage
+from dayglass.roles import WEAK_COLUMNS, Roles
+from dayglass.session import cut_lineage, shared_folder
 
 
 @dataclass(frozen=True)
@@ -45,6 +47,28 @@ BASE_MODELS = {
     "hist": TreeSettings(261, 8, 0.10659053116784906, 229, 184),
 }
 EXCLUDED_DAYS = (48, 50, 52)
+#: Fits that a job with one model per day keeps under way at the same time.
+AT_ONCE = 4
+
+
+@dataclass(frozen=True)
+class Preparation:
+    """What a base table gets before the models: a recoded weekday category, products of columns, columns left out by model."""
+
+    weekday: str | None = None
+    factors: dict[str, str] = field(default_factory=dict)
+    weak: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+    def features(self, features: list[str], model: str) -> list[str]:
+        return [c for c in features if c not in self.weak.get(model, ())]
+
+
+# The weekday category and the factors of the six products of the raw log.
+RAW_PREPARATION = Preparation(
+    "f_9",
+    {"43": "f_43", "51": "f_51", "66": "f_66", "70": "f_70"},
+    {"cat": WEAK_COLUMNS["cat"], "light": WEAK_COLUMNS["light"], "hist": WEAK_COLUMNS["light"]},
+)
 
 
 def smaller(settings: dict[str, TreeSettings], rounds: int, depth: int) -> dict[str, TreeSettings]:
@@ -55,9 +79,16 @@ def smaller(settings: dict[str, TreeSettings], rounds: int, depth: int) -> dict[
     }
 
 
-def model_table(df: DataFrame, roles: Roles, label: str = "is_installed") -> tuple[DataFrame, list[str]]:
+def model_table(
+    df: DataFrame, roles: Roles, label: str = "is_installed", preparation: Preparation = Preparation()
+) -> tuple[DataFrame, list[str]]:
     """(row id, day, label, features): categories as statistics of earlier days, NULL numerics as the mean."""
-    nums = list(roles.counter + roles.numeric)
+    if preparation.weekday:
+        code = scalar.weekday_code(F.col(roles.day), F.col(preparation.weekday), scalar.WEEKDAY_CODES_RAW)
+        df = df.withColumn(preparation.weekday, code)
+    made = scalar.products(preparation.factors)
+    df = df.select("*", *made)
+    nums = [*roles.counter, *roles.numeric, *df.columns[len(df.columns) - len(made) :]]
     base = df.select(
         roles.row_id, roles.day, F.col(label).cast("int").alias(label), *roles.categorical, *roles.binary, *nums
     )
@@ -72,7 +103,13 @@ def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(df)
 
 
-def fit_trees(train: DataFrame, features: list[str], label: str, settings: TreeSettings, weight: str | None = None) -> Model:
+def fit_trees(
+    train: DataFrame, features: list[str], label: str, settings: TreeSettings, weight: str | None = None, validation: str | None = None
+) -> Model:
+    """Boosted trees; rows with ``validation`` are not learned from, and rounds end when their loss no longer falls."""
+    context = train.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(train.sparkSession))
     trees = GBTClassifier(
         featuresCol="features",
         labelCol=label,
@@ -84,8 +121,9 @@ def fit_trees(train: DataFrame, features: list[str], label: str, settings: TreeS
         maxMemoryInMB=512,
         seed=7,
         **({"weightCol": weight} if weight else {}),
+        **({"validationIndicatorCol": validation} if validation else {}),
     )
-    return trees.fit(_vectors(train, features).select("features", label, *([weight] if weight else [])))
+    return trees.fit(_vectors(train, features).select("features", label, *[c for c in (weight, validation) if c]))
 
 
 def score(model: Model, df: DataFrame, features: list[str], keep: list[str], out: str = "p") -> DataFrame:
@@ -101,25 +139,29 @@ def base_model_scores(
     test_day: int,
     label: str = "is_installed",
     settings: dict[str, TreeSettings] = BASE_MODELS,
+    preparation: Preparation = Preparation(),
 ) -> dict[str, DataFrame]:
     """Scores of the test day per base model. The second and third model leave out three odd days."""
     train, test = table.where(F.col(day) < test_day), table.where(F.col(day) == test_day)
     scores = {}
     for name, s in settings.items():
         rows = train if name == "cat" else exclude_days(train, day, EXCLUDED_DAYS)
-        scores[name] = score(fit_trees(rows, features, label, s), test, features, [row_id], "score")
+        used = preparation.features(features, name)
+        scores[name] = score(fit_trees(rows, used, label, s), test, used, [row_id], "score")
     return scores
 
 
 def day_out_model_scores(
     table: DataFrame, features: list[str], row_id: str, day: str, days: list[int], settings: TreeSettings, label: str = "is_installed"
 ) -> DataFrame:
-    """Out-of-fold scores from one model per day, trained on all other days."""
-    folds = []
-    for d in days:
+    """Out-of-fold scores from one model per day, trained on all other days; AT_ONCE fits share the cluster."""
+
+    def fold(d: int) -> DataFrame:
         model = fit_trees(table.where(F.col(day) != d), features, label, settings)
-        folds.append(score(model, table.where(F.col(day) == d), features, [row_id, day], "score"))
-    return reduce(DataFrame.unionByName, folds)
+        return score(model, table.where(F.col(day) == d), features, [row_id, day], "score")
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(fold, days))
 
 
 def stacked_scores(
@@ -151,20 +193,29 @@ def walk_forward_scores(
     start: int = 0,
     label: str = "is_installed",
     weighted: bool = False,
+    test_day: int | None = None,
 ) -> DataFrame:
     """(row id, fold, label, p): each fold day is scored by a model of the days before it.
 
-    ``weighted`` gives positives the ratio of negatives to positives as weight.
+    The fold day also tells the model when to stop adding rounds. With ``test_day`` a last model learns from all days
+    before it, in all rounds, and scores it. ``weighted`` gives positives the ratio of negatives to positives as weight.
     """
     folds = []
-    for fold in range(first_fold, last_fold + 1):
+    for fold in [*range(first_fold, last_fold + 1), *([] if test_day is None else [test_day])]:
         train = table.where((F.col(day) >= start) & (F.col(day) < fold))
         weight = None
         if weighted:
             ratio, weight = I.class_ratio(train, label).first()[0], "__weight"
             train = train.withColumn(weight, F.when(F.col(label) == 1, F.lit(ratio)).otherwise(1.0))
-        model = fit_trees(train, features, label, settings, weight)
         val = table.where(F.col(day) == fold).withColumn("fold", F.lit(fold))
+        if fold == test_day:
+            model = fit_trees(train, features, label, settings, weight)
+        else:
+            stop = val.drop("fold").withColumn("__stop", F.lit(True))
+            if weight:
+                stop = stop.withColumn(weight, F.lit(1.0))
+            both = train.withColumn("__stop", F.lit(False)).unionByName(stop)
+            model = fit_trees(both, features, label, settings, weight, "__stop")
         folds.append(score(model, val, features, [row_id, "fold", label]))
     return reduce(DataFrame.unionByName, folds)
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayglass.functions import scalar
-from dayglass.operators import encoders as D
 from dayglass.operators import joins as G
 from dayglass.operators import scoring as H
 from dayglass.plans import models as J
@@ -14,40 +13,53 @@ from dayglass.roles import Roles
 from dayglass.session import cut_lineage
 
 
+#: First-level models whose scores the stacked models use.
+FIRST_LEVEL = ("light", "hist")
+
+
 def predict_next_day(
     log: DataFrame,
     roles: Roles,
     test_day: int,
-    oof_categories: dict[str, str],
     settings: dict[str, J.TreeSettings] = J.BASE_MODELS,
     label: str = "is_installed",
+    preparation: J.Preparation = J.Preparation(),
 ) -> DataFrame:
     """(RowId, is_clicked, is_installed) for every row of ``test_day``.
 
-    ``oof_categories`` names, for the two first-level scores that the stacked models use, the category whose
-    day-out statistic they are.
+    Three base models score the test day. Two of them also score every earlier day by models of all other days;
+    two stacked models learn from the features and both of these scores, and use the base models' scores on the
+    test day. All scores are reranked to those of the first model and blended: 3 + 2 * days + 2 fits. For the raw
+    log ``preparation`` is ``RAW_PREPARATION``.
     """
-    table, features = J.model_table(log, roles, label)
-    base = {n: cut_lineage(s) for n, s in J.base_model_scores(table, features, roles.row_id, roles.day, test_day, label, settings).items()}
+    row_id, day = roles.row_id, roles.day
+    table, features = J.model_table(log, roles, label, preparation)
+    base = {n: cut_lineage(s) for n, s in J.base_model_scores(table, features, row_id, day, test_day, label, settings, preparation).items()}
     reference = base["cat"]
-    for name in ("light", "hist"):
-        base[name] = cut_lineage(
-            H.rerank(base[name], reference, roles.row_id, "score").select(roles.row_id, F.col("is_installed").alias("score"))
-        )
-    folds = D.day_out_scores(log, oof_categories, label, roles.day, roles.row_id, last_day=test_day)
-    folds = cut_lineage(folds.where(F.col(roles.day) <= test_day))
-    names = list(oof_categories)
+
+    def reranked(scores: DataFrame) -> DataFrame:
+        return cut_lineage(H.rerank(scores, reference, row_id, "score").select(row_id, F.col("is_installed").alias("score")))
+
+    for name in FIRST_LEVEL:
+        base[name] = reranked(base[name])
+    days = sorted(r[0] for r in table.where(F.col(day) < test_day).select(day).distinct().collect())
+    first_level = {}
+    for name in FIRST_LEVEL:
+        used = preparation.features(features, name)
+        folds = J.day_out_model_scores(table, used, row_id, day, days, settings[name], label)
+        first_level[name] = cut_lineage(folds.select(row_id, "score").unionByName(base[name]))
+    scores = cut_lineage(G.join_scores(first_level, row_id))
     stacked = {
-        f"{kind}_hybrid": J.stacked_scores(
-            table, features, roles.row_id, roles.day, test_day, folds, used, settings[kind], label
+        f"{name}_hybrid": reranked(
+            J.stacked_scores(table, preparation.features(features, name), row_id, day, test_day, scores, list(FIRST_LEVEL), settings[name], label)
         )
-        for kind, used in (("light", names[:1]), ("hist", names))
+        for name in FIRST_LEVEL
     }
-    joined = G.join_scores({**base, **stacked}, roles.row_id)
-    blended = cut_lineage(H.weighted_blend(joined).select(roles.row_id, "score"))
-    final = H.rerank(blended, reference, roles.row_id, "score")
+    joined = G.join_scores({**base, **stacked}, row_id)
+    blended = cut_lineage(H.weighted_blend(joined).select(row_id, "score"))
+    final = H.rerank(blended, reference, row_id, "score")
     return final.select(
-        F.col(roles.row_id).alias("RowId"),
+        F.col(row_id).alias("RowId"),
         "is_clicked",
         scalar.piecewise_rescale(F.col("is_installed")).alias("is_installed"),
     )

@@ -79,11 +79,32 @@ def test_per_feature_models_find_the_signal(log):
     assert J.per_feature_logistic(train, val, ["x"]).first()["accuracy"] > 75
 
 
-def test_full_run_scores_every_row_of_the_day(log):
-    got = predict_next_day(log, ROLES, 67, {"light_oof": "c", "hist_oof": "b"}, J.smaller(J.BASE_MODELS, 2, 3))
-    rows = got.collect()
+def test_full_run_is_the_real_run(log, monkeypatch):
+    fits, stacked = [], []
+    fit, stack = J.fit_trees, J.stacked_scores
+    monkeypatch.setattr(J, "fit_trees", lambda *a, **k: fits.append(a[1]) or fit(*a, **k))
+    monkeypatch.setattr(J, "stacked_scores", lambda *a, **k: stacked.append(a) or stack(*a, **k))
+    preparation = J.Preparation("c", {"x": "x", "y": "y"}, {"cat": ("c",)})
+    wide = log.withColumn("y", F.col("x") + 1)
+    roles = Roles("row_id", "day", categorical=("c",), binary=("b",), numeric=("x", "y"), label=("is_installed",))
+    rows = predict_next_day(wide, roles, 67, J.smaller(J.BASE_MODELS, 1, 2), preparation=preparation).collect()
     assert len(rows) == log.where("day = 67").count() == len({r["RowId"] for r in rows})
     assert all(0 <= r["is_installed"] <= 1 and r["is_clicked"] == 0.33 for r in rows)
+    days = log.where("day < 67").select("day").distinct().count()
+    assert len(fits) == 3 + 2 * days + 2
+    assert "c" not in fits[0] and "f_newx-y" in fits[0] and all("c" in f for f in fits[1:])
+    assert all({"light", "hist"} <= set(f) for f in fits[-2:])
+    scores = stacked[0][5]
+    assert scores.count() == log.count()
+    test_rows = scores.join(log.where("day = 67"), "row_id")
+    assert test_rows.select("light").distinct().count() <= test_rows.count() and test_rows.where("light is null or hist is null").isEmpty()
+
+
+def test_walk_forward_scores_the_test_day(table):
+    rows, features = table
+    got = J.walk_forward_scores(rows, features, "row_id", "day", SMALL, 66, 66, test_day=67)
+    assert {r[0] for r in got.select("fold").distinct().collect()} == {66, 67}
+    assert got.where("fold = 67").count() == rows.where("day = 67").count()
 
 
 def test_components_are_orthogonal_and_rebuild_the_rows(spark):
