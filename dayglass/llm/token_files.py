@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,9 @@ SEGMENT_IDS, SEGMENT_DOCS = 1 << 16, 1 << 12
 SAMPLE = 64
 #: Bytes of a row group, so that a reader's batch of whole segments stays small.
 ROW_GROUP = 8 << 20
-#: Characters of words that a task keeps in its table; a fuller table starts anew, which changes no result.
-TABLE_CHARS = 12 << 20
+#: Words that a Python worker keeps in its table, from task to task (a fuller table starts anew, which changes no
+#: result), and texts per step.
+TABLE_WORDS, STEP = 800_000, 64
 
 
 class EliasFano:
@@ -121,18 +123,20 @@ class WordIds:
         self.opens = np.zeros(max(names.values()) + 1, bool)
         self.opens[[i for name, i in names.items() if name.startswith("\u0120")]] = True
         self.table: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.size = 0
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        marks, cores, cut = self._MARKS, self.cores, []
+        marks, table, cut, cores = self._MARKS, self.table, [], set()
         for word in words:
             core = word.rstrip(marks) if word[-1] in marks else word
-            cut.append((word, core, word[len(core) :]) if core and core[-1].isalpha() else (word, word, ""))
-        new = list({c for _, c, _ in cut} - cores.keys())
+            if core is word or not core or not core[-1].isalpha():
+                cores.add(word)
+            else:
+                cut.append((word, core))
+                cores.add(core)
+        new = [c for c in cores if c not in table]
         if new:
             ids = self._encoded([" " + " ".join(new)])[0]
             first = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
@@ -140,15 +144,15 @@ class WordIds:
                 raise ValueError("the tokenizer joins words")
             raw, width = ids.tobytes(), ids.itemsize
             for core, a, b in zip(new, first, first[1:]):
-                cores[core] = raw[a * width : b * width]
-        tails = list({t for _, _, t in cut})
+                table[core] = raw[a * width : b * width]
+        tails = list({word[len(core) :] for word, core in cut})
         tail_ids = {t: i.tobytes() for t, i in zip(tails, self._encoded(tails))}
-        self.table.update((word, cores[core] + tail_ids[tail]) for word, core, tail in cut)
-        self.size += sum(map(len, words)) + 8 * len(words)
+        for word, core in cut:
+            table[word] = table[core] + tail_ids[word[len(core) :]]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        if self.size > TABLE_CHARS:
-            self.table, self.cores, self.size = {}, {}, 0
+        if len(self.table) > TABLE_WORDS:
+            self.table = {}
         split = []
         for text in texts:
             head, blank, rest = text.partition(" ")
@@ -166,6 +170,12 @@ class WordIds:
         return [b"".join([h.tobytes(), *map(found, words), self.end]) for h, (_, words) in zip(heads, split)]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str, end_id: int | None, kind: str) -> WordIds:
+    """The table of this worker."""
+    return WordIds(path, end_id, kind)
+
+
 def write_token_files(
     docs: DataFrame,
     path: str,
@@ -194,7 +204,7 @@ def write_token_files(
     fields = "piece int, part int, doc_ids array<bigint>, n_ids bigint, id_bytes int, ids binary, low binary, high binary, samples binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path, end_id, kind)
+        words = word_ids(tokenizer_path, end_id, kind)
         piece, part, names, parts, size = None, 0, [], [], 0
 
         def closed() -> pa.RecordBatch:
@@ -205,8 +215,8 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in fields.split(", ")])
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                rows = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, STEP):
+                rows = batch.slice(low, STEP)
                 for p, name, ids in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), words.of(rows.column(2).to_pylist())):
                     if names and (p != piece or size >= SEGMENT_IDS or len(names) >= SEGMENT_DOCS):
                         yield closed()
