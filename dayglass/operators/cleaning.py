@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -49,18 +48,16 @@ def column_means(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return {c: row[c] for c in columns}
 
 
-def column_modes(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Most frequent value per numeric column, ties to the smallest.
+def column_modes(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Most frequent value per numeric column, ties to the smallest; None for a column of NULLs.
 
-    Values are counted in a shuffle per column; the built-in ``mode`` would hold every distinct value of a
-    column in one task.
+    All columns are counted in one scan and one shuffle, by column and value.
     """
-    def best(c: str) -> DataFrame:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-        return counts.agg(F.min_by(c, F.struct((-F.col("n")).alias("a"), F.col(c).alias("b"))).alias("top"))
-
-    rows = [best(c).select(F.lit(c).alias("column"), F.col("top").cast("double").alias("number")) for c in columns]
-    return {r["column"]: r["number"] for r in reduce(DataFrame.unionByName, rows).collect()}
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    counts = df.select(F.explode(pairs).alias("x")).where(F.col("x.value").isNotNull()).groupBy("x.column", "x.value").agg(F.count("*").alias("n"))
+    top = counts.groupBy("column").agg(F.min_by("value", F.struct((-F.col("n")).alias("a"), F.col("value").alias("b"))).alias("top"))
+    found = {r["column"]: r["top"] for r in top.collect()}
+    return {c: found.get(c) for c in columns}
 
 
 def fill(df: DataFrame, values: dict[str, float]) -> DataFrame:
