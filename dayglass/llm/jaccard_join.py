@@ -193,10 +193,15 @@ def _vertices(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=_VERTEX_NAMES)
         if features:
-            value, count = np.unique(np.concatenate(features), return_counts=True)
+            every = np.concatenate(features)
+            features.clear()
+            every.sort()
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+            count = np.diff(np.append(first, len(every)))
             often = count >= max(3, FREQUENT * len(met))
+            value = every[first[often]]
             one = [pa.nulls(1, kind), *(pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (value[often].view(np.int64), count[often])]
+            lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (value.view(np.int64), count[often])]
             yield pa.RecordBatch.from_arrays([*one, *lists, pa.array([len(met)], pa.int64())], names=_VERTEX_NAMES)
 
     return source.mapInArrow(run, fields)
