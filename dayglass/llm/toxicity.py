@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from typing import NamedTuple
 
 import numpy as np
@@ -17,9 +18,9 @@ from dayglass.llm.textkit import ALPHANUMERIC, Rolling, Words, blocks, mix, spli
 PER_CLASS, WINDOWS = 2000, 4
 #: Buckets of hashed features, and words on each side of a window's middle.
 BUCKETS, REACH = 1 << 17, 12
-#: A word or stem marks toxic tokens if its log-odds for toxic texts are at least ODDS and if so uneven a share of
-#: toxic texts among those that have it is no chance: so many nats against the share in the whole sample.
-ODDS, NATS = 3.0, 12.0
+#: Rounds in which marks share out the toxic texts; clean texts that each mark counts for besides its own in the first
+#: round, none in the last; and the share of toxic texts that no word need explain (wrong labels).
+ROUNDS, DOUBT, LEAK = 40, 1.0, 0.1
 #: Words that are looked at side by side in the recursions.
 LANE = 64
 
@@ -124,76 +125,93 @@ def _marks(words: Words) -> np.ndarray:
     return np.stack([own[0], own[2], own[3]], axis=1)
 
 
-def _telling(toxic: int, clean: int, share: float, texts: list[int]) -> bool:
-    if np.log((toxic + 0.5) / (texts[1] + 1)) - np.log((clean + 0.5) / (texts[0] + 1)) < ODDS:
-        return False
-    own = toxic / (toxic + clean)
-    nats = toxic * np.log(own / share) + (clean * np.log((1 - own) / (1 - share)) if clean else 0.0)
-    return own > share and nats >= NATS
-
-
 def _each_once(hashes: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash and unit mixed, hash) of all different pairs."""
     mixed, at = np.unique(mix(hashes + unit * np.uint64(0x9FB21C651E98DF25)), return_index=True)
     return mixed, hashes[at]
 
 
-def _counted(hashes: list[np.ndarray]) -> dict[int, int]:
-    value, count = np.unique(np.concatenate(hashes), return_counts=True)
-    return dict(zip(value.tolist(), count.tolist()))
-
-
 def label_tokens(parts: list[Words], toxic: list[np.ndarray]) -> list[np.ndarray]:
-    """Token labels from document labels: words, or stems of 4 and 5 characters, that only toxic texts have.
+    """Probabilities of toxic tokens from document labels, by expectation maximisation; 0 in texts that are not toxic.
 
-    A mark counts as often as it is in different toxic texts after different words, so that a passage or a text that
-    is there in many copies counts once.
+    A text is toxic if one of its tokens is, and a token if one of its marks (the word, its stems of 4 and 5 characters) is:
+    a noisy or. In each round the toxic texts are shared out over their marks, which gives the marks' shares for the next
+    one. So no number of texts is asked for: a rare word counts where no other word explains a text. In toxic texts
+    a mark counts at most as often as it is after different words, so that a passage or a text that is there in many
+    copies counts once.
     """
-    in_texts: dict[int, list[np.ndarray]] = {0: [np.zeros(0, np.uint64)], 1: [np.zeros(0, np.uint64)]}
-    after = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+    none = np.zeros(0, np.uint64)
+    every: dict[int, list[np.ndarray]] = {0: [none], 1: [none]}
+    owner, after, texts = [np.zeros(0, np.int64)], [(none, none)], 0
     for words, labels in zip(parts, toxic):
         kept, text = _marks(words), np.repeat(np.arange(len(labels)), np.diff(words.first))
         for k in (0, 1):
             rows = np.flatnonzero(labels[text] == k)
-            in_texts[k].append(_each_once(kept[rows].ravel(), np.repeat(text[rows], 3).astype(np.uint64))[1])
+            at = np.repeat(text[rows], 3)
+            _, one = np.unique(mix(kept[rows].ravel() + at.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), return_index=True)
+            every[k].append(kept[rows].ravel()[one])
+        owner.append(at[one] + texts)
         after.append(_each_once(kept[rows].ravel(), np.repeat(np.roll(kept[:, 0], 1)[rows], 3)))
-    texts = [sum(int((y == k).sum()) for y in toxic) for k in (0, 1)]
-    share = texts[1] / max(1, sum(texts))
+        texts += len(labels)
+    marks, mark, in_toxic = np.unique(np.concatenate(every[1]), return_inverse=True, return_counts=True)
+    owner = np.concatenate(owner)
+
+    def times(hashes: np.ndarray) -> np.ndarray:
+        value, count = np.unique(hashes, return_counts=True)
+        at = np.minimum(np.searchsorted(value, marks), max(0, len(value) - 1))
+        return np.where(value[at] == marks, count[at], 0) if len(value) else np.zeros(len(marks), np.int64)
+
+    in_clean = times(np.concatenate(every[0]))
     _, at = np.unique(np.concatenate([mixed for mixed, _ in after]), return_index=True)
-    different = _counted([np.concatenate([h for _, h in after])[at]])
-    in_clean = _counted(in_texts[0])
-    marks = {h for h, n in _counted(in_texts[1]).items() if _telling(min(n, different[h]), in_clean.get(h, 0), share, texts)}
-    known = np.sort(np.fromiter(marks, np.uint64, len(marks)))
+    weight = np.minimum(1.0, times(np.concatenate([h for _, h in after])[at]) / np.maximum(in_toxic, 1))
+    tokens = weight * in_toxic + in_clean
+    share = weight * in_toxic / (tokens + DOUBT)
+    for i in range(ROUNDS):
+        logs = np.log1p(-np.minimum(share, 0.999))
+        explained = -np.expm1(np.bincount(owner, logs[mark], texts) + np.log1p(-LEAK))
+        part = share[mark] / np.maximum(explained[owner], 1e-12)
+        share = weight * np.bincount(mark, np.minimum(part, 1.0), len(marks)) / (tokens + DOUBT * (1 - (i + 1) / ROUNDS))
     out = []
     for words, labels in zip(parts, toxic):
-        kept = _marks(words)
-        text = np.repeat(labels, np.diff(words.first)).astype(bool)
-        out.append(np.isin(kept, known).any(axis=1) & text)
+        kept, text = _marks(words), np.repeat(np.arange(len(labels)), np.diff(words.first))
+        own = np.zeros(len(text))
+        rows = np.flatnonzero(labels[text] == 1)
+        if len(rows):
+            logs = np.log1p(-np.minimum(share, 0.999))
+            logs = logs[np.searchsorted(marks, kept[rows])].sum(axis=1)
+            explained = -np.expm1(np.bincount(text[rows], logs, len(labels)) + np.log1p(-LEAK))
+            own[rows] = np.minimum(1.0, -np.expm1(logs) / np.maximum(explained[text[rows]], 1e-12))
+        out.append(own)
     return out
 
 
 def _windows(words: Words, labels: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
-    """Word numbers of windows: around labelled tokens of each text, and around tokens drawn from it."""
+    """Word numbers of windows: around tokens drawn by their labels from each text, and around any tokens of it."""
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
         if a == b:
             continue
         hit = a + np.flatnonzero(labels[a:b])
-        middle = rng.choice(hit, WINDOWS, replace=False) if len(hit) > WINDOWS else hit
+        n = min(WINDOWS, len(hit), int(np.ceil(labels[a:b].sum())))
+        middle = rng.choice(hit, n, replace=False, p=labels[hit] / labels[hit].sum()) if n else hit
         for m in [*middle.tolist(), *rng.integers(a, b, 2 if len(hit) else WINDOWS).tolist()]:
             out.append(np.arange(max(a, m - REACH), min(b, m + REACH + 1)))
     return out
 
 
-def _fit_weights(x: np.ndarray, y: np.ndarray, first: np.ndarray, rng: np.random.Generator, epochs: int = 8) -> tuple[np.ndarray, np.ndarray, float]:
-    """Maximum likelihood of the labels y given features x, by AdaGrad over batches of windows."""
+def _fit_weights(x: np.ndarray, y: np.ndarray, first: np.ndarray, rng: np.random.Generator, epochs: int = 8, least: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights whose field is closest to the probabilities y of the labels given features x, by AdaGrad over batches of windows.
+
+    A small sample is gone through more often, so that there are at least ``least`` steps.
+    """
     weights, moved = np.zeros(BUCKETS), np.full(BUCKETS, 1e-2)
     log_steps, steps_moved = np.array([[0.0, -2.0], [-1.0, 0.0]]), np.full((2, 2), 1e-2)
     opening, opening_moved = -2.0, 1e-2
     counts = np.diff(first)
-    for _ in range(epochs):
+    batches = max(1, len(counts) // 256)
+    for _ in range(max(epochs, -(-least // batches))):
         order = rng.permutation(len(counts))
-        for chosen in np.array_split(order, max(1, len(order) // 256)):
+        for chosen in np.array_split(order, batches):
             n = counts[chosen]
             f = np.concatenate(([0], np.cumsum(n)))
             at = np.arange(f[-1]) - np.repeat(f[:-1], n) + np.repeat(first[chosen], n)
@@ -210,8 +228,7 @@ def _fit_weights(x: np.ndarray, y: np.ndarray, first: np.ndarray, rng: np.random
             left, right = np.stack([np.ones(len(t)), ahead[t - 1]], 1), np.stack([np.ones(len(t)), back[t]], 1)
             joint = left[:, :, None] * steps * right[:, None, :]
             expected = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            seen = np.zeros((2, 2))
-            np.add.at(seen, (y[at[t - 1]].astype(int), y[at[t]].astype(int)), 1)
+            seen = np.stack([1 - ys[t - 1], ys[t - 1]]) @ np.stack([1 - ys[t], ys[t]], axis=1)
             grad_steps = (seen - expected) / len(chosen)
             steps_moved += grad_steps**2
             log_steps += 0.1 * grad_steps / np.sqrt(steps_moved)
@@ -270,6 +287,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
             sizes.append(len(window))
     first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
     if not any(y.any() for y in ys):
+        warnings.warn("no toxic text with words to learn from: every text gets a score near 0", stacklevel=2)
         return Model(np.zeros(BUCKETS), np.array([[1.0, 1e-6], [1.0, 1e-6]]), 1e-6, np.array([-20.0, 0.0, 0.0]))
     model = Model(*_fit_weights(np.concatenate(xs), np.concatenate(ys), first, rng), np.zeros(3))
     signals = np.concatenate([document_signals(_infer(words, model), words.first) for words in parts])

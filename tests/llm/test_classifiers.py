@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_rows import ODD
 
@@ -63,6 +64,35 @@ def test_held_out_accuracy_and_spans(spark):
     assert sum((r.score >= 0.5) != bool(rows[r.doc_id][3]) for r in good) <= 4
 
 
+@pytest.mark.parametrize("clean, toxic, insults", [(60, 10, 8), (60, 60, 30)])
+def test_rare_toxic_words_are_learned(clean, toxic, insults):
+    rng = random.Random(1)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(4, 7)))
+    bad, common = [word("bcdfgklm") for _ in range(insults)], [word("aeioustnr") for _ in range(300)]
+
+    def texts(n, is_toxic):
+        out = []
+        for _ in range(n):
+            w = [rng.choice(common) if rng.random() < 0.8 else word("aeioustnr") for _ in range(40)]
+            for b in rng.sample(bad, 3) if is_toxic else []:
+                w.insert(rng.randrange(len(w)), b)
+            out.append(" ".join(w))
+        return out
+
+    model = toxicity.fit([*texts(clean, False), *texts(toxic, True)], [0] * clean + [1] * toxic)
+    for label in (0, 1):
+        found = []
+        for block in toxicity.blocks(pa.array(texts(40, label))):
+            words = toxicity.split_words(block, toxicity.ALPHANUMERIC)
+            found += (toxicity.document_signals(toxicity._infer(words, model), words.first) @ model.score >= 0).tolist()
+        assert np.mean(found) >= 0.9 if label else np.mean(found) <= 0.1
+
+
+def test_no_toxic_text_gives_a_warning():
+    with pytest.warns(UserWarning, match="no toxic text"):
+        toxicity.fit(["a b c", "d e f"], [0, 0])
+
+
 def test_odd_rows_and_no_labels(spark, frame):
     none = spark.createDataFrame([], "doc_id bigint, toxic int, quality int")
     one_class = spark.createDataFrame([(1, 0, 1), (1, 0, 1), (5, None, None), (None, 1, 0)], "doc_id bigint, toxic int, quality int")
