@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from dayglass.llm.frames import quoted, with_text_columns
 from dayglass.llm.textkit import Block, blocks, split_words, word_hashes
 
-#: Shortest candidate; labelled findings of each class that the forest is fitted on; its trees and their depth.
+#: Shortest run that is a candidate by itself; labelled findings of each class that the forest is fitted on; its trees and their depth.
 SHORTEST, PER_CLASS, TREES, DEPTH = 16, 3000, 25, 8
 #: Words of the dictionary, and how often a word must be in a task's texts to be gathered for it.
 DICTIONARY, GATHERED = 20_000, 3
@@ -25,7 +25,10 @@ NEIGHBOURS, CUTS, AROUND = 16, 32, 48
 
 _INSIDE = np.array([chr(b).isalnum() and b < 128 or chr(b) in "+/_-" for b in range(256)])
 _LETTERS = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
-_ASSIGNED = re.compile(r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)s?[\"']?\s*(=|:|:=|=>)\s*[\"']?$")
+_NAME = re.compile(rb"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)s?[\"']?\Z")
+_ANY_NAME = re.compile(rb"[A-Za-z][\"']?\Z")
+_VALUE = re.compile(rb"(?::=|=>|=|:)\s*(?:\"((?:\\.|[^\"\\\r\n])+)\"|'((?:\\.|[^'\\\r\n])+)'|[\"']?([^\s\"']+))")
+_BLANK = b" \t\r\n\v\f"
 _ACCESS_KEY = re.compile(r"A(KI|SI)A[0-9A-Z]{16}$")
 _WORD = re.compile(r"[A-Za-z]{2,}")
 
@@ -44,6 +47,7 @@ class Candidate(NamedTuple):
     value: str
     before: str
     after: str
+    given: int  # 1 for the whole value given to a telling name, 2 for a part of one, -1 for that of another name, else 0
 
 
 class Forest(NamedTuple):
@@ -53,29 +57,67 @@ class Forest(NamedTuple):
     share: np.ndarray
 
 
-def candidates(block: Block) -> list[Candidate]:
-    """Longest runs of ASCII letters, digits, plus, slash, underscore and minus of at least SHORTEST characters."""
+def _given(block: Block, raw: bytes, others: bool) -> dict[tuple[int, int], int]:
+    """(begin, end) in the block of all values after a name and a separator: 1 for telling names, -1 for others if asked for.
+
+    A value goes up to its closing quote, or without quotes up to a quote or blank.
+    """
+    found = {}
+    at = np.flatnonzero((block.data == ord("=")) | (block.data == ord(":")))
+    text = np.searchsorted(block.starts, at, "right") - 1
+    for i, low, high in zip(at.tolist(), block.starts[text].tolist(), block.starts[text + 1].tolist()):
+        j = i
+        while j > low and raw[j - 1] in _BLANK:
+            j -= 1
+        kind = 1 if _NAME.search(raw, max(low, j - 16), j) else -1
+        if kind < 0 and not (others and _ANY_NAME.search(raw, max(low, j - 2), j)):
+            continue
+        value = _VALUE.match(raw, i, high)
+        if value:
+            found[value.span(value.lastindex)] = kind
+    return found
+
+
+def candidates(block: Block, others: bool = False) -> list[Candidate]:
+    """Values given to telling names, whatever their length and signs, and long runs, each span once; they may overlap.
+
+    Runs are the longest of ASCII letters, digits, plus, slash, underscore and minus of at least SHORTEST characters.
+    With ``others`` short values given to other names come as well.
+    """
     runs = split_words(block, _INSIDE, lower=False)
-    found = []
-    raw = block.data
+    raw = block.data.tobytes()
+    spans = _given(block, raw, others)
+    whole = sorted(k for k, kind in spans.items() if kind == 1)
+    spans = {(a, b): kind for (a, b), kind in spans.items() if kind == 1 or b - a < SHORTEST}
+    reach = np.maximum.accumulate([b for _, b in whole]) if whole else np.zeros(0, np.int64)
+    begins = np.array([a for a, _ in whole], np.int64)
     for i in np.flatnonzero(runs.end - runs.begin >= SHORTEST).tolist():
         a, b = int(runs.begin[i]), int(runs.end[i])
+        k = int(np.searchsorted(begins, a, "right")) - 1
+        spans.setdefault((a, b), 2 if k >= 0 and reach[k] > a else 0)
+    found = []
+    for (a, b), given in sorted(spans.items()):
         t = int(np.searchsorted(block.starts, a, "right")) - 1
         low, high = int(block.starts[t]), int(block.starts[t + 1])
         around = [raw[max(low, a - AROUND) : a], raw[b : min(high, b + AROUND)]]
-        before, after = (x.tobytes().decode("utf-8", "ignore") for x in around)
-        found.append(Candidate(t, a - low, b - low, raw[a:b].tobytes().decode("ascii"), before, after))
+        before, after = (x.decode("utf-8", "ignore") for x in around)
+        found.append(Candidate(t, a - low, b - low, raw[a:b].decode("utf-8"), before, after, given))
     return found
 
 
 def rule_label(c: Candidate) -> int | None:
-    """1 for findings of known forms or given to a name that says so, 0 for plain words and numbers, else None."""
+    """1 for findings of known forms or given to a name that says so, 0 for plain words and numbers, else None.
+
+    Values of one kind that are given to a telling name, and parts of values, have no label; 2 is for plain short values of other names.
+    """
     if _ACCESS_KEY.match(c.value):
         return 1
     digits, letters = any(x.isdigit() for x in c.value), any(x.isalpha() for x in c.value)
-    if _ASSIGNED.search(c.before) and digits and letters:
-        return 1
-    return None if digits and letters else 0
+    if c.given > 0:
+        return 1 if c.given == 1 and digits and letters else None
+    if digits and letters:
+        return None
+    return 2 if c.given < 0 else 0
 
 
 def _coverage(value: str, words: frozenset[str]) -> float:
@@ -94,7 +136,8 @@ def feature_row(c: Candidate, language: Language) -> list[float]:
     kinds = [0 if x.isdigit() else 1 if x.isupper() else 2 if x.islower() else 3 for x in v]
     shares = [kinds.count(k) / n for k in range(4)]
     counts = np.unique(list(v), return_counts=True)[1] / n
-    codes = np.frombuffer(v.lower().encode("ascii"), np.uint8).astype(np.int64)
+    codes = np.frombuffer(v.lower().encode(), np.uint8).astype(np.int64)
+    pairs = language.pairs[codes[:-1], codes[1:]] if len(codes) > 1 else np.zeros(1)
     run = re.split(r"\s", c.before)[-1]
     words = _WORD.findall(c.before)[-2:]
     near = [0.0] * NEIGHBOURS
@@ -104,8 +147,8 @@ def feature_row(c: Candidate, language: Language) -> list[float]:
         math.log(n),
         *shares,
         sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
-        float(language.pairs[codes[:-1], codes[1:]].mean()),
-        float(language.pairs[codes[:-1], codes[1:]].min()),
+        float(pairs.mean()),
+        float(pairs.min()),
         _coverage(v, language.words),
         len(counts) / n,
         float(-(counts * np.log2(counts)).sum()),
@@ -220,18 +263,21 @@ class Scanner(NamedTuple):
         if not found:
             return np.zeros(0)
         if self.forest is None:
-            return np.array([float(rule_label(c) or 0) for c in found])
+            return np.array([float(rule_label(c) == 1) for c in found])
         return forest_scores(self.forest, np.array([feature_row(c, self.language) for c in found]))
 
 
 def labelled_findings(docs: DataFrame, language: Language, text: str = "text") -> DataFrame:
-    """(label, order, features) of all candidates that the rules can label; ``order`` is a hash of the finding."""
+    """(label, order, features) of all candidates that the rules can label; ``order`` is a hash of the finding.
+
+    Label 2 is for plain short values of other names, which teach as label 0 does but are drawn apart from it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(0)):
-                rows = [(rule_label(c), c) for c in candidates(block)]
+                rows = [(rule_label(c), c) for c in candidates(block, others=True)]
                 rows = [(y, c) for y, c in rows if y is not None]
                 order = [int.from_bytes(hashlib.md5(f"{c.value}|{c.before}".encode()).digest()[:7], "big") for _, c in rows]
                 columns = [pa.array([y for y, _ in rows], pa.int32()), pa.array(order, pa.int64()), pa.array([feature_row(c, shared.value) for _, c in rows], pa.list_(pa.float64()))]
@@ -248,18 +294,18 @@ def fit_scanner(docs: DataFrame, text: str = "text", learn: Column | None = None
     """
     language = learn_language(docs, text)
     rows = findings if findings is not None else labelled_findings(docs if learn is None else docs.where(learn), language, text)
-    drawn = [rows.where(F.col("label") == k).groupBy("order").agg(F.min("features").alias("features")).orderBy("order").limit(per_class).collect() for k in (0, 1)]
-    if not all(drawn):
+    drawn = [rows.where(F.col("label") == k).groupBy("order").agg(F.min("features").alias("features")).orderBy("order").limit(per_class).collect() for k in (0, 2, 1)]
+    if not (drawn[0] or drawn[1]) or not drawn[2]:
         return Scanner(language, None)
     x = np.array([r["features"] for part in drawn for r in part])
-    return Scanner(language, fit_forest(x, np.repeat([0, 1], [len(part) for part in drawn])))
+    return Scanner(language, fit_forest(x, np.repeat([0, 0, 1], [len(part) for part in drawn])))
 
 
 def scan_secrets(docs: DataFrame, scanner: Scanner, text: str = "text", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``findings``, all candidates of the whole text, and ``redacted``, the text without its secrets.
 
     A finding has ``start`` and ``end`` in code points, the forest's ``score``, ``secret`` (score at least ``threshold``)
-    and the ``sha256`` of its value. In ``redacted`` each secret is replaced by ``[secret]``. NULL texts have
+    and the ``sha256`` of its value. In ``redacted`` each secret is replaced by ``[secret]``, overlapping ones by one. NULL texts have
     no findings and stay NULL; repeated rows are scanned each. One narrow pass.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scanner)
@@ -273,12 +319,19 @@ def scan_secrets(docs: DataFrame, scanner: Scanner, text: str = "text", threshol
                 hits = candidates(block)
                 for c, score in zip(hits, shared.value.scores(hits).tolist()):
                     raw = texts[block.low + c.text].encode()
-                    a, b = len(raw[: c.begin].decode()), c.end - c.begin
+                    a, b = len(raw[: c.begin].decode()), len(c.value)
                     found[block.low + c.text].append({"start": a, "end": a + b, "score": score, "secret": score >= threshold, "sha256": hashlib.sha256(c.value.encode()).hexdigest()})
             redacted = []
             for t, own in zip(texts, found):
-                for f in reversed([f for f in own if f["secret"]]):
-                    t = t[: f["start"]] + "[secret]" + t[f["end"] :]
+                spans: list[list[int]] = []
+                for f in own:
+                    if f["secret"]:
+                        if spans and f["start"] < spans[-1][1]:
+                            spans[-1][1] = max(spans[-1][1], f["end"])
+                        else:
+                            spans.append([f["start"], f["end"]])
+                for a, b in reversed(spans):
+                    t = t[:a] + "[secret]" + t[b:]
                 redacted.append(t)
             return [found, redacted]
 

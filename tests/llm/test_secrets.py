@@ -39,6 +39,27 @@ def test_planted_secrets(spark, frame):
         assert r.redacted == r.text.replace(planted.get(r.doc_id, "\0"), "[secret]")
 
 
+def test_short_and_signed_values(spark, frame):
+    rows, _ = corpus()
+    values = ["Tr0ub4dor&3", "hunter2!Q", "a1", "pässw0rd.mit=zeichen$und!mehr.als.sechzehn"]
+    rng = random.Random(5)
+    for i in range(150):
+        rows.append((1000 + i, f"note: word and pwd: '{''.join(rng.choices('abcdef', k=4))}{i}!x' then text"))
+    texts = [f"é {name}{v} end" for v, name in zip(values, ("password=", "pwd: ", "token := ", "secret = "))]
+    texts[1] = texts[1].replace(values[1], f"'{values[1]}'")
+    docs = frame([*rows, *enumerate(texts, 5000)])
+    scanned = secrets.scan_secrets(docs, secrets.fit_scanner(docs)).where("doc_id >= 5000").orderBy("doc_id").collect()
+    for r, v in zip(scanned, values, strict=True):
+        assert v in [r.text[f.start : f.end] for f in r.findings if f.secret]
+        assert r.redacted == r.text.replace(v, "[secret]")
+
+
+def test_values_of_one_kind_have_no_label():
+    text = "password=abcdefghijklmnopqrst pwd=12345678901234567890 abcdefghijklmnopqrst"
+    (block,) = secrets.blocks(secrets.pa.array([text]))
+    assert [secrets.rule_label(c) for c in secrets.candidates(block)] == [None, None, 0]
+
+
 def test_odd_rows_and_one_class(spark, frame):
     for rows in (ODD, [], [(1, "password=0123456789abcdef01"), (2, "longlonglonglongword"), (2, None)]):
         docs = frame(rows)
