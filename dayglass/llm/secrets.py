@@ -18,8 +18,9 @@ from dayglass.llm.textkit import Block, blocks, split_words, word_hashes
 
 #: Shortest run that is a candidate by itself; labelled findings of each class that the forest is fitted on; its trees and their depth.
 SHORTEST, PER_CLASS, TREES, DEPTH = 16, 3000, 25, 8
-#: Words of the dictionary, and how often a word must be in a task's texts to be gathered for it.
-DICTIONARY, GATHERED = 20_000, 3
+#: Share of all places of words, and places in all texts, that a word of the dictionary has at least; different words that
+#: a task counts before it gives the counts out.
+SHARE, SEEN, COUNTED = 5e-6, 3, 1 << 18
 #: Buckets of the words before a candidate, cuts per feature, and characters on either side that are looked at.
 NEIGHBOURS, CUTS, AROUND = 16, 32, 48
 
@@ -163,15 +164,27 @@ def feature_row(c: Candidate, language: Language) -> list[float]:
 
 
 def learn_language(docs: DataFrame, text: str = "text") -> Language:
-    """Byte pairs of all words (A-Z lower-cased) and the DICTIONARY most frequent words of 3 to 12 ASCII letters.
+    """Byte pairs of all words (A-Z lower-cased) and the frequent words of 3 to 12 ASCII letters.
 
-    Counted in each task over whole texts, then summed. Words with fewer than GATHERED places in the texts of one task
-    are not gathered from it. The driver gets at most 65,536 pair sums and DICTIONARY words.
+    Counted in each task over whole texts, then summed before words are chosen, so that the partitions of the table make no
+    difference. A word is frequent by its share of the places of all such words. The driver gets at most 65,536 pair
+    sums and 1 / SHARE words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(1 << 16, np.int64)
         seen: dict[int, list] = {}
+
+        def made() -> pa.RecordBatch:
+            kept = [(w, n) for w, n in seen.values() if w.isascii() and w.isalpha()]
+            used = np.flatnonzero(pairs)
+            names = [None] * len(used) + [w for w, _ in kept]
+            codes = used.tolist() + [None] * len(kept)
+            numbers = pairs[used].tolist() + [n for _, n in kept]
+            seen.clear()
+            pairs[:] = 0
+            return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(names, pa.string()), pa.array(numbers, pa.int64())], names=["pair", "word", "n"])
+
         for batch in batches:
             for block in blocks(batch.column(0)):
                 words = split_words(block, _LETTERS)
@@ -192,19 +205,18 @@ def learn_language(docs: DataFrame, text: str = "text") -> Language:
                         seen[h][1] += n
                     else:
                         seen[h] = [words.text(i), n]
-        kept = [(w, n) for w, n in seen.values() if n >= GATHERED and w.isascii() and w.isalpha()]
-        used = np.flatnonzero(pairs)
-        names = [None] * len(used) + [w for w, _ in kept]
-        codes = used.tolist() + [None] * len(kept)
-        numbers = pairs[used].tolist() + [n for _, n in kept]
-        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(names, pa.string()), pa.array(numbers, pa.int64())], names=["pair", "word", "n"])
+                if len(seen) > COUNTED:
+                    yield made()
+        yield made()
 
     found = docs.select(F.col(quoted(text)).cast("string").alias("text")).mapInArrow(run, "pair bigint, word string, n bigint")
     sums = found.groupBy("pair", "word").agg(F.sum("n").alias("n")).persist()
     grid = np.full((256, 256), 0.1)
     for r in sums.where("pair IS NOT NULL").collect():
         grid[r["pair"] >> 8, r["pair"] & 255] += r["n"]
-    words = sums.where("word IS NOT NULL").orderBy(F.col("n").desc(), "word").limit(DICTIONARY).collect()
+    known = sums.where("word IS NOT NULL")
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    words = known.where(F.col("n") >= max(SEEN, SHARE * total)).collect()
     sums.unpersist()
     return Language(np.log(grid / grid.sum(axis=1, keepdims=True)).astype(np.float32), frozenset(r["word"] for r in words))
 

@@ -60,6 +60,13 @@ def test_values_of_one_kind_have_no_label():
     assert [secrets.rule_label(c) for c in secrets.candidates(block)] == [None, None, 0]
 
 
+def test_dictionary_is_that_of_all_texts_however_they_are_dealt(spark, frame):
+    docs = frame([(i, f"each text has rare{'abcdefghij'[i % 10]} words") for i in range(40)])
+    one, many = (secrets.learn_language(docs.repartition(n)) for n in (1, 40))
+    assert one.words == many.words == {"each", "text", "has", "words", *(f"rare{x}" for x in "abcdefghij")}
+    assert (one.pairs == many.pairs).all()
+
+
 def test_odd_rows_and_one_class(spark, frame):
     for rows in (ODD, [], [(1, "password=0123456789abcdef01"), (2, "longlonglonglongword"), (2, None)]):
         docs = frame(rows)
