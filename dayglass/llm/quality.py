@@ -13,8 +13,8 @@ from dayglass.llm.frames import with_text_columns
 from dayglass.llm.samples import labelled_sample
 from dayglass.llm.textkit import Block, Rolling, blocks, split_words
 
-#: Labelled texts of each class that are used for fitting, and distinct features of a text that a step looks at.
-PER_CLASS, PER_TEXT = 2000, 1500
+#: Labelled texts of each class that are used for fitting.
+PER_CLASS = 2000
 #: Buckets of hashed features, numbers of a vector, and lengths of character n-grams.
 BUCKETS, SIZE, NGRAMS = 1 << 17, 8, (2, 3, 4)
 
@@ -68,7 +68,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.5, seed: int = 11) -> Model:
-    """Stochastic gradient descent over texts; the rate falls linearly. A step sees at most PER_TEXT features of a text."""
+    """Stochastic gradient descent over texts; the rate falls linearly. A step sees all features of a text, as scoring does."""
     rng = np.random.default_rng(seed)
     rows = []
     for block in blocks(pa.array(texts, pa.string())):
@@ -91,9 +91,6 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.5
             steps += 1
             if not len(at):
                 continue
-            if len(at) > PER_TEXT:
-                drawn = rng.choice(len(at), PER_TEXT, replace=False)
-                at, weight = at[drawn], weight[drawn] / weight[drawn].sum()
             own = vectors[at]
             hidden = weight @ own
             error = -_softmax(output @ hidden + bias)

@@ -93,6 +93,16 @@ def test_no_toxic_text_gives_a_warning():
         toxicity.fit(["a b c", "d e f"], [0, 0])
 
 
+def test_quality_learns_from_all_features_of_a_text():
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(400)) for _ in range(2)]
+    start = np.random.default_rng(11).uniform(-1 / quality.SIZE, 1 / quality.SIZE, (quality.BUCKETS, quality.SIZE)).astype(np.float32)
+    model = quality.fit(texts, [0, 1], epochs=1)
+    (block,) = quality.blocks(pa.array(texts))
+    used = np.unique(quality.features(block)[0])
+    assert len(used) > 3000 and (model.vectors[used] != start[used]).any(axis=1).all()
+
+
 def test_odd_rows_and_no_labels(spark, frame):
     none = spark.createDataFrame([], "doc_id bigint, toxic int, quality int")
     one_class = spark.createDataFrame([(1, 0, 1), (1, 0, 1), (5, None, None), (None, 1, 0)], "doc_id bigint, toxic int, quality int")
