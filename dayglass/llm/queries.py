@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayglass.llm.decontamination import find_passages, passage_digest
+from dayglass.llm.fill_in_middle import fill_digest
 from dayglass.llm.fingerprints import edited_by_next
 from dayglass.llm.frames import crc_bucket, table
 from dayglass.llm.jaccard_join import jaccard_components
@@ -17,6 +18,7 @@ from dayglass.llm.secrets import finding_rows, fit_scanner, scan_secrets
 from dayglass.llm.token_files import read_documents, write_token_files
 from dayglass.llm.toxicity import fit_toxicity, score_toxicity
 from dayglass.llm.url_filter import judge_urls
+from dayglass.llm.warc import archive_digest, read_archives, write_archives
 from dayglass.session import scratch_path
 
 
@@ -128,6 +130,50 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_digest(table(spark, folder, "documents"))
+
+
+_FILL_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS w, CAST('0x' || s[1:8] AS BIGINT) AS h1,
+         CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (
+  SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_archives(table(spark, folder, "pages"), path)
+    return archive_digest(read_archives(spark, path))
+
+
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (
+  SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS smallest FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN smallest IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN smallest IS DISTINCT FROM page_id THEN smallest END AS refers_to
+FROM f
+"""
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_secret_scan": op2_secret_scan,
@@ -139,5 +185,12 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_pieces": op10_pieces,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_warc": op12_warc,
+}
+SQL = {
+    "op4_url_filter": _URL_SQL,
+    "op7_decontamination": _PASSAGE_SQL,
+    "op11_fill_in_middle": _FILL_SQL,
+    "op12_warc": _WARC_SQL,
 }
-SQL = {"op4_url_filter": _URL_SQL, "op7_decontamination": _PASSAGE_SQL}
