@@ -13,6 +13,7 @@ from dayglass.llm.frames import crc_bucket, table
 from dayglass.llm.jaccard_join import jaccard_components
 from dayglass.llm.language_model import score_texts
 from dayglass.llm.pieces import encode_pieces, piece_digest
+from dayglass.llm.prefix_trie import conversation_paths, prefix_nodes, turn_ids
 from dayglass.llm.quality import fit_quality, score_quality
 from dayglass.llm.secrets import finding_rows, fit_scanner, scan_secrets
 from dayglass.llm.token_files import read_documents, write_token_files
@@ -174,6 +175,48 @@ FROM f
 """
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_nodes(conversation_paths(turn_ids(table(spark, folder, "conversations")), group=100, most=6))
+
+
+_TRIE_SQL = """
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, coalesce(role, '') AS role FROM conversations),
+own AS (
+  SELECT conv_id, length(text) AS chars, sha256(length(role) || ':' || role || text) AS id,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i FROM raw),
+ids AS (
+  SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS name FROM raw),
+drawn AS (
+  SELECT conv_id, name, xor(list_reduce(list_transform(range(1, length(name) + 1), lambda k: CAST(ascii(name[k]) AS BIGINT)),
+    lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)),
+    4294967295), 4294967295) % 6 AS h FROM ids),
+rebuilt AS (
+  SELECT d.conv_id, 0 AS part, o.i, o.id, o.chars FROM drawn d JOIN own o ON o.conv_id = d.conv_id - d.conv_id % 100 AND o.i <= d.h
+  UNION ALL
+  SELECT d.conv_id, 1, o.i, o.id, o.chars FROM drawn d JOIN own o ON o.conv_id IS NOT DISTINCT FROM d.conv_id AND o.i > d.h),
+paths AS (
+  SELECT conv_id, chars, string_agg(id, '') OVER w AS path, count(*) OVER w AS depth FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)),
+members AS (
+  SELECT conv_id, path, depth, chars FROM paths UNION ALL SELECT conv_id, '', 0, 0 FROM ids),
+longest AS (
+  SELECT conv_id, max(depth) AS last FROM members GROUP BY conv_id),
+nodes AS (
+  SELECT path, depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS own,
+         sha256(coalesce(string_agg(coalesce(CAST(m.conv_id AS VARCHAR), ''), ',' ORDER BY m.conv_id NULLS LAST) FILTER (WHERE depth = last), '')) AS ends
+  FROM members m JOIN longest l ON l.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY path, depth),
+kids AS (
+  SELECT path[1:64 * (depth - 1)] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT n.path[1:64 * k] AS path, sum(own) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves
+  FROM nodes n LEFT JOIN kids ON kids.path = n.path, unnest(range(0, n.depth + 1)) AS u(k) GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM nodes n JOIN below ON below.path = n.path LEFT JOIN kids ON kids.path = n.path
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1:64 * (n.depth - 1)]
+"""
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_secret_scan": op2_secret_scan,
@@ -187,10 +230,12 @@ QUERIES = {
     "op10_pieces": op10_pieces,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_warc": op12_warc,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 SQL = {
     "op4_url_filter": _URL_SQL,
     "op7_decontamination": _PASSAGE_SQL,
     "op11_fill_in_middle": _FILL_SQL,
     "op12_warc": _WARC_SQL,
+    "op13_prefix_trie": _TRIE_SQL,
 }
