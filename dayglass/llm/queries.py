@@ -211,7 +211,7 @@ below AS (
   SELECT n.path[1:64 * k] AS path, sum(own) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves
   FROM nodes n LEFT JOIN kids ON kids.path = n.path, unnest(range(0, n.depth + 1)) AS u(k) GROUP BY 1)
 SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children,
-       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
 FROM nodes n JOIN below ON below.path = n.path LEFT JOIN kids ON kids.path = n.path
 LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1:64 * (n.depth - 1)]
 """
