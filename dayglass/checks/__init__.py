@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("profile_checks", "cleaning_checks", "scoring_checks", "encoding_checks", "feature_checks", "model_checks", "job_checks")
+_MODULES = ("profile_checks", "cleaning_checks", "scoring_checks", "encoding_checks", "feature_checks", "model_checks", "job_checks", "tree_checks")
 
 
 def _merge(attribute: str) -> dict:

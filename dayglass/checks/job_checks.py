@@ -120,7 +120,7 @@ SELECT feature, tn, fp, fn, tp, round(100.0 * (tn + tp) / (tn + fp + fn + tp), 9
 # Training jobs: few, shallow trees
 
 _SMALL = J.TreeSettings(2, 3, 0.1, 32)
-_BASE = J.smaller(J.BASE_MODELS, 2, 3)
+_BASE = J.smaller(J.BASE_MODELS, 2, 3, 6)
 
 
 def _table(s, d, until=LAST_DAY + 1):
@@ -138,14 +138,6 @@ def _base_models(s, d):
 QUERIES["gbt_base_models"] = _base_models
 
 
-def _stacked(s, d):
-    rows, features = _table(s, d)
-    return J.stacked_scores(rows, features, "row_id", "day", LAST_DAY, scores(s, d), ["light", "hist"], _SMALL)
-
-
-QUERIES["stacked_hybrid"] = _stacked
-
-
 def _walk_forward(s, d):
     rows, features = _table(s, d)
     return J.walk_forward_scores(rows, features, "row_id", "day", J.TreeSettings(1, 2, 0.1, 32), weighted=True, test_day=LAST_DAY)

@@ -41,6 +41,13 @@ def bin_of(c: str, limits: tuple[float, float], bins: int) -> Column:
     return F.when(x.isNull(), 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(bins), inside))).cast("int")
 
 
+def bin_by_borders(c: str, borders: list[float]) -> Column:
+    """1 plus the number of ascending ``borders`` below the value; NULL and NaN are bin 0."""
+    x = F.col(c).cast("double")
+    below = F.size(F.filter(F.array(*[F.lit(float(b)) for b in borders]), lambda b: b < x)) if borders else F.lit(0)
+    return F.when(x.isNull() | F.isnan(x), 0).otherwise(1 + below).cast("int")
+
+
 def add_gradients(df: DataFrame, label: str, params: BoostParams) -> DataFrame:
     """Gradient and hessian of the (focal) log loss at the current raw score."""
     p, y = scalar.sigmoid(F.col("raw")), F.col(label).cast("int")
@@ -99,14 +106,16 @@ def leaf_values(df: DataFrame, params: BoostParams) -> DataFrame:
     return df.groupBy("node").agg(F.count("*").alias("rows"), value.alias("value"))
 
 
-def start_state(df: DataFrame, row_id: str, features: list[str], label: str, params: BoostParams, start: float) -> DataFrame:
-    limits = fit_bins(df, features)
-    return df.select(
-        row_id,
-        label,
-        F.lit(start).alias("raw"),
-        *[bin_of(c, limits[c], params.bins).alias(f"bin_{c}") for c in features],
-    )
+def start_state(
+    df: DataFrame, row_id: str, features: list[str], label: str, params: BoostParams, start: float, borders: dict[str, list[float]] | None = None
+) -> DataFrame:
+    """Bins of equal width, or between ``borders`` of a feature where these are given (equal shares: ``quantile_borders``)."""
+    if borders is None:
+        limits = fit_bins(df, features)
+        bins = [bin_of(c, limits[c], params.bins) for c in features]
+    else:
+        bins = [bin_by_borders(c, borders[c]) for c in features]
+    return df.select(row_id, label, F.lit(start).alias("raw"), *[b.alias(f"bin_{c}") for b, c in zip(bins, features)])
 
 
 def boosting_round(state: DataFrame, features: list[str], label: str, params: BoostParams) -> tuple[DataFrame, list, list]:

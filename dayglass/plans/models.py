@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -24,7 +24,9 @@ from dayglass.operators import encoders as D
 from dayglass.operators import metrics as I
 from dayglass.operators import scaling as S
 from dayglass.operators import scoring as H
+from dayglass.operators import trees as T
 from dayglass.operators.encoders import to_long
+from dayglass.operators.sketches import quantile_borders
 from dayglass.operators.splits import exclude_days
 from dayglass.roles import WEAK_COLUMNS, Roles
 from dayglass.session import cut_lineage, shared_folder
@@ -37,14 +39,16 @@ class TreeSettings:
     rate: float
     bins: int
     min_leaf: int = 1
+    #: Trees with so many leaves, grown best first; None for trees that are grown level by level.
+    leaves: int | None = None
+    l2: float = 1.0
 
 
-# Rounds, learning rates, bins and leaf sizes of the three base models. Leaf-wise sizes (300 and
-# 130 leaves) are mapped to the depth that holds as many leaves.
+# Rounds, depths (63: none stated), learning rates, bins, leaf sizes and leaves of the three base models.
 BASE_MODELS = {
     "cat": TreeSettings(999, 7, 0.09976360026551613, 89),
-    "light": TreeSettings(473, 9, 0.025199403190325702, 255),
-    "hist": TreeSettings(261, 8, 0.10659053116784906, 229, 184),
+    "light": TreeSettings(473, 63, 0.025199403190325702, 255, 20, leaves=300),
+    "hist": TreeSettings(261, 12, 0.10659053116784906, 229, 184, leaves=130),
 }
 EXCLUDED_DAYS = (48, 50, 52)
 #: Fits that a job with one model per day keeps under way at the same time.
@@ -71,10 +75,14 @@ RAW_PREPARATION = Preparation(
 )
 
 
-def smaller(settings: dict[str, TreeSettings], rounds: int, depth: int) -> dict[str, TreeSettings]:
-    """The same models with fewer and shallower trees."""
+def smaller(settings: dict[str, TreeSettings], rounds: int, depth: int | None = None, leaves: int | None = None) -> dict[str, TreeSettings]:
+    """The same models with fewer trees, and with fewer levels or leaves where these are given."""
+
+    def least(a: int | None, b: int | None) -> int | None:
+        return a if b is None else b if a is None else min(a, b)
+
     return {
-        name: TreeSettings(min(rounds, s.rounds), min(depth, s.depth), s.rate, s.bins, s.min_leaf)
+        name: replace(s, rounds=min(rounds, s.rounds), depth=least(s.depth, depth), leaves=None if s.leaves is None else least(s.leaves, leaves))
         for name, s in settings.items()
     }
 
@@ -126,6 +134,30 @@ def fit_trees(
     return trees.fit(_vectors(train, features).select("features", label, *[c for c in (weight, validation) if c]))
 
 
+def grow_leafwise(
+    df: DataFrame,
+    features: list[str],
+    row_id: str,
+    day: str,
+    label: str,
+    models: list[T.Model],
+    settings: TreeSettings,
+    borders: dict[str, list[float]] | None = None,
+) -> T.Grown:
+    """Best-first trees for several sets of days at once, on quantile bins of all rows unless ``borders`` are given."""
+    if borders is None:
+        borders = quantile_borders(df, features, settings.bins)
+    leafwise = T.LeafwiseSettings(settings.rounds, settings.leaves, settings.rate, settings.min_leaf, settings.l2, settings.depth)
+    return T.grow(df, row_id, day, label, features, borders, models, leafwise)
+
+
+def own_model_scores(grown: T.Grown, row_id: str, day: str, of_day: dict[int, int]) -> DataFrame:
+    """(row id, day, score): the probability of each row of the days in ``of_day`` by the model numbered there."""
+    number = F.create_map(*[F.lit(x) for pair in of_day.items() for x in pair])[F.col(day)]
+    rows = grown.scores.where(F.col(day).isin(list(of_day)))
+    return rows.select(row_id, day, scalar.sigmoid(F.get("raw", number)).alias("score"))
+
+
 def score(model: Model, df: DataFrame, features: list[str], keep: list[str], out: str = "p") -> DataFrame:
     scored = model.transform(_vectors(df, features))
     return scored.select(*keep, vector_to_array("probability")[1].alias(out))
@@ -143,25 +175,56 @@ def base_model_scores(
 ) -> dict[str, DataFrame]:
     """Scores of the test day per base model. The second and third model leave out three odd days."""
     train, test = table.where(F.col(day) < test_day), table.where(F.col(day) == test_day)
+    days = days_before(table, day, test_day)
     scores = {}
     for name, s in settings.items():
         rows = train if name == "cat" else exclude_days(train, day, EXCLUDED_DAYS)
         used = preparation.features(features, name)
-        scores[name] = score(fit_trees(rows, used, label, s), test, used, [row_id], "score")
+        if s.leaves is None:
+            scores[name] = score(fit_trees(rows, used, label, s), test, used, [row_id], "score")
+        else:
+            learned = tuple(d for d in days if name == "cat" or d not in EXCLUDED_DAYS)
+            grown = grow_leafwise(table, used, row_id, day, label, [T.Model(learned)], s)
+            scores[name] = own_model_scores(grown, row_id, day, {test_day: 0}).drop(day)
     return scores
 
 
+def days_before(table: DataFrame, day: str, test_day: int) -> list[int]:
+    return sorted(r[0] for r in table.where(F.col(day) < test_day).select(F.col(day).cast("int")).distinct().collect())
+
+
 def day_out_model_scores(
-    table: DataFrame, features: list[str], row_id: str, day: str, days: list[int], settings: TreeSettings, label: str = "is_installed"
+    table: DataFrame,
+    features: list[str],
+    row_id: str,
+    day: str,
+    days: list[int],
+    settings: TreeSettings,
+    label: str = "is_installed",
+    test_day: int | None = None,
+    borders: dict[str, list[float]] | None = None,
 ) -> DataFrame:
-    """Out-of-fold scores from one model per day, trained on all other days; AT_ONCE fits share the cluster."""
+    """(row id, day, score): each row of ``days`` by a model that learned from the other ones of these days.
+
+    With ``test_day`` its rows are scored too, by a model of all of ``days``. Leaf-wise models of all folds grow side by
+    side from shared histograms; the others are fitted one per day, AT_ONCE of them sharing the cluster.
+    """
+    if settings.leaves is not None:
+        models = [T.Model(tuple(d for d in days if d != fold)) for fold in days]
+        of_day = {d: i for i, d in enumerate(days)}
+        if test_day is not None:
+            of_day[test_day] = len(models)
+            models.append(T.Model(tuple(days)))
+        rows = table.where(F.col(day).isin(list(of_day)))
+        return own_model_scores(grow_leafwise(rows, features, row_id, day, label, models, settings, borders), row_id, day, of_day)
+    known = table.where(F.col(day).isin(days))
 
     def fold(d: int) -> DataFrame:
-        model = fit_trees(table.where(F.col(day) != d), features, label, settings)
+        model = fit_trees(known.where(F.col(day) != d), features, label, settings)
         return score(model, table.where(F.col(day) == d), features, [row_id, day], "score")
 
     with ThreadPoolExecutor(AT_ONCE) as pool:
-        return reduce(DataFrame.unionByName, pool.map(fold, days))
+        return reduce(DataFrame.unionByName, pool.map(fold, [*days, *([] if test_day is None else [test_day])]))
 
 
 def stacked_scores(
@@ -174,9 +237,14 @@ def stacked_scores(
     models: list[str],
     settings: TreeSettings,
     label: str = "is_installed",
+    borders: dict[str, list[float]] | None = None,
 ) -> DataFrame:
     """Second-level model: the features plus first-level scores, which no row got from its own day."""
     joined = cut_lineage(table.join(fold_scores.select(row_id, *models), row_id), by=day)
+    if settings.leaves is not None:
+        learned = tuple(d for d in days_before(joined, day, test_day) if d not in EXCLUDED_DAYS)
+        grown = grow_leafwise(joined, [*features, *models], row_id, day, label, [T.Model(learned)], settings, borders)
+        return own_model_scores(grown, row_id, day, {test_day: 0}).drop(day)
     train, test = joined.where(F.col(day) < test_day), joined.where(F.col(day) == test_day)
     model = fit_trees(exclude_days(train, day, EXCLUDED_DAYS), [*features, *models], label, settings)
     return score(model, test, [*features, *models], [row_id], "score")

@@ -27,10 +27,10 @@ def predict_next_day(
 ) -> DataFrame:
     """(RowId, is_clicked, is_installed) for every row of ``test_day``.
 
-    Three base models score the test day. Two of them also score every earlier day by models of all other days;
-    two stacked models learn from the features and both of these scores, and use the base models' scores on the
-    test day. All scores are reranked to those of the first model and blended: 3 + 2 * days + 2 fits. For the raw
-    log ``preparation`` is ``RAW_PREPARATION``.
+    Three base models score the test day. Two of them also score every earlier day by models of all other days,
+    which grow side by side; two stacked models learn from the features and both of these scores, and use the base
+    models' scores on the test day. All scores are reranked to those of the first model and blended. For the raw log
+    ``preparation`` is ``RAW_PREPARATION``.
     """
     row_id, day = roles.row_id, roles.day
     table, features = J.model_table(log, roles, label, preparation)
@@ -42,7 +42,7 @@ def predict_next_day(
 
     for name in FIRST_LEVEL:
         base[name] = reranked(base[name])
-    days = sorted(r[0] for r in table.where(F.col(day) < test_day).select(day).distinct().collect())
+    days = J.days_before(table, day, test_day)
     first_level = {}
     for name in FIRST_LEVEL:
         used = preparation.features(features, name)

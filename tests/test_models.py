@@ -80,20 +80,27 @@ def test_per_feature_models_find_the_signal(log):
 
 
 def test_full_run_is_the_real_run(log, monkeypatch):
-    fits, stacked = [], []
-    fit, stack = J.fit_trees, J.stacked_scores
+    fits, grown, stacked = [], [], []
+    fit, grow, stack = J.fit_trees, J.grow_leafwise, J.stacked_scores
     monkeypatch.setattr(J, "fit_trees", lambda *a, **k: fits.append(a[1]) or fit(*a, **k))
+    monkeypatch.setattr(J, "grow_leafwise", lambda *a, **k: grown.append((a[1], a[5])) or grow(*a, **k))
     monkeypatch.setattr(J, "stacked_scores", lambda *a, **k: stacked.append(a) or stack(*a, **k))
     preparation = J.Preparation("c", {"x": "x", "y": "y"}, {"cat": ("c",)})
     wide = log.withColumn("y", F.col("x") + 1)
     roles = Roles("row_id", "day", categorical=("c",), binary=("b",), numeric=("x", "y"), label=("is_installed",))
-    rows = predict_next_day(wide, roles, 67, J.smaller(J.BASE_MODELS, 1, 2), preparation=preparation).collect()
+    settings = J.smaller(J.BASE_MODELS, 1, 2, 3)
+    assert [s.leaves for s in settings.values()] == [None, 3, 3]
+    rows = predict_next_day(wide, roles, 67, settings, preparation=preparation).collect()
     assert len(rows) == log.where("day = 67").count() == len({r["RowId"] for r in rows})
     assert all(0 <= r["is_installed"] <= 1 and r["is_clicked"] == 0.33 for r in rows)
-    days = log.where("day < 67").select("day").distinct().count()
-    assert len(fits) == 3 + 2 * days + 2
-    assert "c" not in fits[0] and "f_newx-y" in fits[0] and all("c" in f for f in fits[1:])
-    assert all({"light", "hist"} <= set(f) for f in fits[-2:])
+    days = sorted(r[0] for r in log.where("day < 67").select("day").distinct().collect())
+    assert len(fits) == 1 and "c" not in fits[0] and "f_newx-y" in fits[0]
+    # Two base models, two sets of one model per day, two stacked models; the test day teaches none.
+    assert sorted(len(models) for _, models in grown) == [1, 1, 1, 1, len(days), len(days)]
+    assert all("c" in f for f, _ in grown) and all({"light", "hist"} <= set(f) for f, _ in grown[-2:])
+    assert all(67 not in m.days for _, models in grown for m in models)
+    folds = [models for _, models in grown if len(models) > 1]
+    assert all([set(days) - set(m.days) for m in models] == [{d} for d in days] for models in folds)
     scores = stacked[0][5]
     assert scores.count() == log.count()
     test_rows = scores.join(log.where("day = 67"), "row_id")
