@@ -141,7 +141,7 @@ SELECT row_id, round({value}, 6) AS prediction FROM n GROUP BY row_id""",
     )
 
 
-for _w, _m in (("uniform", "euclidean"), ("distance", "manhattan")):
+for _w, _m in (("uniform", "euclidean"), ("distance", "manhattan"), ("uniform", "cosine")):
     _name = "knn_regress" if _m == "euclidean" else f"knn_regress_{_m}"
     QUERIES[_name], SQL[_name] = _knn(_w, _m), _knn_sql(_w, _m)
 
@@ -170,6 +170,28 @@ bd AS (SELECT e.a AS id, min(cc.label) AS label FROM e JOIN cc ON cc.id = e.b WH
 SELECT p.id AS event_id, coalesce(cc.label, bd.label, -1) AS cluster FROM p LEFT JOIN cc ON cc.id = p.id LEFT JOIN bd ON bd.id = p.id"""
 
 
+_AXES, _EPS = 6, 0.135
+
+
+def _dbscan_axes(s, d):
+    rows = table(s, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(_AXES)])
+    return dbscan.dbscan(rows, "vec_id", [f"x{i}" for i in range(_AXES)], eps=_EPS, min_samples=3)
+
+
+QUERIES["dbscan_six_axes"] = _dbscan_axes
+SQL["dbscan_six_axes"] = f"""WITH RECURSIVE p AS (SELECT vec_id AS id, {", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(_AXES))} FROM embeddings),
+e AS MATERIALIZED (SELECT q.id AS a, g.id AS b FROM p q, p g WHERE sqrt({" + ".join(f"(q.x{i} - g.x{i}) ** 2" for i in range(_AXES))}) <= {_EPS}),
+core AS MATERIALIZED (SELECT a AS id FROM e GROUP BY a HAVING count(*) >= 3),
+ce AS MATERIALIZED (SELECT a, b FROM e WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+cc(id, label) USING KEY (id) AS (
+  SELECT id, id AS label FROM core
+  UNION
+  SELECT n.id, n.label FROM (SELECT ce.b AS id, min(cc.label) AS label FROM cc JOIN ce ON ce.a = cc.id GROUP BY ce.b) n
+  JOIN recurring.cc old ON old.id = n.id WHERE n.label < old.label),
+bd AS (SELECT e.a AS id, min(cc.label) AS label FROM e JOIN cc ON cc.id = e.b WHERE e.a NOT IN (SELECT id FROM core) GROUP BY e.a)
+SELECT p.id AS vec_id, coalesce(cc.label, bd.label, -1) AS cluster FROM p LEFT JOIN cc ON cc.id = p.id LEFT JOIN bd ON bd.id = p.id"""
+
+
 _BOOST = boosting.BoostParams(bins=16, depth=2, learning_rate=0.3, l2=1.0, min_rows=50, gamma=2.0, alpha=0.25)
 _FEATURES = ["n_cnt", "n_val", "c_hour"]
 

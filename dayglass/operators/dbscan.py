@@ -13,7 +13,7 @@ import math
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayglass.operators.joins import largest_keys, lookup_join
@@ -21,7 +21,9 @@ from dayglass.session import cut_lineage
 
 PAIRS = 4096  # point pairs that two boxes may have before they are halved
 BLOCK = 4096  # points of a cell that one join key may hold
-GRID_AXES = 3  # axes used to look for neighbouring cells
+GRID_AXES = 3  # with more axes neighbouring cells are found by a cover of balls, not by a grid
+HOMES = 64  # cells that a ball of the cover may hold
+PIVOTS = 16  # balls that a ball is split into
 
 
 def _length(gaps: list[Column], metric: str) -> Column:
@@ -69,15 +71,69 @@ class _Grid:
 
 def _neighbour_cells(cells: DataFrame, grid: _Grid) -> DataFrame:
     """(a, b): pairs of different cells whose boxes are within reach, in both directions."""
+    near = _cover_pairs(cells, grid) if len(grid.axes) > GRID_AXES else _grid_pairs(cells, grid)
+    near = near.where(F.col("a") != F.col("b"))
+    return near.where(grid.gap(("alo", "ahi"), ("blo", "bhi")) <= grid.eps).select("a", "b")
+
+
+def _grid_pairs(cells: DataFrame, grid: _Grid) -> DataFrame:
     ratio = grid.eps / grid.side + 1
-    used = list(grid.axes)[:GRID_AXES]
-    coarse = [F.floor(F.col(f"c{i}") / ratio).cast("long").alias(f"g{i}") for i in used]
+    coarse = [F.floor(F.col(f"c{i}") / ratio).cast("long").alias(f"g{i}") for i in grid.axes]
     right = cells.select(F.col("cell").alias("b"), *grid.corners("b"), *coarse)
-    offsets = F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in zip(used, o)]) for o in product((-1, 0, 1), repeat=len(used))])
+    offsets = F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in zip(grid.axes, o)]) for o in product((-1, 0, 1), repeat=len(grid.axes))])
     left = cells.select(F.col("cell").alias("a"), *grid.corners("a"), *coarse, F.explode(offsets).alias("o"))
-    left = left.withColumns({f"g{i}": F.col(f"g{i}") + F.col(f"o.o{i}") for i in used}).drop("o")
-    near = left.join(right, [f"g{i}" for i in used]).where(F.col("a") != F.col("b"))
-    return near.where(grid.gap(("alo", "ahi"), ("blo", "bhi")) <= grid.eps).select("a", "b")
+    left = left.withColumns({f"g{i}": F.col(f"g{i}") + F.col(f"o.o{i}") for i in grid.axes}).drop("o")
+    return left.join(right, [f"g{i}" for i in grid.axes])
+
+
+def _cover_pairs(cells: DataFrame, grid: _Grid) -> DataFrame:
+    """Pairs of cells that share a ball of a cover, with the corners of both; each ordered pair at most once.
+
+    A ball is a pivot cell, the cells that are nearer to it than to the other pivots of the ball it was split from (its
+    home cells), and as guests all cells not further from the pivot than the furthest home cell plus the reach (of centres). So every
+    cell within reach of a home cell is a guest. Balls with many home cells are split again; a ball has at most HOMES
+    home cells, or few pairs, in the end. Splitting ends since a pivot leaves its ball with what is nearest to it.
+    """
+    half = _length([(F.col(f"hi{i}") - F.col(f"lo{i}")) / 2 for i in grid.axes], grid.metric)
+    widest = cells.agg(F.max(half)).first()[0] or 0.0
+    reach = (grid.eps + 2 * widest) * (1 + 1e-9)
+    boxes = [f"{c}{i}" for c in ("lo", "hi") for i in grid.axes]
+    centre = F.array(*[(F.col(f"lo{i}") + F.col(f"hi{i}")) / 2 for i in grid.axes])
+    home = guest = cut_lineage(cells.select(F.lit("0").alias("ball"), "cell", centre.alias("m"), *boxes))
+    pairs: list[DataFrame] = []
+
+    def distance(p: Column) -> Column:
+        return _length([F.abs(F.col("m")[i] - p["m"][i]) for i in grid.axes], grid.metric)
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select("ball", F.col("cell").alias(s), *grid.corners(s))
+
+    level = 0
+    while True:
+        level += 1
+        count = F.count("*")
+        sizes = home.groupBy("ball").agg(count.alias("homes")).join(guest.groupBy("ball").agg(count.alias("guests")), "ball")
+        sizes = cut_lineage(sizes.select("ball", ((F.col("homes") > HOMES) & (F.col("homes") * F.col("guests") > PAIRS)).alias("split")))
+        kept, split = sizes.where(~F.col("split")).select("ball"), sizes.where("split").select("ball")
+        whole = [rows.join(kept, "ball", "left_semi") for rows in (home, guest)]
+        pairs.append(side(whole[0], "a").join(side(whole[1], "b"), "ball"))
+        if split.isEmpty():
+            return reduce(DataFrame.unionByName, pairs)
+        home, guest = (rows.join(split, "ball", "left_semi") for rows in (home, guest))
+        # Spark limits the rows of a ball before it shuffles them.
+        turn = F.row_number().over(Window.partitionBy("ball").orderBy(F.xxhash64("cell", F.lit(level)), "cell"))
+        drawn = home.select("ball", "cell", "m", turn.alias("turn")).where(F.col("turn") <= PIVOTS)
+        pivots = cut_lineage(drawn.groupBy("ball").agg(F.sort_array(F.collect_list(F.struct("turn", "m"))).alias("pivots")))
+        nearest = F.array_min(F.transform("pivots", lambda p: F.struct(distance(p).alias("d"), p["turn"].alias("turn"))))
+        home = home.join(pivots, "ball").withColumn("at", nearest).drop("pivots")
+        home = cut_lineage(home.select(F.concat_ws("/", "ball", F.col("at.turn").cast("string")).alias("inner"), "ball", "cell", "m", *boxes, F.col("at.d").alias("d"), F.col("at.turn").alias("turn")))
+        radii = home.groupBy("ball", "turn").agg(F.max("d").alias("radius"))
+        with_radii = drawn.drop("cell").join(radii, ["ball", "turn"])
+        balls = cut_lineage(with_radii.groupBy("ball").agg(F.collect_list(F.struct("turn", "m", "radius")).alias("pivots")))
+        inside = F.filter("pivots", lambda p: distance(p) <= p["radius"] + reach)
+        guests = guest.join(balls, "ball").withColumn("turn", F.explode(F.transform(inside, lambda p: p["turn"])))
+        guest = cut_lineage(guests.select(F.concat_ws("/", "ball", F.col("turn").cast("string")).alias("ball"), "cell", "m", *boxes))
+        home = home.select(F.col("inner").alias("ball"), "cell", "m", *boxes)
 
 
 def _blocks(n: str) -> Column:

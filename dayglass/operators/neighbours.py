@@ -1,22 +1,28 @@
 """Exact k nearest neighbours without comparing every query with every training row.
 
-Training rows are put into pieces: nearest of a bounded number of pivots, then rings of the distance to it. The
-triangle inequality gives, per query, an upper limit for its k-th distance and a lower limit per piece; only
-pieces that can still hold a neighbour are visited. Pieces and their visitors are split into blocks of bounded
-size, each block pair is compared with numpy and gives back only its k best rows per query.
+Training rows go to the nearest of about as many pivots as the root of their number; pivots belong to coarse ones, as many
+as the root of theirs, so that nothing is compared with all pivots. A query first meets the rows of the pieces around it,
+which gives a real k-th distance; by the triangle inequality only pieces that can hold a nearer row are visited then.
+Pieces and their visitors are split into blocks of bounded size, each block pair is compared with numpy and gives back only
+its k best rows per query. Of equal rows only the k first can be neighbours, so many copies of a row cost nothing.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayglass.session import cut_lineage
 
 BLOCK = 4096
 DIGITS = 9
+#: Coarse pivots around a row's own one whose pivots are tried for it.
+AROUND = 4
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -43,85 +49,98 @@ def _vectors(df: DataFrame, row_id: str, features: list[str], metric: str, extra
     return df.select(F.col(row_id).cast("long").alias("id"), x.alias("x"), *extra)
 
 
-def nearest_rows(
-    train: DataFrame,
-    queries: DataFrame,
-    row_id: str,
-    features: list[str],
-    k: int,
-    metric: str = "euclidean",
-    label: str | None = None,
-    pivots: int = 64,
-    rings: int = 8,
-) -> DataFrame:
-    """(query, neighbour, distance, y, position): the k nearest training rows per query, ties by training id."""
+@dataclass
+class Pieces:
+    """Pivots, the coarse pivot of each, and the rows of each pivot's piece: number, least and greatest distance."""
+
+    pivots: np.ndarray
+    metric: str
+    coarse: np.ndarray
+    owner: np.ndarray
+    sizes: np.ndarray | None = None
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, pivots: np.ndarray, metric: str) -> "Pieces":
+        coarse = pivots[: math.isqrt(len(pivots) - 1) + 1]
+        return cls(pivots, metric, coarse, _distances(pivots, coarse, metric).argmin(axis=1))
+
+    def _groups(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """The pivots of each coarse pivot, and the coarse pivots in the order of their distance from each."""
+        own = [np.flatnonzero(self.owner == c) for c in range(len(self.coarse))]
+        return own, _distances(self.coarse, self.coarse, self.metric).argsort(axis=1, kind="stable")
+
+    def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A near pivot of each point (the nearest of those tried) and its distance."""
+        own, order = self._groups()
+        best, distance = np.zeros(len(points), np.int64), np.full(len(points), np.inf)
+        home = np.concatenate([_distances(points[i : i + 1024], self.coarse, self.metric).argmin(axis=1) for i in range(0, len(points), 1024)] or [best])
+        for c in np.unique(home):
+            rows = np.flatnonzero(home == c)
+            tried = np.concatenate([own[o] for o in order[c][:AROUND]])
+            for low in range(0, len(rows), 1024):
+                some = rows[low : low + 1024]
+                d = _distances(points[some], self.pivots[tried], self.metric)
+                at = d.argmin(axis=1)
+                best[some], distance[some] = tried[at], d[np.arange(len(some)), at]
+        return best, distance
+
+    def around(self, points: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each point the pieces of pivots near it, nearest first, until they hold ``k`` rows (or all rows)."""
+        own, order = self._groups()
+        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(points)
+        for low in range(0, len(points), 1024):
+            home = _distances(points[low : low + 1024], self.coarse, self.metric).argmin(axis=1)
+            for c in np.unique(home):
+                rows, reach, tried = np.flatnonzero(home == c), AROUND, np.zeros(0, np.int64)
+                while not len(tried) or (self.sizes[tried].sum() < k and reach < 2 * len(order)):
+                    tried = np.concatenate([own[o] for o in order[c][:reach]])
+                    reach *= 2
+                near = _distances(points[low + rows], self.pivots[tried], self.metric).argsort(axis=1, kind="stable")
+                held = self.sizes[tried][near].cumsum(axis=1)
+                for row, n, upto in zip(rows, near, held):
+                    taken = tried[n[: int((upto < k).sum()) + 1]]
+                    found[low + row] = taken[self.sizes[taken] > 0]
+        return found
+
+    def within(self, points: np.ndarray, limits: np.ndarray) -> list[np.ndarray]:
+        """For each point the pieces that may have a row within its limit."""
+        own, _ = self._groups()
+        parts: list[list[np.ndarray]] = [[] for _ in points]
+        limits = limits + 1e-6 * (1 + limits)
+        for c, members in enumerate(own):
+            members = members[self.sizes[members] > 0]
+            if not len(members):
+                continue
+            reach = (_distances(self.pivots[members], self.coarse[c : c + 1], self.metric)[:, 0] + self.high[members]).max()
+            close = np.flatnonzero(_distances(points, self.coarse[c : c + 1], self.metric)[:, 0] - reach <= limits)
+            for low in range(0, len(close), 1024):
+                rows = close[low : low + 1024]
+                d = _distances(points[rows], self.pivots[members], self.metric)
+                least = np.maximum(np.maximum(d - self.high[members], self.low[members] - d), 0.0)
+                for row, mask in zip(rows, least <= limits[rows, None]):
+                    if mask.any():
+                        parts[row].append(members[mask])
+        return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
+
+
+def _blocks(n: str) -> Column:
+    return F.ceil(F.col(n) / BLOCK).cast("int")
+
+
+def _compared(visits: DataFrame, pieced: DataFrame, stats: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query, neighbour, distance, y): per visit (id, x, piece) and block of rows the k nearest rows of the piece."""
     plain = "manhattan" if metric == "manhattan" else "euclidean"
-    y = F.lit(None).cast("double") if label is None else F.col(label).cast("double")
-    base = _vectors(train, row_id, features, metric, [y.alias("y")], 0)
-    asked = _vectors(queries, row_id, features, metric, [], 1)
-
-    # A bounded number of evenly hashed pivots.
-    chosen = base.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
-    if not chosen:
-        raise ValueError("no training rows")
-    centres = np.array([r["x"] for r in chosen], dtype=float)
-
-    @F.pandas_udf("pivot int, radius double")
-    def locate(x: pd.Series) -> pd.DataFrame:
-        d = _distances(_matrix(x), centres, plain)
-        nearest = d.argmin(axis=1)
-        return pd.DataFrame({"pivot": nearest.astype("int32"), "radius": d[np.arange(len(d)), nearest]})
-
-    placed = cut_lineage(base.withColumn("at", locate("x")).select("id", "x", "y", "at.*"))
-    reach = {r["pivot"]: r["reach"] for r in placed.groupBy("pivot").agg(F.max("radius").alias("reach")).collect()}
-    widths = F.create_map(*[F.lit(v) for p, r in reach.items() for v in (p, r or 1.0)])
-    ring = F.least(F.lit(rings - 1), F.floor(F.col("radius") / widths[F.col("pivot")] * rings)).cast("int")
-    pieced = placed.withColumn("piece", F.col("pivot") * rings + ring)
-    # At most pivots * rings rows.
-    stats = (
-        pieced.groupBy("piece")
-        .agg(F.count("*").alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high"))
-        .orderBy("piece")
-        .collect()
-    )
-    names = np.array([r["piece"] for r in stats], dtype=np.int32)
-    sizes = np.array([r["n"] for r in stats])
-    low, high = np.array([r["low"] for r in stats]), np.array([r["high"] for r in stats])
-    owner = names // rings
-
-    @F.pandas_udf("array<int>")
-    def candidates(x: pd.Series) -> pd.Series:
-        found = []
-        points = _matrix(x)
-        for start in range(0, len(points), 1024):
-            d = _distances(points[start : start + 1024], centres, plain)[:, owner]
-            furthest = d + high
-            order = furthest.argsort(axis=1)
-            enough = np.minimum((sizes[order].cumsum(axis=1) < k).sum(axis=1), len(names) - 1)
-            rows = np.arange(len(d))
-            limit = furthest[rows, order[rows, enough]]
-            closest = np.maximum(np.maximum(d - high, low - d), 0.0)
-            near = closest <= (limit + 1e-6 * (1 + limit))[:, None]
-            found += [names[mask] for mask in near]
-        return pd.Series(found)
-
-    visits = cut_lineage(asked.withColumn("piece", F.explode(candidates("x"))))
-    visitors = visits.groupBy("piece").count().collect()
-
-    def blocks(counts: dict[int, int]):
-        table = F.create_map(*[F.lit(v) for p, n in counts.items() for v in (p, -(-n // BLOCK))])
-        return table[F.col("piece")]
-
-    row_blocks, visit_blocks = blocks({int(r["piece"]): r["n"] for r in stats}), blocks({r["piece"]: r["count"] for r in visitors})
+    visitors = visits.groupBy("piece").agg(F.count("*").alias("visitors"))
+    # One row per pivot, about the root of the number of training rows.
+    both = F.broadcast(cut_lineage(stats.select("piece", "n").join(visitors, "piece")))
     own = F.xxhash64("id")
-    left = visits.withColumn("vb", F.pmod(own, visit_blocks).cast("int")).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), (row_blocks - 1).cast("int")))
+    left = visits.join(both, "piece").withColumns(
+        {"vb": F.pmod(own, _blocks("visitors")).cast("int"), "rb": F.explode(F.sequence(F.lit(0), _blocks("n") - 1))}
     )
-    right = (
-        pieced.where(visit_blocks.isNotNull())
-        .withColumn("rb", F.pmod(own, row_blocks).cast("int"))
-        .withColumn("vb", F.explode(F.sequence(F.lit(0), (visit_blocks - 1).cast("int"))))
-        .select("id", "x", "y", "piece", "rb", "vb")
+    right = pieced.join(both, "piece").withColumns(
+        {"rb": F.pmod(own, _blocks("n")).cast("int"), "vb": F.explode(F.sequence(F.lit(0), _blocks("visitors") - 1))}
     )
 
     def compare(asked_rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -141,11 +160,75 @@ def nearest_rows(
         return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in columns.items()})
 
     key = ["piece", "rb", "vb"]
-    local = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
-        compare, "query long, neighbour long, distance double, y double"
-    )
+    sides = (left.select("id", "x", *key).groupBy(*key), right.select("id", "x", "y", *key).groupBy(*key))
+    return sides[0].cogroup(sides[1]).applyInPandas(compare, "query long, neighbour long, distance double, y double")
+
+
+def nearest_rows(
+    train: DataFrame,
+    queries: DataFrame,
+    row_id: str,
+    features: list[str],
+    k: int,
+    metric: str = "euclidean",
+    label: str | None = None,
+    pivots: int | None = None,
+) -> DataFrame:
+    """(query, neighbour, distance, y, position): the k nearest training rows per query, ties by training id.
+
+    A row with a missing coordinate is near to nothing and has no neighbours. ``pivots`` is the root of the number of
+    training rows unless given.
+    """
+    plain = "manhattan" if metric == "manhattan" else "euclidean"
+    y = F.lit(None).cast("double") if label is None else F.col(label).cast("double")
+    placed = ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
+    base = _vectors(train, row_id, features, metric, [y.alias("y")], 0).where(placed)
+    asked = cut_lineage(_vectors(queries, row_id, features, metric, [], 1).where(placed))
+    # Spark limits the rows of a group before it shuffles them.
+    first = F.row_number().over(Window.partitionBy("x").orderBy("id"))
+    base = cut_lineage(base.withColumn("copy", first).where(F.col("copy") <= k).drop("copy"))
+    n = base.count()
+    if not n:
+        raise ValueError("no training rows")
+    wanted = max(1, min(n, pivots or math.isqrt(n - 1) + 1))
+    # Evenly hashed pivots; the bound on the hash keeps all but about twice as many rows from being sorted.
+    scale = 1 << 30
+    bound = min(scale, math.ceil(scale * (2.0 * wanted + 100) / n))
+    drawn = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(scale))
+    chosen = base.where(drawn < bound).orderBy(drawn, "id").limit(wanted).select("x").collect()
+    pieces = Pieces.of(np.array([r["x"] for r in chosen], dtype=float), plain)
+
+    @F.pandas_udf("piece int, radius double")
+    def locate(x: pd.Series) -> pd.DataFrame:
+        nearest, radius = pieces.nearest(_matrix(x))
+        return pd.DataFrame({"piece": nearest.astype("int32"), "radius": radius})
+
+    pieced = cut_lineage(base.withColumn("at", locate("x")).select("id", "x", "y", "at.*"))
+    stats = cut_lineage(pieced.groupBy("piece").agg(F.count("*").alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")))
+    pieces.sizes, pieces.low, pieces.high = (np.zeros(len(chosen), kind) for kind in (np.int64, float, float))
+    for r in stats.collect():
+        pieces.sizes[r["piece"]], pieces.low[r["piece"]], pieces.high[r["piece"]] = r["n"], r["low"], r["high"]
+
+    @F.pandas_udf("array<int>")
+    def own(x: pd.Series) -> pd.Series:
+        return pd.Series(pieces.around(_matrix(x), k))
+
+    at_home = cut_lineage(asked.withColumn("home", own("x")))
+    first_found = cut_lineage(_compared(at_home.select("id", "x", F.explode("home").alias("piece")), pieced, stats, k, metric))
+
+    @F.pandas_udf("array<int>")
+    def others(x: pd.Series, limit: pd.Series) -> pd.Series:
+        return pd.Series(pieces.within(_matrix(x), limit.to_numpy(dtype=float)))
+
     order = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return local.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    best = cut_lineage(first_found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k))
+    # A rounded distance may be short of the real one by half a unit of its last digit; cosine is half the square.
+    kth = F.col("distance") + 10.0**-DIGITS
+    limits = best.where(F.col("position") == k).select(F.col("query").alias("id"), (F.sqrt(2 * kth) if metric == "cosine" else kth).alias("limit"))
+    rest = at_home.join(limits, "id").withColumn("piece", F.explode(F.array_except(others("x", "limit"), F.col("home"))))
+    more = _compared(cut_lineage(rest.select("id", "x", "piece")), pieced, stats, k, metric)
+    both = best.drop("position").unionByName(more)
+    return both.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
 def knn_regress(

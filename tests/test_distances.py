@@ -77,11 +77,13 @@ def _brute_dbscan(x, eps, m, metric):
 
 @pytest.mark.parametrize(
     "metric, axes, eps, m, pairs",
-    [("euclidean", 2, 0.31, 4, 4096), ("euclidean", 2, 0.9, 6, 4), ("manhattan", 2, 0.43, 5, 9), ("euclidean", 3, 0.57, 5, 4), ("euclidean", 5, 1.37, 4, 16)],
+    [("euclidean", 2, 0.31, 4, 4096), ("euclidean", 2, 0.9, 6, 4), ("manhattan", 2, 0.43, 5, 9), ("euclidean", 3, 0.57, 5, 4), ("euclidean", 5, 1.37, 4, 16), ("manhattan", 6, 2.5, 4, 64)],
 )
 def test_dbscan_against_brute_force(spark, monkeypatch, metric, axes, eps, m, pairs):
     monkeypatch.setattr(dbscan, "PAIRS", pairs)
     monkeypatch.setattr(dbscan, "BLOCK", 5)
+    monkeypatch.setattr(dbscan, "HOMES", 6)
+    monkeypatch.setattr(dbscan, "PIVOTS", 3)
     x = _cloud(160, axes, 5)
     x[80:100] = x[80] + np.round(np.random.default_rng(0).normal(size=(20, axes)) * 0.05, 3)
     order = np.random.default_rng(9).permutation(len(x))
@@ -91,6 +93,49 @@ def test_dbscan_against_brute_force(spark, monkeypatch, metric, axes, eps, m, pa
     assert got.cluster.tolist() == _brute_dbscan(x, eps, m, metric).tolist()
 
 
+def test_cover_has_all_pairs_within_reach_and_few_others(spark):
+    def compared(n):
+        rng = np.random.default_rng(3)
+        x = rng.random((n // 20, 6)).repeat(20, axis=0) * 9 + rng.normal(size=(n // 20 * 20, 6)) * 0.05
+        grid = dbscan._Grid(6, 0.2, "euclidean")
+        rows = [(f"c{i}", *map(float, p), *map(float, p)) for i, p in enumerate(x)]
+        cells = spark.createDataFrame(rows, "cell string, " + ", ".join(f"{c}{i} double" for c in ("lo", "hi") for i in range(6)))
+        pairs = dbscan._cover_pairs(cells, grid).select("a", "b")
+        near = {(f"c{a}", f"c{b}") for a, b in np.argwhere(_distances(x, x, "euclidean") <= 0.2)}
+        found = [tuple(r) for r in pairs.collect()]
+        assert near <= set(found) and len(found) == len(set(found))
+        return len(found) / n
+
+    few, many = compared(500), compared(2000)
+    assert many < 400 and many < 1.5 * few
+
+
+def test_visits_do_not_grow_with_the_rows():
+    def visits(n):
+        x = np.random.default_rng(n).random((n, 3))
+        pieces = neighbours.Pieces.of(x[: int(n**0.5)], "euclidean")
+        home, radius = pieces.nearest(x)
+        table = pd.DataFrame({"home": home, "radius": radius}).groupby("home").radius.agg(["count", "min", "max"]).reindex(range(len(pieces.pivots)))
+        pieces.sizes, pieces.low, pieces.high = table["count"].fillna(0).to_numpy(int), table["min"].to_numpy(), table["max"].to_numpy()
+        asked = np.random.default_rng(1).random((200, 3))
+        d = _distances(asked, x, "euclidean")
+        found = pieces.within(asked, np.sort(d, axis=1)[:, 4])
+        for i, got in enumerate(found):
+            assert set(home[d[i].argsort()[:5]]) <= set(got)
+        assert all(pieces.sizes[g].sum() >= 5 for g in pieces.around(asked, 5))
+        return np.mean([len(f) for f in found])
+
+    assert visits(40_000) < 1.3 * visits(4_000)
+
+
+def test_rows_with_missing_coordinates_have_no_neighbours(spark):
+    rows = [(i, float(i) if i % 3 else None, float("nan") if i % 5 == 0 else 1.0) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double")
+    got = neighbours.nearest_rows(df, df, "row_id", ["a", "b"], 2).toPandas()
+    sound = {i for i in range(1, 40) if i % 3 and i % 5}
+    assert set(got["query"]) == sound and set(got["neighbour"]) <= sound and len(got) == 2 * len(sound)
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     order = np.random.default_rng(2).permutation(n)
