@@ -45,6 +45,18 @@ def largest_keys(tables: dict[str, DataFrame], key: str, weight: str) -> dict[st
     return found
 
 
+def hot_lookup_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None, weight: str = "__n") -> DataFrame:
+    """:func:`lookup_join` with the largest keys taken from ``counts`` (key, weight), or counted in ``rows``.
+
+    Rows of a large key are told apart by all their columns.
+    """
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias(weight))
+    hot = [v for v in largest_keys({"rows": counts}, key, weight)["rows"] if v is not None]
+    spread = rows.withColumn("__spread", F.xxhash64(*rows.columns))
+    return lookup_join(spread, table, key, hot, "__spread").drop("__spread")
+
+
 def join_scores(tables: dict[str, DataFrame], row_id: str, score: str = "score") -> DataFrame:
     """One row per id present in every table, with each score named after its model."""
     renamed = [t.select(row_id, F.col(score).alias(name)) for name, t in tables.items()]
@@ -63,8 +75,9 @@ def concat_rows(tables: list[DataFrame]) -> DataFrame:
 
 def unseen_rows(rows: DataFrame, other: DataFrame, column: str, seen: bool = False) -> DataFrame:
     """Rows whose ``column`` value is absent from ``other`` (or present, with ``seen``)."""
-    values = other.select(column).where(F.col(column).isNotNull()).distinct()
-    return rows.join(values, column, "left_semi" if seen else "left_anti")
+    values = other.select(column).where(F.col(column).isNotNull()).distinct().withColumn("__seen", F.lit(True))
+    joined = hot_lookup_join(rows, values, column)
+    return joined.where(F.col("__seen").isNotNull() if seen else F.col("__seen").isNull()).select(*rows.columns)
 
 
 def common_values(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
@@ -82,7 +95,7 @@ def common_columns(left: DataFrame, right: DataFrame) -> list[str]:
 def lookup_map(rows: DataFrame, table: DataFrame, key: str, value: str, out: str, default: Column | None = None) -> DataFrame:
     """Map ``key`` through a small (key, value) table; a key without an entry gets ``default`` or NULL."""
     small = table.select(key, F.col(value).alias(out))
-    joined = rows.join(small, key, "left")
+    joined = hot_lookup_join(rows, small, key)
     return joined if default is None else joined.withColumn(out, F.coalesce(out, default))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayglass.functions import losses, scalar
+from dayglass.operators.joins import hot_lookup_join
 from dayglass.session import cut_lineage
 
 
@@ -127,9 +128,10 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def _scatter(df: DataFrame, cluster: str, features: str) -> DataFrame:
     """(cluster, size, centre, squares, spread): one row per cluster."""
-    centres = _centres(df, cluster, features)
+    centres = cut_lineage(_centres(df, cluster, features))
     sq = squared_distance(F.col(features), F.col("centre"))
-    inner = df.join(centres, cluster).groupBy(cluster).agg(F.sum(sq).alias("squares"), F.avg(F.sqrt(sq)).alias("spread"))
+    sizes = centres.select(cluster, "size")
+    inner = hot_lookup_join(df, centres, cluster, sizes, "size").where(F.col("centre").isNotNull()).groupBy(cluster).agg(F.sum(sq).alias("squares"), F.avg(F.sqrt(sq)).alias("spread"))
     return centres.join(inner, cluster)
 
 

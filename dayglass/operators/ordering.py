@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dayglass.session import chunk_count
 
@@ -44,19 +45,31 @@ def global_rank(
     out: str = "rank",
     descending: bool = False,
 ) -> DataFrame:
-    """1-based rank by (``order``, ``row_id``) inside each ``within`` group; NULLs rank last."""
+    """1-based rank by (``order``, ``row_id``) inside each ``within`` group; NULLs rank last.
+
+    Ranges come from ``order`` as a double, which can be the same for different large numbers of an exact type; the rows
+    of a range are ordered by the value itself.
+    """
     parts = chunk_count(df.sparkSession)
-    keyed = df.withColumn("__order", -F.col(order).cast("double") if descending else F.col(order).cast("double"))
+    sign = -1.0 if descending else 1.0
+    exact = isinstance(df.schema[order].dataType, (T.IntegralType, T.DecimalType))
+    keyed = df.withColumns({"__order": F.col(order).cast("double") * sign, "__own": F.col(order) if exact else F.col(order).cast("double") * sign})
     names = ["__order"] if order == row_id else ["__order", row_id]
     cuts = cut_points(keyed, names, parts)
     repeated = sorted({a for a, b in zip(cuts["__order"], cuts["__order"][1:]) if a == b})
     ranged = add_range(keyed, "__order", cuts["__order"], "__range")
-    hot = F.col("__order").isin(repeated) if repeated else F.lit(False)
     if order != row_id:
         ranged = add_range(ranged, row_id, cuts[row_id], "__id_range")
-        # A repeated limit is the smallest value of its range, so its rows come before the others. NULLs
-        # close the last range and are cut by row id as well.
-        step = F.when(F.col("__order").isNull(), 2).when(hot, 0).otherwise(1)
+        # A repeated limit is the smallest value of its range, so its rows come before the others, after those whose
+        # double is the same though they are before it. NULLs close the last range and are cut by row id as well.
+        kind = ranged.schema["__own"].dataType
+        hot, early = F.lit(False), F.lit(False)
+        for limit in repeated:
+            value = F.lit(limit * sign if exact else limit).cast(kind)
+            same = F.col("__order") == limit
+            hot = hot | (same & (F.col("__own") == value))
+            early = early | (same & ((F.col("__own") > value) if exact and descending else (F.col("__own") < value)))
+        step = F.when(F.col("__order").isNull(), 3).when(hot, 1).when(early, 0).otherwise(2)
         sub = F.when(F.col("__order").isNull() | hot, F.col("__id_range")).otherwise(0)
     else:
         step, sub = F.lit(0), F.lit(0)
@@ -69,12 +82,13 @@ def global_rank(
         Window.unboundedPreceding, -1
     )
     offsets = pieces.select(*piece, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(*piece).orderBy(F.col("__order").asc_nulls_last(), row_id)
+    own = F.col("__own").desc_nulls_last() if exact and descending else F.col("__own").asc_nulls_last()
+    inside = Window.partitionBy(*piece).orderBy(own, row_id)
     return (
         ranged.withColumn("__local", F.row_number().over(inside))
         .join(offsets, piece)
         .withColumn(out, (F.col("__local") + F.col("__before")).cast("long"))
-        .drop("__order", "__range", "__step", "__sub", "__local", "__before")
+        .drop("__order", "__own", "__range", "__step", "__sub", "__local", "__before")
     )
 
 

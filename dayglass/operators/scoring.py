@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayglass.functions import scalar
-from dayglass.operators.joins import rank_pairs
+from dayglass.operators.joins import hot_lookup_join, rank_pairs
 
 RERANK_CLICKED = 0.33
 
@@ -45,7 +45,7 @@ def cluster_rate_predict(
     )
     clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__p")))
     return (
-        rows.join(table, cluster, "left")
+        hot_lookup_join(rows, table, cluster, rates.select(cluster, "rows"), "rows")
         .withColumn("prediction", F.when(F.col("__p").isNull(), F.lit(constant)).otherwise(clipped))
         .drop("__p")
     )

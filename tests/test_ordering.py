@@ -108,3 +108,23 @@ def test_pareto_front_against_pairs(spark):
         t for t, a, b in rows if not any(x <= a and y >= b and (x < a or y > b) for _, x, y in rows)
     }
     assert got == expected
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("kind", ["bigint", "decimal(20,0)"])
+def test_large_numbers_keep_their_order(spark, kind, descending):
+    base = 2**53
+    values = [base + k for k in (0, 1, 2, 3, 5, 4, 7)] + [base + 1] * 300 + [None, 5, -base - 1, -base - 2, -base - 3]
+    rows = spark.createDataFrame([(base + 2 * i + i % 2, v) for i, v in enumerate(values)], "row_id bigint, v bigint")
+    got = ordering.global_rank(rows.withColumn("v", F.col("v").cast(kind)).repartition(7), "v", "row_id", descending=descending)
+    ranks = {r["row_id"]: r["rank"] for r in got.collect()}
+    sign = -1 if descending else 1
+    order = sorted(((v is None, sign * (v or 0), base + 2 * i + i % 2) for i, v in enumerate(values)))
+    assert ranks == {name: k for k, (_, _, name) in enumerate(order, 1)}
+
+
+def test_large_row_ids_are_numbered_in_order(spark):
+    ids = [2**53 + k for k in (0, 1, 2, 3, 5, 6, 7, 9)] + [2**60 + k for k in range(50)]
+    rows = spark.createDataFrame([(i, 50, 0.5) for i in ids], "row_id bigint, day int, x double").repartition(5)
+    got = {r["row_id"]: r["position"] for r in series_per_day(rows, "day", "row_id", "x").collect()}
+    assert got == {i: k for k, i in enumerate(sorted(ids), 1)}
