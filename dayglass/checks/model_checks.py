@@ -40,6 +40,50 @@ def _kmeans_sql() -> str:
 
 SQL["kmeans_weighted"] = _kmeans_sql()
 
+_SEED_ROUNDS, _OVER = 2, 8
+
+
+def _seeding(s, d):
+    rows = table(s, d, "embeddings").withColumn("positive", F.col("label") == 3)
+    found = centres.seed_centres(rows, "vec_id", "embedding", _K, "positive", 5.0, rounds=_SEED_ROUNDS, oversampling=_OVER)
+    return s.createDataFrame([(i, j, x) for i, c in enumerate(found) for j, x in enumerate(c)], "centre int, axis int, x double")
+
+
+QUERIES["kmeans_seeding"] = _seeding
+
+
+def _seeding_sql() -> str:
+    def draw(seed):
+        return f"((CAST('0x' || substr(md5(CAST(id AS VARCHAR) || '|{seed}'), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE)"
+
+    nearest = "(SELECT min(list_distance(r.x, c.x) ** 2) FROM {c} c)"
+    parts = [
+        "r AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, CASE WHEN label = 3 THEN 5.0::DOUBLE ELSE 1.0 END AS w FROM embeddings)",
+        f"s0 AS (SELECT id, x FROM r ORDER BY {draw(1)}, id LIMIT 1)",
+    ]
+    for i in range(1, _SEED_ROUNDS + 1):
+        parts += [
+            f"e{i} AS (SELECT r.id, r.x, w * min(list_distance(r.x, c.x) ** 2) AS cost FROM r, s{i - 1} c GROUP BY r.id, r.x, w)",
+            f"s{i} AS (SELECT id, x FROM s{i - 1} UNION SELECT id, x FROM e{i} WHERE {draw(1 + i)} * (SELECT sum(cost) FROM e{i}) < {_OVER} * cost)",
+        ]
+    parts += [
+        f"""near AS (SELECT r.id, w, c.id AS at FROM r, s{_SEED_ROUNDS} c
+  QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY list_distance(r.x, c.x), c.id) = 1)""",
+        f"c AS (SELECT s.id, s.x, sum(w) AS w FROM s{_SEED_ROUNDS} s JOIN near ON near.at = s.id GROUP BY s.id, s.x)",
+        f"k0 AS (SELECT id, x, 0 AS n FROM c ORDER BY -ln({draw(_SEED_ROUNDS + 2)}) / w LIMIT 1)",
+    ]
+    for turn in range(1, _K):
+        parts.append(
+            f"""k{turn} AS (SELECT * FROM k{turn - 1} UNION ALL (SELECT id, x, {turn} AS n FROM (
+  SELECT c.id, c.x, w * min(list_distance(c.x, k.x) ** 2) AS chance FROM c, k{turn - 1} k GROUP BY c.id, c.x, w)
+  WHERE chance > 0 ORDER BY -ln({draw(_SEED_ROUNDS + 2 + turn)}) / chance LIMIT 1))"""
+        )
+    last = f"k{_K - 1}"
+    return "WITH " + ",\n".join(parts) + f" SELECT n AS centre, CAST(i - 1 AS INTEGER) AS axis, x[i] AS x FROM {last}, unnest(range(1, len(x) + 1)) AS u(i)"
+
+
+SQL["kmeans_seeding"] = _seeding_sql()
+
 _CATS, _NUMS = ["c_segment", "c_priority", "c_nation"], ["n_total", "n_bal"]
 
 

@@ -6,6 +6,7 @@ the tasks as literals. Rows are assigned in place and only per-centre sums and c
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dayglass.functions import scalar
 from dayglass.operators.encoders import _is_text, _sort_key, to_long
 
 
@@ -45,6 +47,65 @@ def assign_kmeans(df: DataFrame, features: str, centres: list[list[float]]) -> D
     return df.withColumn("__found", found).select(*df.columns, "__found.cluster", "__found.distance")
 
 
+def _draw(row_id: Column, seed: int) -> Column:
+    """A number between 0 and 1 from a hash of the id, which other engines can take too."""
+    return (F.conv(F.substring(scalar.sample_key(row_id, seed), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
+def seed_centres(
+    df: DataFrame,
+    row_id: str,
+    features: str,
+    k: int,
+    label: str | None = None,
+    positive_weight: float = 1.0,
+    rounds: int = 5,
+    oversampling: float | None = None,
+    seed: int = 1,
+) -> list[list[float]]:
+    """First centres far from each other: oversampling rounds over all rows, then one draw among the few rows found.
+
+    The row with the smallest hash comes first. In each round a row joins the candidates with probability
+    ``oversampling`` (2 k unless given) times its share of the weighted squared distances to the candidates so far; so
+    about ``rounds * oversampling`` candidates are found in as many passes, however many rows there are. Each candidate
+    then weighs as much as the rows nearest to it, and k of them are drawn one by one, in proportion to that weight and
+    the squared distance to those drawn before. Draws are hashes of ids, so the result does not depend on partitions.
+    Rows that share an id, and candidates at the same place, are drawn once. Fewer different rows than k give as many centres.
+    """
+    wanted = 2.0 * k if oversampling is None else oversampling
+    weight = F.lit(1.0) if label is None else F.when(F.col(label).cast("int") == 1, float(positive_weight)).otherwise(1.0)
+    rows = df.select(F.col(row_id).alias("id"), F.transform(features, lambda v: v.cast("double")).alias("x"), weight.alias("w"))
+    first = rows.orderBy(_draw(F.col("id"), seed), "id").limit(1).collect()
+    if not first:
+        return []
+    found = {first[0]["id"]: list(first[0]["x"])}
+    for i in range(1, rounds + 1):
+        near = rows.withColumn("d", _nearest(np.array(list(found.values())))("x")["distance"]).withColumn("cost", F.col("w") * F.col("d") * F.col("d"))
+        total = near.agg(F.sum("cost")).first()[0]
+        if not total:
+            break
+        drawn = near.where(_draw(F.col("id"), seed + i) * total < wanted * F.col("cost")).select("id", "x").collect()
+        found.update({r["id"]: list(r["x"]) for r in drawn})
+    names = sorted(found)
+    points = np.array([found[n] for n in names])
+    near = rows.withColumn("at", _nearest(points)("x")["cluster"])
+    sizes = np.zeros(len(names))
+    for r in near.groupBy("at").agg(F.sum("w").alias("w")).collect():
+        sizes[r["at"]] = r["w"]
+    # Exponential races: the smallest -ln(u) / weight is a draw in proportion to the weights. ``u`` comes from the id and the turn.
+    least, chosen = np.full(len(names), np.inf), []
+    for turn in range(k):
+        chance = sizes * (1.0 if not chosen else least)
+        u = np.array([(int(hashlib.md5(f"{n}|{seed + rounds + 1 + turn}".encode()).hexdigest()[:8], 16) + 0.5) / (1 << 32) for n in names])
+        with np.errstate(divide="ignore"):
+            race = np.where(chance > 0, -np.log(u) / chance, np.inf)
+        if not np.isfinite(race).any():
+            break
+        chosen.append(int(race.argmin()))
+        least = np.minimum(least, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return points[chosen].tolist()
+
+
 def kmeans_step(df: DataFrame, features: str, centres: list[list[float]], weight: Column | None = None) -> list[list[float]]:
     """New centres: the weighted mean of each cluster's rows; an empty cluster keeps its centre."""
     assigned = assign_kmeans(df, features, centres)

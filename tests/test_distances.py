@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from dayglass.operators import centres, dbscan, neighbours
 
@@ -147,6 +148,23 @@ def test_components_of_a_long_chain(spark):
     assert set(left.label) == {order[:151].min()} and set(right.label) == {order[151:].min()}
 
 
+def test_seeding_finds_the_groups(spark):
+    rng = np.random.default_rng(12)
+    groups = rng.normal(size=(9, 4)) * 100
+    sizes = [700, *[20] * 8]  # a large group does not hide the others
+    x = np.concatenate([g + rng.normal(size=(n, 4)) for g, n in zip(groups, sizes)])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, v array<double>")
+    found = np.array(centres.seed_centres(df.repartition(9), "row_id", "v", 9))
+    assert found.shape == (9, 4)
+    # A draw may fall into the large group twice; the first rows would all lie in it.
+    assert len(set(_distances(found, groups, "euclidean").argmin(axis=1))) >= 8
+    again = centres.seed_centres(df.repartition(2), "row_id", "v", 9)
+    assert np.allclose(found, again)
+    assert centres.seed_centres(df.limit(0), "row_id", "v", 3) == []
+    same = df.where("row_id < 5").withColumn("v", F.array(F.lit(1.0)))
+    assert centres.seed_centres(same, "row_id", "v", 3) == [[1.0]]
+
+
 def test_kmeans_never_gets_worse_and_keeps_empty_centres(spark):
     x = _cloud(120, 2, 6)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, x array<double>")
