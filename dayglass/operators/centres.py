@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from dayglass.functions import scalar
 from dayglass.operators.encoders import _is_text, _sort_key, to_long
+from dayglass.session import cut_lineage
 
 
 def first_rows(df: DataFrame, row_id: str, k: int) -> list:
@@ -145,33 +146,43 @@ class MixedCentre:
     frequency: dict[str, float] = field(default_factory=dict)
 
 
-def _same(c: str, mode: str | None) -> Column:
-    return F.col(c).cast("string").eqNullSafe(F.lit(mode).cast("string"))
-
-
-def _cost(centre: MixedCentre, gamma: float, by_frequency: bool) -> Column:
-    total = F.lit(0.0)
-    for c, mode in centre.modes.items():
-        match = 1.0 - centre.frequency.get(c, 1.0) if by_frequency else 0.0
-        total = total + gamma * F.when(_same(c, mode), match).otherwise(1.0)
-    for c, mean in centre.means.items():
-        total = total + (F.col(c).cast("double") - mean) * (F.col(c).cast("double") - mean)
-    return total
-
-
 def assign_mixed(df: DataFrame, centres: list[MixedCentre], gamma: float = 1.0, by_frequency: bool = False) -> DataFrame:
-    costs = F.array(*[F.round(_cost(c, gamma, by_frequency), 9) for c in centres])
-    least = F.array_min("__costs")
-    return (
-        df.withColumn("__costs", costs)
-        .withColumn("cluster", (F.array_position("__costs", least) - 1).cast("int"))
-        .withColumn("cost", least)
-        .drop("__costs")
-    )
+    """Adds ``cluster`` and ``cost`` of the cheapest centre, ties to the first; NULL where a number is missing.
+
+    Within a batch the values of a column become the numbers of the centres' modes, so that rows are compared with all
+    centres by whole numbers, however many centres and columns there are.
+    """
+    cats, nums, k = list(centres[0].modes), list(centres[0].means), len(centres)
+    names = {c: pd.Index(sorted({m.modes[c] for m in centres if m.modes[c] is not None})) for c in cats}
+    modes = {c: np.array([-2 if m.modes[c] is None else names[c].get_loc(m.modes[c]) for m in centres]) for c in cats}
+    match = {c: gamma * np.array([1.0 - m.frequency.get(c, 1.0) if by_frequency else 0.0 for m in centres]) for c in cats}
+    means = {c: np.array([m.means[c] for m in centres], float) for c in nums}
+
+    @F.pandas_udf("cluster int, cost double")
+    def cheapest(rows: pd.DataFrame) -> pd.DataFrame:
+        cluster, cost = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+        step = max(1, (1 << 20) // k)
+        codes = {c: np.where(rows[c].isna(), -2, names[c].get_indexer(rows[c])) for c in cats}
+        values = {c: rows[c].to_numpy(float) for c in nums}
+        for low in range(0, len(rows), step):
+            part = slice(low, low + step)
+            total = np.zeros((len(cluster[part]), k))
+            for c in cats:
+                total += np.where(codes[c][part, None] == modes[c], match[c], gamma)
+            for c in nums:
+                total += (values[c][part, None] - means[c]) ** 2
+            total = np.round(total, 9)
+            cluster[part] = total.argmin(axis=1)
+            cost[part] = total[np.arange(len(total)), cluster[part]]
+        missing = np.isnan(cost)
+        return pd.DataFrame({"cluster": pd.Series(cluster, dtype="Int32").mask(missing), "cost": pd.Series(cost, dtype="Float64").mask(missing)})
+
+    columns = [F.col(c).cast("string").alias(c) for c in cats] + [F.col(c).cast("double").alias(c) for c in nums]
+    return df.withColumn("__found", cheapest(F.struct(*columns))).select(*df.columns, "__found.cluster", "__found.cost")
 
 
 def _mixed_step(df: DataFrame, centres: list[MixedCentre], cats: list[str], nums: list[str], gamma: float, by_frequency: bool) -> list[MixedCentre]:
-    assigned = assign_mixed(df, centres, gamma, by_frequency)
+    assigned = assign_mixed(df, centres, gamma, by_frequency).where(F.col("cluster").isNotNull())
     texts = [c for c in cats if _is_text(df, c)]
     counts = to_long(assigned, cats, ["cluster"]).groupBy("cluster", "column", "value").agg(F.count("*").alias("n"))
     order = F.struct((-F.col("n")).alias("a"), F.col("value").isNull().alias("b"), _sort_key(texts).alias("c"), F.col("value").alias("d"))
@@ -200,6 +211,7 @@ def kmodes(
 ) -> tuple[DataFrame, list[MixedCentre]]:
     """Mismatch counts to per-column modes. With ``by_frequency`` a match still costs one minus the share the
     mode has in its cluster (known from the second round on)."""
+    df = cut_lineage(df.select(row_id, *columns))
     centres = _first_mixed(df, row_id, columns, [], k)
     for _ in range(rounds):
         centres = _mixed_step(df, centres, columns, [], 1.0, by_frequency)
@@ -210,6 +222,7 @@ def kprototypes(
     df: DataFrame, row_id: str, cats: list[str], nums: list[str], k: int, rounds: int, gamma: float | None = None
 ) -> tuple[DataFrame, list[MixedCentre]]:
     """Squared distance on the numerics plus ``gamma`` per mismatch; half the mean deviation when not given."""
+    df = cut_lineage(df.select(row_id, *cats, *nums))
     if gamma is None:
         row = df.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in nums]).first()
         gamma = 0.5 * sum(row[c] for c in nums) / len(nums)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -92,11 +93,19 @@ def rescale_units(df: DataFrame, units: dict[str, float]) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, row_id: str, seed: int, n: int | None = None, fraction: float | None = None) -> DataFrame:
-    """A repeatable random choice: the ``n`` rows with the smallest hashes, or a fraction of the hash space."""
+    """A repeatable random choice: the ``n`` rows with the smallest hashes, or a fraction of the hash space.
+
+    Only rows whose hash is below a bound, about twice as many as are wanted, are sorted; should there be fewer than
+    ``n`` of them, all are.
+    """
     key = scalar.sample_key(F.col(row_id), seed)
-    if n is not None:
-        return df.withColumn("__key", key).orderBy("__key", row_id).limit(n).drop("__key")
     space = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
+    if n is not None:
+        bound = math.ceil(2**32 * (2 * n + 1000) / max(1, df.count()))
+        near = df.where(space < bound)
+        if bound >= 2**32 or near.count() < n:
+            near = df
+        return near.withColumn("__key", key).orderBy("__key", row_id).limit(n).drop("__key")
     return df.where(space < int(fraction * 2**32))
 
 

@@ -180,7 +180,7 @@ def test_kmeans_never_gets_worse_and_keeps_empty_centres(spark):
 def test_kmodes_handles_missing_values(spark):
     rows = [(0, "a", 1), (1, "b", None), (2, "a", 1), (3, "b", None), (4, None, 2), (5, "b", 2)]
     df = spark.createDataFrame(rows, "row_id long, c string, k int")
-    got = centres.kmodes(df, "row_id", ["c", "k"], 2, 3)[0].toPandas().set_index("row_id")
+    got = centres.kmodes(df, "row_id", ["c", "k"], 2, 3)[0].toPandas().set_index("row_id").sort_index()
     assert got.cluster.tolist()[:4] == [0, 1, 0, 1] and got.cost.tolist()[:4] == [0, 0, 0, 0]
 
 
@@ -200,3 +200,26 @@ def test_cluster_indices_over_several_blocks(spark, monkeypatch):
     assert got["clusters"] == 10
     assert abs(got["davies_bouldin"] - np.mean(worst)) < 1e-9
     assert abs(got["calinski_harabasz"] - (between / 9) / (within / 190)) < 1e-9
+
+
+def test_many_modes_on_many_columns(spark):
+    rng = np.random.default_rng(21)
+    kinds = rng.integers(0, 4, (100, 40))
+    rows = np.concatenate([kinds, kinds[rng.integers(0, 100, 400)]])
+    flip = rng.random(rows.shape) < 0.05
+    flip[:100] = False
+    rows = np.where(flip, 9, rows)
+    made = [(i, *[None if v == 3 else f"v{v}" for v in r]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(made, "row_id long, " + ", ".join(f"c{j} string" for j in range(40)))
+    got, found = centres.kmodes(df, "row_id", [f"c{j}" for j in range(40)], 100, 1)
+    table = got.toPandas().set_index("row_id").sort_index()
+    modes = np.array([[m.modes[f"c{j}"] or "" for j in range(40)] for m in found])
+    plain = np.array([["" if v == 3 else f"v{v}" for v in r] for r in rows])
+    costs = (plain[:, None, :] != modes[None]).sum(-1)
+    assert (table.cost.to_numpy() == costs.min(axis=1)).all() and (table.cluster.to_numpy() == costs.argmin(axis=1)).all()
+
+
+def test_rows_without_a_number_belong_to_no_prototype(spark):
+    df = spark.createDataFrame([(0, "a", 0.0), (1, "b", 5.0), (2, None, 5.0), (3, "a", None)], "row_id long, c string, x double")
+    got, _ = centres.kprototypes(df, "row_id", ["c"], ["x"], 2, 1, gamma=0.5)
+    assert {r["row_id"]: r["cluster"] for r in got.collect()} == {0: 0, 1: 1, 2: 1, 3: None}
