@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayglass.llm.frames import quoted
+from dayglass.llm.frames import give_back, quoted
 from dayglass.llm.textkit import blocks, distinct_per_text, mix, shingle_hashes, split_words, word_hashes
 from dayglass.operators.joins import HOT_KEYS, lookup_join
 from dayglass.session import cut_lineage
@@ -33,6 +33,8 @@ WIDTH, PERCENT = 5, 75
 GROUP, SMALL = 5.2, 64
 #: Share of the documents from which a feature is frequent, and most features that are held to be so.
 FREQUENT, MOST_FREQUENT = 0.002, 1 << 19
+#: Features that a task holds before it counts them.
+HELD = 1 << 22
 #: Vertices in one row of a run; longer runs take several rows. Runs of up to SHORT_RUN give all their pairs.
 RUN_ROW, SHORT_RUN = 4096, 16
 #: Of the long runs of a vertex, how many it names so that a pair is given out in one run only.
@@ -162,14 +164,31 @@ def _keyed(text: str) -> list:
 
 
 def _vertices(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, text_key, vertex, n, bits) per document; and per task one row without n that lists its frequent features."""
+    """(doc_id, text_key, vertex, n, bits) per document; and per task, and per HELD features of it, one row without n that lists its frequent features."""
     source = docs.select(F.col(quoted(doc_id)).alias("doc_id"), *_keyed(text))
     fields = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key bigint, vertex bigint, n bigint, bits binary, frequent array<bigint>, counts array<bigint>, seen bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         features: list[np.ndarray] = []
-        kind = None
+        kind, held = None, 0
+
+        def counted() -> pa.RecordBatch:
+            nonlocal held
+            every = np.concatenate(features)
+            every.sort()
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+            count = np.diff(np.append(first, len(every)))
+            often = count >= max(3, FREQUENT * len(met))
+            value = every[first[often]]
+            one = [pa.nulls(1, kind), *(pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (value.view(np.int64), count[often])]
+            made = pa.RecordBatch.from_arrays([*one, *lists, pa.array([len(met)], pa.int64())], names=_VERTEX_NAMES)
+            features.clear()
+            met.clear()
+            held = 0
+            return made
+
         for batch in batches:
             kind = batch.column(0).type
             for block in blocks(batch.column(2)):
@@ -179,6 +198,7 @@ def _vertices(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                     if len(values) and key not in met:
                         met.add(key)
                         features.append(values)
+                        held += len(values)
                 rows = block.high - block.low
                 none = pa.nulls(rows, pa.list_(pa.int64()))
                 columns = [
@@ -192,17 +212,11 @@ def _vertices(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                     pa.nulls(rows, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=_VERTEX_NAMES)
+                if held > HELD:
+                    yield counted()
         if features:
-            every = np.concatenate(features)
-            features.clear()
-            every.sort()
-            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-            count = np.diff(np.append(first, len(every)))
-            often = count >= max(3, FREQUENT * len(met))
-            value = every[first[often]]
-            one = [pa.nulls(1, kind), *(pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (value.view(np.int64), count[often])]
-            yield pa.RecordBatch.from_arrays([*one, *lists, pa.array([len(met)], pa.int64())], names=_VERTEX_NAMES)
+            yield counted()
+        give_back()
 
     return source.mapInArrow(run, fields)
 
@@ -217,7 +231,7 @@ def _frequent_features(stored: DataFrame) -> np.ndarray:
     each = lists.select(F.explode(F.arrays_zip("frequent", "counts")).alias("x"))
     sums = each.groupBy(F.col("x.frequent").alias("feature")).agg(F.sum("x.counts").alias("n"))
     often = sums.where(F.col("n") >= max(3, FREQUENT * seen / 2)).orderBy(F.col("n").desc(), "feature").limit(MOST_FREQUENT)
-    return np.sort(np.array([r[0] for r in often.select("feature").collect()], np.int64).view(np.uint64))
+    return np.sort(often.select("feature").toArrow()["feature"].to_numpy().view(np.uint64))
 
 
 def _runs(docs: DataFrame, text: str, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -360,6 +374,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, text: str, w
                 fresh = [i for i in range(len(keys)) if sets.sizes[i] and not (keys[i] in met or met.add(keys[i]))]
                 columns = [pa.array([keys[i] for i in fresh], pa.int64()), pa.array([sets.values[sets.first[i] : sets.first[i + 1]].tobytes() for i in fresh], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["vertex", "features"])
+        give_back()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayglass.llm.frames import with_text_columns
+from dayglass.llm.frames import give_back, with_text_columns
 from dayglass.llm.samples import labelled_sample
 from dayglass.llm.textkit import Block, Rolling, blocks, split_words
 
@@ -132,5 +132,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None,
     The log-odds are then moved from the shares of the sample to those of all labels.
     """
     texts, good, shift = labelled_sample(docs, labels, label, F.lit(True) if learn is None else learn, per_class, doc_id, text)
+    give_back()
     model = fit(texts, good)
+    give_back()
     return model._replace(bias=model.bias + np.array([0, shift]))

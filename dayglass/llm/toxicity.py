@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayglass.llm.frames import with_text_columns
+from dayglass.llm.frames import give_back, with_text_columns
 from dayglass.llm.samples import labelled_sample
 from dayglass.llm.textkit import ALPHANUMERIC, Rolling, Words, blocks, mix, split_words
 
@@ -334,5 +334,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     The log-odds are then moved from the shares of the sample to those of all labels. Without toxic examples every text gets a score near 0.
     """
     texts, toxic, shift = labelled_sample(docs, labels, label, F.lit(True) if learn is None else learn, per_class, doc_id, text)
+    give_back()
     model = fit(texts, toxic)
+    give_back()
     return model._replace(score=model.score + np.array([shift, 0, 0]))
