@@ -1,6 +1,7 @@
 """The corpus pipeline: cleaning stages over ``documents``, each on what the one before it kept.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``. Every stage takes
+NULL ids and texts, empty texts, repeated rows and an empty table, and works on whole texts.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from dayglass.session import cut_lineage
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score, learned from all ``labels`` of the documents at hand, is below one half."""
+    """Documents whose toxicity score, learned from all ``labels`` of the documents at hand, is below one half.
+
+    NULL and empty texts have no toxic word and stay; equal texts have equal scores, so repeated rows stay or go together.
+    """
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).where("score < 0.5").select(*docs.columns)
 
@@ -41,13 +45,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of an item of ``benchmark``."""
+    """Documents without a passage of an item of ``benchmark``. NULL and empty texts have none and stay; equal texts go together."""
     found = find_passages(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("hits") == 0).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced in their texts and n_chars counted anew."""
+    """All documents, with secrets replaced in their texts and n_chars counted anew. NULL texts stay NULL, empty ones empty."""
     scanned = scan_secrets(docs, fit_scanner(docs)).withColumn("text", F.col("redacted"))
     if "n_chars" in docs.columns:
         scanned = scanned.withColumn("n_chars", F.length("text").cast("long"))
@@ -55,7 +59,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and digests of the ids and of their decoded text."""
+    """doc_id, n_tokens, ids and digests of the ids and of their decoded text, a row per document; NULL counts as empty."""
     encoded = encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
     return encoded.select(
         "doc_id",
