@@ -28,7 +28,7 @@ SAMPLE = 64
 ROW_GROUP = 8 << 20
 #: Words that a Python worker keeps in its table, from task to task (a fuller table starts anew, which changes no
 #: result), and texts per step.
-TABLE_WORDS, STEP = 800_000, 64
+TABLE_WORDS, STEP = 1_600_000, 64
 
 
 class EliasFano:
@@ -96,10 +96,12 @@ class Segment:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
     def documents(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(start inside the segment, ids) of every document."""
-        ends = self.ends.values().tolist()
-        for a, b in zip([0, *ends], ends):
+        """(start inside the segment, ids) of every document, by the ends that :meth:`EliasFano.select` returns."""
+        a = 0
+        for i in range(len(self.doc_ids)):
+            b = self.ends.select(i)
             yield a, self.ids[a:b]
+            a = b
 
 
 class WordIds:
@@ -158,11 +160,11 @@ class WordIds:
             head, blank, rest = text.partition(" ")
             cut = blank and head and not head[-1].isspace() and not any(s in text for s in self.special)
             split.append((head, rest.split(" ")) if cut else (text, []))
-        new = set().union(*(words for _, words in split)) - self.table.keys()
+        new = set().union(*(words for _, words in split)).difference(self.table)
         loose = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
         if loose:
             split = [s if loose.isdisjoint(s[1]) else (t, []) for s, t in zip(split, texts)]
-            new = set().union(*(words for _, words in split)) - self.table.keys()
+            new = set().union(*(words for _, words in split)).difference(self.table)
         if new:
             self._learn(new)
         heads = self._encoded([head for head, _ in split])
@@ -201,17 +203,17 @@ def write_token_files(
     ranged = add_range(rows, "id", cuts, "piece")
     ranged = ranged.withColumn("piece", F.when(F.col("id").isNull(), len(cuts) + 1).otherwise(F.col("piece")))
     dealt = ranged.repartition("piece").sortWithinPartitions("piece", F.col("id").asc_nulls_last(), "text")
-    fields = "piece int, part int, doc_ids array<bigint>, n_ids bigint, id_bytes int, ids binary, low binary, high binary, samples binary"
+    fields = "piece int, part int, before bigint, doc_ids array<bigint>, n_ids bigint, id_bytes int, ids binary, low binary, high binary, samples binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path, end_id, kind)
-        piece, part, names, parts, size = None, 0, [], [], 0
+        piece, part, before, names, parts, size = None, 0, 0, [], [], 0
 
         def closed() -> pa.RecordBatch:
             ends = np.cumsum([len(p) // id_bytes for p in parts])
             coded = EliasFano.encode(ends, int(ends[-1]))
-            columns = [[piece], [part], [names], [int(ends[-1])], [id_bytes], [b"".join(parts)], [coded.low.tobytes()], [coded.high.tobytes()], [coded.samples.tobytes()]]
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int32()] + [pa.binary()] * 4
+            columns = [[piece], [part], [before], [names], [int(ends[-1])], [id_bytes], [b"".join(parts)], [coded.low.tobytes()], [coded.high.tobytes()], [coded.samples.tobytes()]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32()] + [pa.binary()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in fields.split(", ")])
 
         for batch in batches:
@@ -220,7 +222,8 @@ def write_token_files(
                 for p, name, ids in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), words.of(rows.column(2).to_pylist())):
                     if names and (p != piece or size >= SEGMENT_IDS or len(names) >= SEGMENT_DOCS):
                         yield closed()
-                        part, names, parts, size = (part + 1 if p == piece else 0), [], [], 0
+                        part, before = (part + 1, before + size) if p == piece else (0, 0)
+                        names, parts, size = [], [], 0
                     piece = p
                     names.append(name)
                     parts.append(ids)
@@ -234,15 +237,14 @@ def write_token_files(
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """The segments at ``path`` with ``start``, the number of ids in all segments before.
 
-    Sums run inside a piece and, over one total per piece, across pieces; only those totals meet in one task.
+    A segment knows the ids before it in its piece; those of earlier pieces come from one total per piece, and only
+    these totals (eight per shuffle partition of the writing session) meet in one task and are broadcast.
     """
     segments = spark.read.parquet(path)
-    sizes = segments.select("piece", "part", "n_ids")
-    inside = Window.partitionBy("piece").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    totals = sizes.groupBy("piece").agg(F.sum("n_ids").alias("n")).select("piece", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("before"))
-    starts = sizes.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(totals, "piece")
-    return segments.join(starts.select("piece", "part", (F.col("inside") + F.col("before")).alias("start")), ["piece", "part"])
+    totals = segments.groupBy("piece").agg(F.sum("n_ids").alias("n"))
+    earlier = totals.select("piece", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("earlier"))
+    return segments.join(F.broadcast(earlier), "piece").withColumn("start", F.col("before") + F.col("earlier")).drop("before", "earlier")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
