@@ -165,7 +165,6 @@ class Unit:
     node: int
     models: tuple[int, ...]
     parent: tuple[int, int] | None  # number and side of the parent's histogram
-    left_counted: bool = True
 
 
 class Grower:
@@ -302,7 +301,7 @@ class Grower:
             tree.left[at], tree.right[at] = tree.add(), tree.add()
             left_counted = 2 * node.rows_left <= node.rows
             counted = tree.left[at] if left_counted else tree.right[at]
-            units.append(Unit(self.made, k, counted, tuple(sorted(models)), node.place, left_counted))
+            units.append(Unit(self.made, k, counted, tuple(sorted(models)), node.place))
             self.known.update({(name, m): (self.made, left_counted) for m in models})
             self.made += 1
         self._pass({k: t for k, (t, _) in trees.items()}, units)
