@@ -469,20 +469,21 @@ def _block_pairs(rows: list[tuple], percent: int, nearest: bool) -> Iterator[lis
     yield found
 
 
-def _long_run_pairs(runs: DataFrame, label: DataFrame | None, info: DataFrame, percent: int) -> DataFrame:
+def _long_run_pairs(runs: DataFrame, label: DataFrame | None, info: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs (a, b, least) of runs of more than SHORT_RUN vertices between different components, see :func:`_block_pairs`.
 
-    A run is compared in blocks of two of its rows, each block in one task. Without ``label`` every vertex takes part in
-    its longest run only and is paired with its nearest there; with it, all pairs of all runs that hold several
-    components are looked at.
+    A run is compared in blocks of two of its rows, each block in one task. With ``nearest`` every vertex takes part in
+    its longest run only and is paired with its nearest of another component there; else all pairs of all runs that hold
+    several components are looked at. Without ``label`` every vertex is a component.
     """
-    nearest = label is None
     long = runs.where((F.col("chunk") > 0) | (F.size("vertices") > SHORT_RUN))
     members = long.select("run", "chunk", F.explode("vertices").alias("vertex"))
     if nearest:
         sizes = long.groupBy("run").agg(F.sum(F.size("vertices")).alias("size"))
         own = members.join(sizes, "run").groupBy("vertex").agg(F.max(F.struct("size", "run")).alias("own"))
-        members = members.join(own.select("vertex", F.col("own.run").alias("run")), ["run", "vertex"]).withColumn("component", F.col("vertex"))
+        members = members.join(own.select("vertex", F.col("own.run").alias("run")), ["run", "vertex"])
+    if label is None:
+        members = members.withColumn("component", F.col("vertex"))
     else:
         members = members.join(label, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     mixed = members.groupBy("run").agg(F.max("chunk").alias("last"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -541,8 +542,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     unless nothing else is there. Sets and shingles are told apart by 64-bit hashes.
 
     Order of work: copies fall together; signatures give runs of vertices; parity bits, which can only rule out, thin
-    their pairs; each vertex is compared by whole sets with the nearest of its pairs; then all pairs whose vertices are
-    still in different components are. No link between different components is left out.
+    their pairs; each vertex is compared by whole sets with the nearest of its pairs, then again and again with the nearest of
+    another component while that finds links, so that large groups of near copies fall together first; then all pairs whose
+    vertices are still in different components are. No link between different components is left out.
     """
     stored = cut_lineage(_vertices(docs, doc_id, text, width))
     info = stored.where("n IS NOT NULL").select("doc_id", "text_key", "vertex", "n", "bits")
@@ -550,11 +552,22 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     runs = cut_lineage(_runs(docs, text, width, percent, _frequent_features(stored)))
 
     short = cut_lineage(_near_enough(_short_run_pairs(runs), vertices, percent))
-    first = cut_lineage(_nearest(short).union(_long_run_pairs(runs, None, vertices, percent).select("a", "b")).distinct())
-    links = cut_lineage(_linked(first, docs, vertices, text, width, percent))
+    tried = cut_lineage(_nearest(short).union(_long_run_pairs(runs, None, vertices, percent, True).select("a", "b")).distinct())
+    links = cut_lineage(_linked(tried, docs, vertices, text, width, percent))
     label = components(links)
-    rest = _apart(short, label).union(_apart(_long_run_pairs(runs, label, vertices, percent), label))
-    rest = cut_lineage(rest.distinct().join(first, ["a", "b"], "left_anti"))
+    while True:
+        near = _apart(_long_run_pairs(runs, label, vertices, percent, True), label).distinct()
+        near = cut_lineage(near.join(tried, ["a", "b"], "left_anti"))
+        if near.isEmpty():
+            break
+        found = cut_lineage(_linked(near, docs, vertices, text, width, percent))
+        tried = cut_lineage(tried.union(near))
+        if found.isEmpty():
+            break
+        links = cut_lineage(links.union(found))
+        label = components(links)
+    rest = _apart(short, label).union(_apart(_long_run_pairs(runs, label, vertices, percent, False), label))
+    rest = cut_lineage(rest.distinct().join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         label = components(links.union(_linked(rest, docs, vertices, text, width, percent)))
 
