@@ -4,7 +4,8 @@ Training rows go to the nearest of about as many pivots as the root of their num
 as the root of theirs, so that nothing is compared with all pivots. A query first meets the rows of the pieces around it,
 which gives a real k-th distance; by the triangle inequality only pieces that can hold a nearer row are visited then.
 Pieces and their visitors are split into blocks of bounded size, each block pair is compared with numpy and gives back only
-its k best rows per query. Of equal rows only the k first can be neighbours, so many copies of a row cost nothing.
+its k best rows per query. Equal rows are one point: a point is asked for once, whatever the number of its queries, and
+compared once, whatever the number of its training rows, of which only the k first can be neighbours.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayglass.operators.joins import largest_keys, lookup_join
 from dayglass.session import cut_lineage
 
 BLOCK = 4096
@@ -49,6 +51,11 @@ def _vectors(df: DataFrame, row_id: str, features: list[str], metric: str, extra
     return df.select(F.col(row_id).cast("long").alias("id"), x.alias("x"), *extra)
 
 
+def _spot(x: str) -> Column:
+    """The coordinates as a text, which tells all doubles apart."""
+    return F.concat_ws("|", F.transform(x, lambda v: v.cast("string")))
+
+
 @dataclass
 class Pieces:
     """Pivots, the coarse pivot of each, and the rows of each pivot's piece: number, least and greatest distance."""
@@ -130,7 +137,7 @@ def _blocks(n: str) -> Column:
 
 
 def _compared(visits: DataFrame, pieced: DataFrame, stats: DataFrame, k: int, metric: str) -> DataFrame:
-    """(query, neighbour, distance, y): per visit (id, x, piece) and block of rows the k nearest rows of the piece."""
+    """(query, neighbour, distance): per visit (id, x, piece) and block of points the k nearest points of the piece, ties by id."""
     plain = "manhattan" if metric == "manhattan" else "euclidean"
     visitors = visits.groupBy("piece").agg(F.count("*").alias("visitors"))
     # One row per pivot, about the root of the number of training rows.
@@ -144,11 +151,11 @@ def _compared(visits: DataFrame, pieced: DataFrame, stats: DataFrame, k: int, me
     )
 
     def compare(asked_rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        columns = {"query": [], "neighbour": [], "distance": [], "y": []}
+        columns = {"query": [], "neighbour": [], "distance": []}
         if len(asked_rows) and len(known):
             known = known.sort_values("id")
             points, rows = _matrix(asked_rows["x"]), _matrix(known["x"])
-            ids, ys, take = known["id"].to_numpy(), known["y"].to_numpy(dtype=float), min(k, len(known))
+            ids, take = known["id"].to_numpy(), min(k, len(known))
             for start in range(0, len(points), 512):
                 d = _distances(points[start : start + 512], rows, plain)
                 d = np.round(d * d / 2 if metric == "cosine" else d, DIGITS)
@@ -156,37 +163,46 @@ def _compared(visits: DataFrame, pieced: DataFrame, stats: DataFrame, k: int, me
                 columns["query"].append(np.repeat(asked_rows["id"].to_numpy()[start : start + 512], take))
                 columns["neighbour"].append(ids[best].ravel())
                 columns["distance"].append(np.take_along_axis(d, best, axis=1).ravel())
-                columns["y"].append(ys[best].ravel())
         return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in columns.items()})
 
     key = ["piece", "rb", "vb"]
-    sides = (left.select("id", "x", *key).groupBy(*key), right.select("id", "x", "y", *key).groupBy(*key))
-    return sides[0].cogroup(sides[1]).applyInPandas(compare, "query long, neighbour long, distance double, y double")
+    sides = (left.select("id", "x", *key).groupBy(*key), right.select("id", "x", *key).groupBy(*key))
+    return sides[0].cogroup(sides[1]).applyInPandas(compare, "query long, neighbour long, distance double")
 
 
-def nearest_rows(
-    train: DataFrame,
-    queries: DataFrame,
-    row_id: str,
-    features: list[str],
-    k: int,
-    metric: str = "euclidean",
-    label: str | None = None,
-    pivots: int | None = None,
-) -> DataFrame:
-    """(query, neighbour, distance, y, position): the k nearest training rows per query, ties by training id.
+@dataclass
+class _Near:
+    """``rows`` (query, neighbour, distance, y, position) of one query per point, whose id is the smallest of its queries."""
 
-    A row with a missing coordinate is near to nothing and has no neighbours. ``pivots`` is the root of the number of
-    training rows unless given.
-    """
+    rows: DataFrame
+    members: DataFrame  # id, point: every query, and the one that was asked for it
+    sizes: DataFrame  # point, n
+
+    def of_all(self, found: DataFrame) -> DataFrame:
+        """(id, columns of ``found``): what was ``found`` per ``query`` asked, for every query of its point."""
+        hot = largest_keys({"points": self.sizes}, "point", "n")["points"]
+        return lookup_join(self.members, found.withColumnRenamed("query", "point"), "point", hot, "id").drop("point")
+
+
+def _nearest(
+    train: DataFrame, queries: DataFrame, row_id: str, features: list[str], k: int, metric: str, label: str | None, pivots: int | None
+) -> _Near:
     plain = "manhattan" if metric == "manhattan" else "euclidean"
     y = F.lit(None).cast("double") if label is None else F.col(label).cast("double")
     placed = ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
-    base = _vectors(train, row_id, features, metric, [y.alias("y")], 0).where(placed)
-    asked = cut_lineage(_vectors(queries, row_id, features, metric, [], 1).where(placed))
+    spotted = cut_lineage(_vectors(queries, row_id, features, metric, [], 1).where(placed).withColumn("spot", _spot("x")))
+    asked = cut_lineage(spotted.groupBy("spot").agg(F.min("id").alias("id"), F.first("x").alias("x"), F.count("*").alias("n")))
+    hot = largest_keys({"spots": asked.where(F.col("n") > 1)}, "spot", "n")["spots"]
+    members = cut_lineage(
+        lookup_join(spotted.select("id", "spot"), asked.select("spot", F.col("id").alias("point")), "spot", hot, "id").select("id", "point")
+    )
+    base = _vectors(train, row_id, features, metric, [y.alias("y")], 0).where(placed).withColumn("spot", _spot("x"))
     # Spark limits the rows of a group before it shuffles them.
-    first = F.row_number().over(Window.partitionBy("x").orderBy("id"))
-    base = cut_lineage(base.withColumn("copy", first).where(F.col("copy") <= k).drop("copy"))
+    first = F.row_number().over(Window.partitionBy("spot").orderBy("id"))
+    copies = base.withColumn("copy", first).where(F.col("copy") <= k)
+    base = cut_lineage(
+        copies.groupBy("spot").agg(F.min("id").alias("id"), F.first("x").alias("x"), F.collect_list(F.struct(F.col("id").alias("neighbour"), "y")).alias("copies"))
+    )
     n = base.count()
     if not n:
         raise ValueError("no training rows")
@@ -203,7 +219,7 @@ def nearest_rows(
         nearest, radius = pieces.nearest(_matrix(x))
         return pd.DataFrame({"piece": nearest.astype("int32"), "radius": radius})
 
-    pieced = cut_lineage(base.withColumn("at", locate("x")).select("id", "x", "y", "at.*"))
+    pieced = cut_lineage(base.withColumn("at", locate("x")).select("id", "x", "at.*"))
     stats = cut_lineage(pieced.groupBy("piece").agg(F.count("*").alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")))
     pieces.sizes, pieces.low, pieces.high = (np.zeros(len(chosen), kind) for kind in (np.int64, float, float))
     for r in stats.collect():
@@ -213,22 +229,50 @@ def nearest_rows(
     def own(x: pd.Series) -> pd.Series:
         return pd.Series(pieces.around(_matrix(x), k))
 
-    at_home = cut_lineage(asked.withColumn("home", own("x")))
-    first_found = cut_lineage(_compared(at_home.select("id", "x", F.explode("home").alias("piece")), pieced, stats, k, metric))
+    order = Window.partitionBy("query").orderBy("distance", "neighbour")
+
+    def compared(visits: DataFrame) -> DataFrame:
+        """(query, neighbour, distance, y): the training rows of the k nearest points visited, which hold the k nearest rows."""
+        found = _compared(visits, pieced, stats, k, metric)
+        nearest = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        of_point = base.select(F.col("id").alias("neighbour"), "copies")
+        return nearest.join(of_point, "neighbour").select("query", "distance", F.inline("copies")).select("query", "neighbour", "distance", "y")
+
+    at_home = cut_lineage(asked.select("id", "x", own("x").alias("home")))
+    first_found = cut_lineage(compared(at_home.select("id", "x", F.explode("home").alias("piece"))))
 
     @F.pandas_udf("array<int>")
     def others(x: pd.Series, limit: pd.Series) -> pd.Series:
         return pd.Series(pieces.within(_matrix(x), limit.to_numpy(dtype=float)))
 
-    order = Window.partitionBy("query").orderBy("distance", "neighbour")
     best = cut_lineage(first_found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k))
     # A rounded distance may be short of the real one by half a unit of its last digit; cosine is half the square.
     kth = F.col("distance") + 10.0**-DIGITS
     limits = best.where(F.col("position") == k).select(F.col("query").alias("id"), (F.sqrt(2 * kth) if metric == "cosine" else kth).alias("limit"))
     rest = at_home.join(limits, "id").withColumn("piece", F.explode(F.array_except(others("x", "limit"), F.col("home"))))
-    more = _compared(cut_lineage(rest.select("id", "x", "piece")), pieced, stats, k, metric)
-    both = best.drop("position").unionByName(more)
-    return both.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    both = best.drop("position").unionByName(compared(cut_lineage(rest.select("id", "x", "piece"))))
+    rows = both.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    return _Near(rows, members, asked.select(F.col("id").alias("point"), "n").where(F.col("n") > 1))
+
+
+def nearest_rows(
+    train: DataFrame,
+    queries: DataFrame,
+    row_id: str,
+    features: list[str],
+    k: int,
+    metric: str = "euclidean",
+    label: str | None = None,
+    pivots: int | None = None,
+) -> DataFrame:
+    """(query, neighbour, distance, y, position): the k nearest training rows per query, ties by training id.
+
+    A row with a missing coordinate is near to nothing and has no neighbours. ``pivots`` is the root of the number of
+    training points unless given.
+    """
+    near = _nearest(train, queries, row_id, features, k, metric, label, pivots)
+    each = near.rows.groupBy("query").agg(F.collect_list(F.struct("neighbour", "distance", "y", "position")).alias("near"))
+    return near.of_all(each).select(F.col("id").alias("query"), F.inline("near"))
 
 
 def knn_regress(
@@ -242,10 +286,10 @@ def knn_regress(
     metric: str = "euclidean",
 ) -> DataFrame:
     """Mean label of the k nearest rows; with ``distance`` weights 1/d, or only the exact matches if any."""
-    near = nearest_rows(train, queries, row_id, features, k, metric, label).groupBy("query")
+    near = _nearest(train, queries, row_id, features, k, metric, label, None)
     if weights == "uniform":
         value = F.avg("y")
     else:
         inverse = F.when(F.col("distance") > 0, 1 / F.col("distance"))
         value = F.coalesce(F.avg(F.when(F.col("distance") == 0, F.col("y"))), F.sum(F.col("y") * inverse) / F.sum(inverse))
-    return near.agg(value.alias("prediction")).select(F.col("query").alias(row_id), "prediction")
+    return near.of_all(near.rows.groupBy("query").agg(value.alias("prediction"))).select(F.col("id").alias(row_id), "prediction")

@@ -59,6 +59,23 @@ def test_knn_with_more_neighbours_than_rows(spark):
     assert got.count() == 24
 
 
+def test_copies_of_a_query_are_asked_once(spark, monkeypatch):
+    seen, compared = [], neighbours._compared
+
+    def counted(visits, pieced, *more):
+        seen.append((visits.select("id").distinct().count(), pieced.count()))
+        return compared(visits, pieced, *more)
+
+    monkeypatch.setattr(neighbours, "_compared", counted)
+    train, asked = _cloud(40, 2, 6).repeat(4, axis=0), _cloud(3, 2, 7).repeat(70, axis=0)
+    got = neighbours.nearest_rows(_frame(spark, train), _frame(spark, asked, 1000), "row_id", ["a0", "a1"], 6).toPandas()
+    assert max(n for n, _ in seen) <= 3 and max(n for _, n in seen) <= 40
+    d = np.round(_distances(asked, train, "euclidean"), 9)
+    for i in range(len(asked)):
+        best = np.lexsort((np.arange(len(train)), d[i]))[:6]
+        assert got[got["query"] == 1000 + i].sort_values("position")["neighbour"].tolist() == best.tolist()
+
+
 def _brute_dbscan(x, eps, m, metric):
     near = _distances(x, x, metric) <= eps
     core = near.sum(1) >= m
