@@ -43,12 +43,15 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def _vectors(df: DataFrame, row_id: str, features: list[str], metric: str, extra: list, zero_axis: int) -> DataFrame:
     """(id, x, extra). For cosine the vectors get unit length, so that plain distance has the same order; a zero
     vector gets an axis of its own and is equally far from everything."""
-    x = F.array(*[F.col(c).cast("double") for c in features])
+    # Written first, so that a coordinate is worked out once, however often the vector's expression names it.
+    values = [f"x{i}" for i in range(len(features))]
+    df = cut_lineage(df.select(F.col(row_id).cast("long").alias("id"), *extra, *[F.col(c).cast("double").alias(v) for c, v in zip(features, values)]))
+    x = F.array(*values)
     if metric == "cosine":
-        size = F.sqrt(sum((F.col(c).cast("double") * F.col(c).cast("double") for c in features), F.lit(0.0)))
+        size = F.sqrt(sum((F.col(v) * F.col(v) for v in values), F.lit(0.0)))
         axes = [F.when(size == 0, 1.0).otherwise(0.0) if i == zero_axis else F.lit(0.0) for i in range(2)]
-        x = F.array(*[F.when(size > 0, F.col(c).cast("double") / size).otherwise(0.0) for c in features], *axes)
-    return df.select(F.col(row_id).cast("long").alias("id"), x.alias("x"), *extra)
+        x = F.array(*[F.when(size > 0, F.col(v) / size).otherwise(0.0) for v in values], *axes)
+    return df.select(*df.columns[: -len(values)], x.alias("x"))
 
 
 def _spot(x: str) -> Column:
