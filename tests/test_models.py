@@ -145,3 +145,22 @@ def test_sweep_draws_with_a_seed():
     a, b = (J.sweep(lambda g: {"loss": g["k"] * g["w"]}, settings, trials=3) for _ in range(2))
     assert a == b and len(a) == 3
     assert len(J.sweep(lambda g: {}, settings)) == 6
+
+
+def test_walk_forward_counts_labels_once_and_fits_side_by_side(table, monkeypatch):
+    import threading
+
+    rows, features = table
+    both, fit = threading.Barrier(2, timeout=60), J.fit_trees
+
+    def together(train, *more):
+        # Breaks unless another fit is under way.
+        both.wait()
+        ratio = train.where(F.col("is_installed") == 1).agg(F.max("__weight")).first()[0]
+        known = train.where(~F.col("__stop")) if "__stop" in train.columns else train
+        assert ratio == I.class_ratio(known, "is_installed").first()[0]
+        return fit(train, *more)
+
+    monkeypatch.setattr(J, "fit_trees", together)
+    got = J.walk_forward_scores(rows, features, "row_id", "day", SMALL, 65, 66, weighted=True)
+    assert got.select("fold").distinct().count() == 2
