@@ -164,3 +164,20 @@ def test_walk_forward_counts_labels_once_and_fits_side_by_side(table, monkeypatc
     monkeypatch.setattr(J, "fit_trees", together)
     got = J.walk_forward_scores(rows, features, "row_id", "day", SMALL, 65, 66, weighted=True)
     assert got.select("fold").distinct().count() == 2
+
+
+def test_trials_that_differ_in_their_pull_share_a_fit(table, monkeypatch):
+    rows, features = table
+    fitted, kmeans = [], J.KMeans
+
+    def counted(**settings):
+        fitted.append(settings["k"])
+        return kmeans(**settings)
+
+    monkeypatch.setattr(J, "KMeans", counted)
+    trial = J.cluster_rate_trial(rows.where("day < 63"), rows.where("day >= 63"), features, "row_id")
+    found = J.sweep(trial, {"k": [2, 3], "pull": [0.0, 0.5, 1.0]})
+    assert sorted(fitted) == [2, 3]
+    assert [(r["trial"], r["k"], r["pull"]) for r in found] == [(i, k, p) for i, (k, p) in enumerate((k, p) for k in (2, 3) for p in (0.0, 0.5, 1.0))]
+    # Without a pull all is the constant, whatever the clusters.
+    assert found[0]["log_loss"] == found[3]["log_loss"] and len({r["log_loss"] for r in found[:3]}) == 3
