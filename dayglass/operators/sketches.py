@@ -75,8 +75,9 @@ class Sketch:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    # A task without values has no rows.
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["name", "level", "n", "kept"])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["name", "level", "n", "kept"])
 
 
 def sketches(df: DataFrame, columns: list[str]) -> DataFrame:

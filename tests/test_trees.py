@@ -173,3 +173,10 @@ def test_bins_between_borders(rows):
     both = state.join(same.select("row_id", F.hex("bins").alias("bins")), "row_id")
     want = F.concat(*[F.lpad(F.hex(F.col(c).cast("long")), 2, "0") for c in ("bin_x", "bin_c")])
     assert both.where(F.col("bins") != want).isEmpty() and both.count() == 500
+
+
+def test_sketches_of_empty_partitions(spark):
+    df = spark.range(0, 3, 1, 8).selectExpr("double(id) AS a", "double(NULL) AS b")
+    rows = sketched_quantiles(df, ["a", "b"], [0.5, 1.0]).collect()
+    assert sorted((r["column"], r["share"], r["value"]) for r in rows) == [("a", 0.5, 1.0), ("a", 1.0, 2.0)]
+    assert not sketched_quantiles(df.where("a > 5"), ["a"], [0.5]).collect()
