@@ -5,25 +5,36 @@ point comparison at all, and the core points of a cell always share a cluster. C
 point. Two core cells are linked by comparing boxes around their points: boxes entirely within reach link, boxes
 out of reach do not, small boxes are compared point by point and large ones are halved. Clusters are the connected
 cells. No step emits all pairs of a crowded cell.
+
+Above three axes a grid has too many neighbouring cells. There, core points and links are first sought in overlapping
+blocks of bounded size. What is found is right, so cells of the largest group found, all of whose points are core, need
+not be compared with each other. The other cells ("open") meet all cells.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayglass.operators.joins import largest_keys, lookup_join
-from dayglass.session import cut_lineage
+from dayglass.session import chunk_count, cut_lineage
 
 PAIRS = 4096  # point pairs that two boxes may have before they are halved
 BLOCK = 4096  # points of a cell that one join key may hold
-GRID_AXES = 3  # with more axes neighbouring cells are found by a cover of balls, not by a grid
+GRID_AXES = 3  # with more axes most links are found in blocks first, and neighbouring cells without a grid
 HOMES = 64  # cells that a ball of the cover may hold
 PIVOTS = 16  # balls that a ball is split into
+MOST_OPEN = 1 << 17  # open cells that meet all cells as arrays; of more, a cover finds the pairs
+CROWD = 2048  # points of a block, or cells of a part, that are compared at once
+SHIFTS = 3  # blocks that a point lies in
+STRIP = 256  # rows of a block whose distances are held at once
 
 
 def _length(gaps: list[Column], metric: str) -> Column:
@@ -136,6 +147,126 @@ def _cover_pairs(cells: DataFrame, grid: _Grid) -> DataFrame:
         home = home.select(F.col("inner").alias("ball"), "cell", "m", *boxes)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of equal values in the first ``keys`` columns; a run may span batches."""
+    held: list[list[np.ndarray]] = []
+    last = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        bounds = np.concatenate(([0], np.flatnonzero(new), [batch.num_rows]))
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            name = tuple(c[low] for c in columns[:keys])
+            if held and name != last:
+                yield [np.concatenate(parts) for parts in zip(*held)]
+                held = []
+            last = name
+            held.append([c[low:high] for c in columns])
+    if held:
+        yield [np.concatenate(parts) for parts in zip(*held)]
+
+
+def _block_groups(x: np.ndarray, w: np.ndarray, eps: float, min_samples: int, metric: str) -> np.ndarray:
+    """For each point the first point of its group of linked core points, counting the given points alone; -1 for no core point.
+
+    Distances a rounding short of eps do not count, so whatever is found here holds for all points.
+    """
+    n = len(x)
+    near = np.empty((n, n), bool)
+    most = eps * (1 - 1e-9) if metric == "manhattan" else (eps * (1 - 1e-9)) ** 2
+    for low in range(0, n, STRIP):
+        length = np.zeros((min(STRIP, n - low), n))
+        for i in range(x.shape[1]):
+            gap = x[low : low + STRIP, i, None] - x[None, :, i]
+            length += np.abs(gap) if metric == "manhattan" else gap * gap
+        near[low : low + STRIP] = length <= most
+    counted = np.array([w[row].sum() for row in near])
+    free = counted >= min_samples
+    group = np.full(n, -1)
+    for first in range(n):
+        if not free[first]:
+            continue
+        front = np.array([first])
+        free[first] = False
+        while len(front):
+            group[front] = first
+            front = np.flatnonzero(near[front].any(axis=0) & free)
+            free[front] = False
+    return group
+
+
+def _first_groups(points: DataFrame, grid: _Grid, min_samples: int) -> DataFrame:
+    """(pid, cell, of): core points that are found by looking at blocks of bounded size, linked to the cell ``of``.
+
+    A block is a box of twice eps a side, cut by a hash of its points where it has more than CROWD. SHIFTS boxes hold each point, so
+    blocks overlap. Not all core points and links are found, but all that are found are right.
+    """
+    side, axes = 2 * grid.eps, [f"x{i}" for i in grid.axes]
+    names = [F.concat_ws("_", F.lit(str(k)), *[F.floor(F.col(x) / side + k / SHIFTS).cast("string") for x in axes]) for k in range(SHIFTS)]
+    rows = cut_lineage(points.select("pid", "w", "cell", *axes, F.explode(F.array(*names)).alias("block")))
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n"))
+    sized = _with_sizes(rows, cut_lineage(sizes), "block", "pid")
+    part = F.pmod(F.xxhash64("pid"), F.ceil(F.col("n") / CROWD)).cast("int")
+    dealt = sized.select("block", part.alias("part"), "pid", "cell", F.col("w").cast("double").alias("w"), *axes)
+    dealt = dealt.repartition("block", "part").sortWithinPartitions("block", "part", "pid")
+    eps, metric = grid.eps, grid.metric
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, pid, cell, w, *x in _groups(batches, 2):
+            if w.sum() < min_samples:
+                continue
+            group = _block_groups(np.stack(x, axis=1), w, eps, min_samples, metric)
+            core = np.flatnonzero(group >= 0)
+            columns = [pa.array(pid[core], pa.int64()), pa.array(cell[core], pa.string()), pa.array(cell[group[core]], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["pid", "cell", "of"])
+
+    return dealt.mapInArrow(run, "pid bigint, cell string, of string")
+
+
+def _open_pairs(cells: DataFrame, home: DataFrame, grid: _Grid) -> DataFrame:
+    """(a, b): pairs of different cells whose boxes are within reach (or a rounding further), for each cell a of ``home``.
+
+    The cells of ``home`` are dealt into parts of about CROWD, all cells into blocks; each part meets each block in one task, as arrays.
+    """
+    asked = home.count()
+    if asked > MOST_OPEN:
+        return _neighbour_cells(cells, grid).join(home.select(F.col("cell").alias("a")), "a", "left_semi")
+    parts = max(1, -(-asked // CROWD))
+    blocks = max(chunk_count(cells.sparkSession), -(-cells.count() // (8 * CROWD)))
+    corners = [f"{c}{i}" for c in ("lo", "hi") for i in grid.axes]
+
+    def dealt(rows: DataFrame, side: int, own: str, n: int, other: str, m: int) -> DataFrame:
+        at = F.pmod(F.xxhash64("cell", F.lit(side)), F.lit(n)).cast("int")
+        return rows.withColumn(own, at).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("part", "block", F.lit(side).alias("side"), "cell", *corners)
+
+    rows = dealt(cells.join(home, "cell", "left_semi"), 0, "part", parts, "block", blocks)
+    rows = rows.unionByName(dealt(cells, 1, "block", blocks, "part", parts))
+    rows = rows.repartition("part", "block").sortWithinPartitions("part", "block", "side")
+    axes, eps, metric = len(grid.axes), grid.eps * (1 + 1e-9), grid.metric
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, side, cell, *box in _groups(batches, 2):
+            low, high = np.stack(box[:axes], axis=1), np.stack(box[axes:], axis=1)
+            a, every = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            for start in range(0, len(every) if len(a) else 0, STRIP):
+                b = every[start : start + STRIP]
+                length = np.zeros((len(b), len(a)))
+                for i in range(axes):
+                    gap = np.maximum(low[b, None, i] - high[None, a, i], low[None, a, i] - high[b, None, i])
+                    np.maximum(gap, 0, out=gap)
+                    length += gap if metric == "manhattan" else gap * gap
+                j, k = np.nonzero(length <= (eps if metric == "manhattan" else eps**2))
+                names = [cell[a[k]], cell[b[j]]]
+                other = names[0] != names[1]
+                yield pa.RecordBatch.from_arrays([pa.array(n[other], pa.string()) for n in names], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a string, b string")
+
+
 def _blocks(n: str) -> Column:
     return F.ceil(F.col(n) / BLOCK).cast("int")
 
@@ -258,6 +389,21 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return state.select("node", "label")
 
 
+def _parts(core: DataFrame, sure: DataFrame) -> DataFrame:
+    """(cell, part): cells with core points, and a name for those that the links found in blocks lead to each other."""
+    nodes = core.groupBy(F.col("cell").alias("node")).agg(F.min("pid").alias("seed"))
+    found = sure.where("cell != of").select(F.col("cell").alias("a"), F.col("of").alias("b")).distinct()
+    return connected(nodes, found).select(F.col("node").alias("cell"), F.concat(F.lit("of "), F.col("label").cast("string")).alias("part"))
+
+
+def _settled(core: DataFrame, cells: DataFrame, parts: DataFrame) -> DataFrame:
+    """Cells of the largest part that have no points but core points."""
+    largest = parts.groupBy("part").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "part").limit(1).select("part")
+    inside = parts.join(F.broadcast(largest), "part", "left_semi").select("cell")
+    whole = core.groupBy("cell").agg(F.count("*").alias("found")).join(cells.select("cell", "n"), "cell").where("found = n")
+    return whole.join(inside, "cell", "left_semi").select("cell")
+
+
 def dbscan(
     df: DataFrame, row_id: str, features: list[str], eps: float, min_samples: int, metric: str = "euclidean"
 ) -> DataFrame:
@@ -286,23 +432,40 @@ def dbscan(
     cells = cut_lineage(
         points.groupBy("cell", *keys).agg(F.sum("w").alias("w"), F.count("*").alias("n"), *grid.box())
     )
-    near = cut_lineage(_neighbour_cells(cells, grid))
     sized = _with_sizes(points.drop(*keys), cells.select("cell", F.col("w").alias("cell_w"), "n"), "cell", "pid")
     points = cut_lineage(sized.withColumnRenamed("n", "cell_n"))
 
     thin = points.where(F.col("cell_w") < min_samples)
+    columns = ["pid", "cell", *[f"x{i}" for i in grid.axes]]
+    core = points.where(F.col("cell_w") >= min_samples).select(*columns)
+    if len(grid.axes) > GRID_AXES:
+        sure = cut_lineage(_first_groups(points, grid, min_samples))
+        known = sure.select("pid").distinct()
+        core = cut_lineage(core.unionByName(thin.join(known, "pid", "left_semi").select(*columns)))
+        thin = thin.join(known, "pid", "left_anti")
+        parts = cut_lineage(_parts(core, sure))
+        home = cut_lineage(cells.join(_settled(core, cells, parts), "cell", "left_anti").select("cell"))
+        near = cut_lineage(_open_pairs(cells, home, grid))
+    else:
+        parts = core.select("cell", F.col("cell").alias("part")).distinct()
+        near = cut_lineage(_neighbour_cells(cells, grid))
     around = _within_reach(thin, cells, points, near, grid, "w").groupBy("pid").agg(F.sum("value").alias("others"))
     enough = F.col("cell_w") + F.coalesce("others", F.lit(0)) >= min_samples
     judged = cut_lineage(thin.join(around, "pid", "left").withColumn("core", enough))
-    columns = ["pid", "cell", *[f"x{i}" for i in grid.axes]]
-    core = points.where(F.col("cell_w") >= min_samples).select(*columns).unionByName(judged.where("core").select(*columns))
+    core = core.unionByName(judged.where("core").select(*columns))
     core_cells = cut_lineage(core.groupBy("cell").agg(F.min("pid").alias("seed"), F.count("*").alias("n"), *grid.box()))
     core = cut_lineage(_with_sizes(core, core_cells.select("cell", "n"), "cell", "pid").withColumnRenamed("n", "core_n"))
-    both_core = near.join(core_cells.select(F.col("cell").alias("a")), "a", "left_semi").join(
-        core_cells.select(F.col("cell").alias("b")), "b", "left_semi"
+    placed_cells = core_cells.join(parts, "cell", "left").select("cell", "seed", F.coalesce("part", "cell").alias("part"))
+    part_of = {s: placed_cells.select(F.col("cell").alias(s), F.col("part").alias(f"part_{s}")) for s in ("a", "b")}
+    both_core = near.join(part_of["a"], "a").join(part_of["b"], "b").where("part_a != part_b")
+    both_core = both_core.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _links(core, core_cells, both_core, grid).join(part_of["a"], "a").join(part_of["b"], "b")
+    joined = connected(
+        placed_cells.groupBy(F.col("part").alias("node")).agg(F.min("seed").alias("seed")),
+        links.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct(),
     )
-    labels = connected(core_cells.select(F.col("cell").alias("node"), "seed"), _links(core, core_cells, both_core, grid))
-    labelled_cells = cut_lineage(core_cells.join(labels.withColumnRenamed("node", "cell"), "cell"))
+    labels = placed_cells.join(joined.withColumnRenamed("node", "part"), "part").select("cell", "label")
+    labelled_cells = cut_lineage(core_cells.join(labels, "cell"))
     labelled_core = _with_sizes(core, labelled_cells.select("cell", "label", "n"), "cell", "pid").withColumnRenamed("n", "cell_n")
 
     rest = judged.where(~F.col("core"))

@@ -111,6 +111,28 @@ def test_dbscan_against_brute_force(spark, monkeypatch, metric, axes, eps, m, pa
     assert got.cluster.tolist() == _brute_dbscan(x, eps, m, metric).tolist()
 
 
+@pytest.mark.parametrize("metric,most_open", [("euclidean", 1 << 17), ("manhattan", 1 << 17), ("euclidean", 0)])
+def test_dbscan_above_three_axes_compares_open_cells_only(spark, monkeypatch, metric, most_open):
+    monkeypatch.setattr(dbscan, "CROWD", 40)
+    monkeypatch.setattr(dbscan, "STRIP", 7)
+    monkeypatch.setattr(dbscan, "MOST_OPEN", most_open)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.1, (260, 4)), rng.normal(2, 0.1, (30, 4)), rng.uniform(-1, 3, (20, 4)), np.full((6, 4), 0.5)])
+    eps = 0.3 if metric == "manhattan" else 0.17
+    asked = []
+    pairs = dbscan._open_pairs
+
+    def counted(cells, home, grid):
+        asked.append((home.count(), cells.count()))
+        return pairs(cells, home, grid)
+
+    monkeypatch.setattr(dbscan, "_open_pairs", counted)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "row_id long, a0 double, a1 double, a2 double, a3 double")
+    got = dbscan.dbscan(df, "row_id", ["a0", "a1", "a2", "a3"], eps, 4, metric).toPandas().sort_values("row_id")
+    assert got.cluster.tolist() == _brute_dbscan(x, eps, 4, metric).tolist()
+    assert len(set(got.cluster)) > 2 and asked[0][0] < asked[0][1] / 2
+
+
 def test_cover_has_all_pairs_within_reach_and_few_others(spark):
     def compared(n):
         rng = np.random.default_rng(3)
