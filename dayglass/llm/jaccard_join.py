@@ -418,62 +418,86 @@ def _short_run_pairs(runs: DataFrame) -> DataFrame:
     return runs.where((F.col("chunk") == 0) & (F.size("vertices") <= SHORT_RUN)).select(F.explode(F.flatten(each)).alias("p")).select("p.*").distinct()
 
 
-def _block_pairs(rows: list[tuple], percent: int, nearest: bool) -> Iterator[list[tuple[int, int, int]]]:
-    """Pairs (a, b, least differences) of one block whose vertices lie in different components and may be similar.
-
-    With ``nearest`` only the pair of each vertex with the fewest differences.
+class _Block:
+    """Vertices of one block (rows of :func:`_long_run_pairs`), in the order of their sizes."""
+
+    def __init__(self, rows: list[tuple], percent: int):
+        self.rows, self.percent = sorted(rows, key=lambda r: r[6]), percent
+        self.chunk, self.vertex, self.component, self.n = (np.array([r[k] for r in self.rows]) for k in (3, 4, 5, 6))
+        self.crossing = self.rows[0][1] != self.rows[0][2]
+        bits = [np.frombuffer(r[7], np.uint8) for r in self.rows]
+        self.width = np.array([len(b) for b in bits])
+        #: By width: the vertices whose bits are at least as long, and their bits folded to it.
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width in np.unique(self.width).tolist():
+            there = np.flatnonzero(self.width >= width)
+            self.folded[width] = there, np.stack([np.bitwise_xor.reduce(bits[t].reshape(-1, width), axis=0) for t in there]).view(np.uint64)
+
+    def near(self, a: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the vertices with ``wanted``, those of other components that may be similar to ``a``, and their least differences."""
+        able = wanted & (self.component != self.component[a]) & (100 * np.minimum(self.n, self.n[a]) >= self.percent * np.maximum(self.n, self.n[a]))
+        if self.crossing:
+            able &= self.chunk != self.chunk[a]
+        ends, least = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for width, (there, folded) in self.folded.items():
+            # The longer bits are folded to the shorter: all that are as long as those of a or longer, or those of one shorter width.
+            if width <= self.width[a]:
+                k = np.flatnonzero(able[there] & ((self.width[there] == width) | (width == self.width[a])))
+                if len(k):
+                    ends.append(there[k])
+                    least.append(np.bitwise_count(folded[k] ^ folded[np.searchsorted(there, a)]).sum(axis=1).astype(np.int64))
+        b, d = np.concatenate(ends), np.concatenate(least)
+        close = d <= most_differences(self.n[a], self.n[b], self.percent)
+        return b[close], d[close]
+
+
+def _nearest_tree(block: _Block) -> Iterator[list[tuple[int, int, int]]]:
+    """The pairs (a, b, least differences) of a smallest spanning forest of the block's components (Prim's method).
+
+    So one comparison of whole sets may link all of a block, where the nearest pair of each vertex would link a part.
     """
-    rows = sorted(rows, key=lambda r: r[6])
-    vertex, chunk, component, n = (np.array([r[k] for r in rows]) for k in (4, 3, 5, 6))
-    crossing = rows[0][1] != rows[0][2]
-    bits = [np.frombuffer(r[7], np.uint8) for r in rows]
+    total, far = len(block.rows), np.iinfo(np.int64).max
+    best, partner, free = np.full(total, far), np.full(total, -1), np.ones(total, bool)
+    found = []
+    for _ in range(total):
+        a = int(np.where(free, best, far).argmin())
+        if not free[a]:
+            a = int(free.argmax())
+        free[a] = False
+        if 0 <= best[a] < far:
+            x, y = int(block.vertex[a]), int(block.vertex[partner[a]])
+            found.append((min(x, y), max(x, y), int(best[a])))
+        # The rest of its component comes next, without a pair.
+        best[free & (block.component == block.component[a])] = -1
+        b, least = block.near(a, free)
+        closer = least < best[b]
+        best[b[closer]], partner[b[closer]] = least[closer], a
+    yield found
+
+
+def _all_pairs(block: _Block) -> Iterator[list[tuple[int, int, int]]]:
+    """All pairs (a, b, least differences) of the block whose vertices lie in different components and may be similar."""
+    rows, later = block.rows, np.ones(len(block.rows), bool)
     named = [frozenset(r[8]) for r in rows]
-    size = np.array([len(b) for b in bits])
-    far = np.iinfo(np.int64).max
-    best, partner = np.full(len(rows), far), np.zeros(len(rows), np.int64)
     found: list[tuple[int, int, int]] = []
-    for width in np.unique(size):
-        # Sets whose bits are of this length against all that are at least as long, folded to it.
-        here, there = np.flatnonzero(size == width), np.flatnonzero(size >= width)
-        folded = np.stack([np.bitwise_xor.reduce(bits[t].reshape(-1, width), axis=0) for t in there]).view(np.uint64)
-        place = {t: k for k, t in enumerate(there.tolist())}
-        for a in here.tolist():
-            able = (there > a) & (component[there] != component[a]) & (100 * n[a] >= percent * n[there])
-            if crossing:
-                able &= chunk[there] != chunk[a]
-            k = np.flatnonzero(able)
-            if not len(k):
-                continue
-            least = np.bitwise_count(folded[k] ^ folded[place[a]]).sum(axis=1).astype(np.int64)
-            near = least <= most_differences(n[a], n[there[k]], percent)
-            b, least = there[k[near]], least[near]
-            if not len(b):
-                continue
-            if nearest:
-                closer = least < best[b]
-                best[b[closer]], partner[b[closer]] = least[closer], a
-                if least.min() < best[a]:
-                    best[a], partner[a] = least.min(), b[least.argmin()]
-            else:
-                for j, d in zip(b.tolist(), least.tolist()):
-                    # The first run that both name; without one the pair comes out in each of its runs.
-                    shared = named[a] & named[j]
-                    if not shared or min(shared) == rows[a][0]:
-                        found.append((min(rows[a][4], rows[j][4]), max(rows[a][4], rows[j][4]), d))
-                if len(found) > 1 << 16:
-                    yield found
-                    found = []
-    for a in np.flatnonzero(best < far).tolist():
-        x, y = int(vertex[a]), int(vertex[partner[a]])
-        found.append((min(x, y), max(x, y), int(best[a])))
+    for a in range(len(rows)):
+        later[a] = False
+        for j, d in zip(*(x.tolist() for x in block.near(a, later))):
+            # The first run that both name; without one the pair comes out in each of its runs.
+            shared = named[a] & named[j]
+            if not shared or min(shared) == rows[a][0]:
+                found.append((min(rows[a][4], rows[j][4]), max(rows[a][4], rows[j][4]), d))
+        if len(found) > 1 << 16:
+            yield found
+            found = []
     yield found
 
 
 def _long_run_pairs(runs: DataFrame, label: DataFrame | None, info: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b, least) of runs of more than SHORT_RUN vertices between different components, see :func:`_block_pairs`.
+    """Pairs (a, b, least) of runs of more than SHORT_RUN vertices between different components that may be similar.
 
     A run is compared in blocks of two of its rows, each block in one task. With ``nearest`` every vertex takes part in
-    its longest run only and is paired with its nearest of another component there; else all pairs of all runs that hold
+    its longest run only, and each block gives a spanning forest of its components by nearest pairs; else all pairs of all runs that hold
     several components are looked at. Without ``label`` every vertex is a component.
     """
     long = runs.where((F.col("chunk") > 0) | (F.size("vertices") > SHORT_RUN))
@@ -499,7 +523,7 @@ def _long_run_pairs(runs: DataFrame, label: DataFrame | None, info: DataFrame, p
         held: list[tuple] = []
 
         def made() -> Iterator[pa.RecordBatch]:
-            for found in _block_pairs(held, percent, nearest) if len(held) > 1 else ():
+            for found in (_nearest_tree if nearest else _all_pairs)(_Block(held, percent)) if len(held) > 1 else ():
                 fresh = list(set(found) - met)
                 if len(met) > 1 << 20:
                     met.clear()

@@ -107,3 +107,25 @@ def test_parity_bits_only_rule_out():
         a = np.unique(np.concatenate((common, rng.integers(0, 2**63, n, dtype=np.uint64))))
         b = np.unique(np.concatenate((common, rng.integers(0, 2**63, m, dtype=np.uint64))))
         assert jj.least_differences(jj.parity_bits(a), jj.parity_bits(b)) <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("crossing", [False, True])
+def test_a_block_of_near_copies_gives_pairs_that_lead_to_all(crossing):
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 2**63, 300, dtype=np.uint64)
+    rows = []
+    for v in range(60):
+        own = np.concatenate((base[: 300 - v % 7], rng.integers(1, 2**63, 3 + v % 5, dtype=np.uint64)))
+        rows.append((7, 0, int(crossing), v % 2 if crossing else 0, v, v // 2 * 2 if v < 20 else v, len(own), jj.parity_bits(own), [7]))
+    block = jj._Block(rows, 75)
+    found = [p for part in jj._nearest_tree(block) for p in part]
+    of = {r[4]: r[5] for r in rows}
+    group = {c: c for c in of.values()}
+    for a, b, least in found:
+        x, y = group[of[a]], group[of[b]]
+        assert x != y and least == jj.least_differences(rows[a][7], rows[b][7])
+        group = {c: x if g == y else g for c, g in group.items()}
+    assert len(set(group.values())) == 1 and len(found) == 49
+    every = [p for part in jj._all_pairs(block) for p in part]
+    want = {(a, b) for a in of for b in of if a < b and of[a] != of[b] and (not crossing or a % 2 != b % 2)}
+    assert {p[:2] for p in every} == want and len(every) == len(want)
