@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dayglass.llm.frames import give_back, with_text_columns
 from dayglass.llm.samples import labelled_sample
-from dayglass.llm.textkit import ALPHANUMERIC, Rolling, Words, blocks, mix, split_words
+from dayglass.llm.textkit import ALPHANUMERIC, BLOCK_BYTES, Rolling, Words, blocks, mix, split_words
 
 #: Labelled texts of each class that are used for fitting, and windows taken from each of them.
 PER_CLASS, WINDOWS = 2000, 4
@@ -21,6 +22,8 @@ BUCKETS, REACH = 1 << 17, 12
 #: Rounds in which marks share out the toxic texts; clean texts that each mark counts for besides its own in the first
 #: round, none in the last; and the share of toxic texts that no word need explain (wrong labels).
 ROUNDS, DOUBT, LEAK = 40, 1.0, 0.1
+#: Slices of the pairs of a mark and the word before it that are sorted one by one; a power of two.
+SLICES = 8
 #: Words that are looked at side by side in the recursions.
 LANE = 64
 
@@ -131,58 +134,89 @@ def _each_once(hashes: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.nda
     return mixed, hashes[at]
 
 
-def label_tokens(parts: list[Words], toxic: list[np.ndarray]) -> list[np.ndarray]:
+def _positions(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where each hash stands in the sorted ``marks``; -1 where it does not."""
+    if not len(marks):
+        return np.full(len(hashes), -1, np.int32)
+    at = np.minimum(np.searchsorted(marks, hashes), len(marks) - 1)
+    return np.where(marks[at] == hashes, at, -1).astype(np.int32)
+
+
+def _distinct_times(mixed: list[np.ndarray], mark: list[np.ndarray], count: int) -> np.ndarray:
+    """How many different values ``mixed`` each mark has, in slices of the values."""
+    total = np.zeros(count, np.int64)
+    for part in range(SLICES):
+        rows = [np.flatnonzero(m & np.uint64(SLICES - 1) == part) for m in mixed]
+        _, at = np.unique(np.concatenate([m[r] for m, r in zip(mixed, rows)]), return_index=True)
+        total += np.bincount(np.concatenate([m[r] for m, r in zip(mark, rows)])[at], minlength=count)
+    return total
+
+
+def label_tokens(parts: Iterable[Words], toxic: list[np.ndarray]) -> Iterator[np.ndarray]:
     """Probabilities of toxic tokens from document labels, by expectation maximisation; 0 in texts that are not toxic.
 
     A text is toxic if one of its tokens is, and a token if one of its marks (the word, its stems of 4 and 5 characters) is:
     a noisy or. In each round the toxic texts are shared out over their marks, which gives the marks' shares for the next
     one. So no number of texts is asked for: a rare word counts where no other word explains a text. In toxic texts
     a mark counts at most as often as it is after different words, so that a passage or a text that is there in many
-    copies counts once.
+    copies counts once. ``parts`` is gone through three times; what is held are the different marks of the toxic texts.
     """
     none = np.zeros(0, np.uint64)
-    every: dict[int, list[np.ndarray]] = {0: [none], 1: [none]}
-    owner, after, texts = [np.zeros(0, np.int64)], [(none, none)], 0
-    for words, labels in zip(parts, toxic):
-        kept, text = _marks(words), np.repeat(np.arange(len(labels)), np.diff(words.first))
-        for k in (0, 1):
-            rows = np.flatnonzero(labels[text] == k)
+    texts = sum(map(len, toxic))
+
+    def words_of(label: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By block: marks of each token, the rows of texts with the label, the text of each of their marks, the first row of each mark and text."""
+        for words, labels in zip(parts, toxic):
+            kept, text = _marks(words), np.repeat(np.arange(len(labels)), np.diff(words.first))
+            rows = np.flatnonzero(labels[text] == label)
             at = np.repeat(text[rows], 3)
             _, one = np.unique(mix(kept[rows].ravel() + at.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), return_index=True)
-            every[k].append(kept[rows].ravel()[one])
-        owner.append(at[one] + texts)
-        after.append(_each_once(kept[rows].ravel(), np.repeat(np.roll(kept[:, 0], 1)[rows], 3)))
-        texts += len(labels)
-    marks, mark, in_toxic = np.unique(np.concatenate(every[1]), return_inverse=True, return_counts=True)
-    owner = np.concatenate(owner)
-
-    def times(hashes: np.ndarray) -> np.ndarray:
-        value, count = np.unique(hashes, return_counts=True)
-        at = np.minimum(np.searchsorted(value, marks), max(0, len(value) - 1))
-        return np.where(value[at] == marks, count[at], 0) if len(value) else np.zeros(len(marks), np.int64)
-
-    in_clean = times(np.concatenate(every[0]))
-    _, at = np.unique(np.concatenate([mixed for mixed, _ in after]), return_index=True)
-    weight = np.minimum(1.0, times(np.concatenate([h for _, h in after])[at]) / np.maximum(in_toxic, 1))
+            yield kept, rows, at, one
+
+    every, owner, low = [none], [np.zeros(0, np.int32)], 0
+    for (kept, rows, at, one), labels in zip(words_of(1), toxic):
+        every.append(kept[rows].ravel()[one])
+        owner.append((at[one] + low).astype(np.int32))
+        low += len(labels)
+    marks = np.unique(np.concatenate(every))
+    for i, hashes in enumerate(every):
+        every[i] = _positions(marks, hashes)
+    mark, owner = np.concatenate(every), np.concatenate(owner)
+    del every
+    give_back()
+    in_toxic = np.bincount(mark, minlength=len(marks))
+    in_clean = np.zeros(len(marks), np.int64)
+    mixed, after = [none], [np.zeros(0, np.int32)]
+    for kept, rows, _, one in words_of(0):
+        found = _positions(marks, kept[rows].ravel()[one])
+        in_clean += np.bincount(found[found >= 0], minlength=len(marks))
+        rows = np.setdiff1d(np.arange(len(kept)), rows, assume_unique=True)
+        pairs, hashes = _each_once(kept[rows].ravel(), np.repeat(np.roll(kept[:, 0], 1)[rows], 3))
+        mixed.append(pairs)
+        after.append(_positions(marks, hashes))
+    weight = np.minimum(1.0, _distinct_times(mixed, after, len(marks)) / np.maximum(in_toxic, 1))
+    del mixed, after
+    give_back()
     tokens = weight * in_toxic + in_clean
     share = weight * in_toxic / (tokens + DOUBT)
     for i in range(ROUNDS):
         logs = np.log1p(-np.minimum(share, 0.999))
         explained = -np.expm1(np.bincount(owner, logs[mark], texts) + np.log1p(-LEAK))
-        part = share[mark] / np.maximum(explained[owner], 1e-12)
-        share = weight * np.bincount(mark, np.minimum(part, 1.0), len(marks)) / (tokens + DOUBT * (1 - (i + 1) / ROUNDS))
-    out = []
+        part = share[mark]
+        part /= np.maximum(explained, 1e-12)[owner]
+        np.minimum(part, 1.0, out=part)
+        share = weight * np.bincount(mark, part, len(marks)) / (tokens + DOUBT * (1 - (i + 1) / ROUNDS))
+    del mark, owner
+    every_log = np.log1p(-np.minimum(share, 0.999))
     for words, labels in zip(parts, toxic):
         kept, text = _marks(words), np.repeat(np.arange(len(labels)), np.diff(words.first))
         own = np.zeros(len(text))
         rows = np.flatnonzero(labels[text] == 1)
         if len(rows):
-            logs = np.log1p(-np.minimum(share, 0.999))
-            logs = logs[np.searchsorted(marks, kept[rows])].sum(axis=1)
+            logs = every_log[np.searchsorted(marks, kept[rows])].sum(axis=1)
             explained = -np.expm1(np.bincount(text[rows], logs, len(labels)) + np.log1p(-LEAK))
             own[rows] = np.minimum(1.0, -np.expm1(logs) / np.maximum(explained[text[rows]], 1e-12))
-        out.append(own)
-    return out
+        yield own
 
 
 def _windows(words: Words, labels: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
@@ -270,27 +304,44 @@ def _infer(words: Words, model: Model) -> np.ndarray:
     return forward_backward(logits, words.first, model.steps, model.opening)[2]
 
 
+class _Parts:
+    """Words of a column of texts, block by block. Every pass splits them anew, so that the words of one block are held."""
+
+    def __init__(self, column: pa.Array, limit: int = BLOCK_BYTES):
+        self.column, self.limit = column, limit
+
+    def __iter__(self) -> Iterator[Words]:
+        return (split_words(block, ALPHANUMERIC) for block in blocks(self.column, self.limit))
+
+
 def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
-    """Fit the field on tokens labelled from the texts' labels, then the document score on their marginals."""
+    """Fit the field on tokens labelled from the texts' labels, then the document score on their marginals.
+
+    Memory grows with the windows and the different marks of toxic texts, not with all tokens; freed memory goes back between the steps.
+    """
     rng = np.random.default_rng(seed)
-    parts, labels = [], []
-    for block in blocks(pa.array(texts, pa.string())):
-        parts.append(split_words(block, ALPHANUMERIC))
-        labels.append(np.array(toxic[block.low : block.high], int))
-    tokens = label_tokens(parts, labels)
-    xs, ys, sizes = [], [], []
-    for words, y in zip(parts, tokens):
-        x = features(words)
-        for window in _windows(words, y, rng):
-            xs.append(x[window])
-            ys.append(y[window])
-            sizes.append(len(window))
+    column = pa.array(texts, pa.large_string())
+    parts = _Parts(column)
+    labels = [np.array(toxic[block.low : block.high], int) for block in blocks(column)]
+    xs, ys, sizes = [np.zeros((0, 7), np.uint32)], [np.zeros(0)], []
+    for words, y in zip(parts, label_tokens(parts, labels)):
+        windows = _windows(words, y, rng)
+        if windows:
+            rows = np.concatenate(windows)
+            xs.append(features(words)[rows])
+            ys.append(y[rows])
+            sizes += map(len, windows)
     first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-    if not any(y.any() for y in ys):
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    del xs, ys
+    give_back()
+    if not y.any():
         warnings.warn("no toxic text with words to learn from: every text gets a score near 0", stacklevel=2)
         return Model(np.zeros(BUCKETS), np.array([[1.0, 1e-6], [1.0, 1e-6]]), 1e-6, np.array([-20.0, 0.0, 0.0]))
-    model = Model(*_fit_weights(np.concatenate(xs), np.concatenate(ys), first, rng), np.zeros(3))
-    signals = np.concatenate([document_signals(_infer(words, model), words.first) for words in parts])
+    model = Model(*_fit_weights(x, y, first, rng), np.zeros(3))
+    del x, y
+    give_back()
+    signals = np.concatenate([document_signals(_infer(words, model), words.first) for words in _Parts(column, BLOCK_BYTES // 4)])
     return model._replace(score=_fit_score(signals, np.concatenate(labels).astype(float)))
 
 

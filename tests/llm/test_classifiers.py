@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,21 @@ def test_rare_toxic_words_are_learned(clean, toxic, insults):
         assert np.mean(found) >= 0.9 if label else np.mean(found) <= 0.1
 
 
+def test_fitting_holds_the_words_of_one_block(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(w) for w in rng.choice(list("abcdefghij"), (3000, 5))])
+    texts = [" ".join(rng.choice(words, 1500)) for _ in range(900)]
+    kept = (np.zeros(toxicity.BUCKETS), np.array([[1.0, 0.5], [0.5, 1.0]]), 1.0)
+    monkeypatch.setattr(toxicity, "_fit_weights", lambda x, y, first, rng: kept)
+    tracemalloc.start()
+    try:
+        toxicity.fit(texts, [int(i % 2 == 0) for i in range(len(texts))])
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert held < 22 * sum(map(len, texts))
+
+
 def test_no_toxic_text_gives_a_warning():
     with pytest.warns(UserWarning, match="no toxic text"):
         toxicity.fit(["a b c", "d e f"], [0, 0])
