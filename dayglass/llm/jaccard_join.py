@@ -16,7 +16,7 @@ are frequent changes the work and never the result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ HELD = 1 << 22
 RUN_ROW, SHORT_RUN = 4096, 16
 #: Of the long runs of a vertex, how many it names so that a pair is given out in one run only.
 NAMED_RUNS = 16
+#: Links that one task draws together.
+LINKS = 1 << 18
 #: Bits of the filter that spares documents outside all candidates the way to the comparison.
 FILTER_BITS = 1 << 24
 
@@ -360,6 +362,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, text: str, w
     others the work; the join that follows is exact.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().join(vertices.select("vertex", "text_key"), "vertex")
+    wanted = cut_lineage(wanted)
     marks = docs.sparkSession.sparkContext.broadcast(_key_filter(wanted))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,12 +395,43 @@ def _linked(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, text: str, w
     return wide.select("a", "b", "fa", "fb").mapInArrow(compare, "a bigint, b bigint")
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertex, smallest vertex that these links lead to) for all others than the smallest ones."""
+    names, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        if (low == high).all():
+            lower = np.flatnonzero(label != np.arange(len(names)))
+            return names[lower], names[label[lower]]
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(vertex, component): the smallest vertex that the links (a, b) lead to, for every vertex that has a link.
 
-    Each round takes the smallest label among the neighbours and then the label of that label; one written table a round.
+    The links are dealt into parts of LINKS and each part is drawn together to stars, which one task holds; with several parts, rounds
+    follow. Each round takes the smallest label among the neighbours and then the label of that label; one written table a round.
     """
-    both = cut_lineage(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*").distinct())
+    links = cut_lineage(links)
+    parts = max(1, -(-links.count() // LINKS))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        if held:
+            vertex, component = _stars(*(np.concatenate(c) for c in zip(*held)))
+            if parts == 1:
+                tops = np.unique(component)
+                vertex, component = np.concatenate((vertex, tops)), np.concatenate((component, tops))
+            yield pa.RecordBatch.from_arrays([pa.array(vertex), pa.array(component)], names=["a", "b"])
+
+    stars = links.where("a != b").select("a", "b").repartition(parts).mapInArrow(draw, "a bigint, b bigint")
+    if parts == 1:
+        return cut_lineage(stars.withColumnsRenamed({"a": "vertex", "b": "component"}))
+    both = cut_lineage(stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*").distinct())
     labels = cut_lineage(both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.col("vertex"), F.min("b")).alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("vertex", "b"), "b").groupBy(F.col("a").alias("vertex")).agg(F.min("component").alias("nearby"))
@@ -419,7 +453,7 @@ def _short_run_pairs(runs: DataFrame) -> DataFrame:
 
 
 class _Block:
-    """Vertices of one block (rows of :func:`_long_run_pairs`), in the order of their sizes."""
+    """Vertices of one block (rows of :func:`_block_pairs`), in the order of their sizes."""
 
     def __init__(self, rows: list[tuple], percent: int):
         self.rows, self.percent = sorted(rows, key=lambda r: r[6]), percent
@@ -493,42 +527,62 @@ def _all_pairs(block: _Block) -> Iterator[list[tuple[int, int, int]]]:
     yield found
 
 
-def _long_run_pairs(runs: DataFrame, label: DataFrame | None, info: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b, least) of runs of more than SHORT_RUN vertices between different components that may be similar.
-
-    A run is compared in blocks of two of its rows, each block in one task. With ``nearest`` every vertex takes part in
-    its longest run only, and each block gives a spanning forest of its components by nearest pairs; else all pairs of all runs that hold
-    several components are looked at. Without ``label`` every vertex is a component.
-    """
+def _long_runs(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the runs of more than SHORT_RUN vertices, and (run, chunk, vertex) of their members."""
     long = runs.where((F.col("chunk") > 0) | (F.size("vertices") > SHORT_RUN))
-    members = long.select("run", "chunk", F.explode("vertices").alias("vertex"))
-    if nearest:
-        sizes = long.groupBy("run").agg(F.sum(F.size("vertices")).alias("size"))
-        own = members.join(sizes, "run").groupBy("vertex").agg(F.max(F.struct("size", "run")).alias("own"))
-        members = members.join(own.select("vertex", F.col("own.run").alias("run")), ["run", "vertex"])
+    return long, long.select("run", "chunk", F.explode("vertices").alias("vertex"))
+
+
+def _longest_runs(runs: DataFrame, info: DataFrame) -> DataFrame:
+    """(run, chunk, vertex, n, bits): each vertex in the longest of its long runs."""
+    long, members = _long_runs(runs)
+    sizes = long.groupBy("run").agg(F.sum(F.size("vertices")).alias("size"))
+    own = members.join(sizes, "run").groupBy("vertex").agg(F.max(F.struct("size", "run", "chunk")).alias("own"))
+    return own.select("vertex", "own.run", "own.chunk").join(info.select("vertex", "n", "bits"), "vertex").select("run", "chunk", "vertex", "n", "bits")
+
+
+def _mixed(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The members of runs that hold several components, with ``component`` and ``last``, the last row of the run."""
     if label is None:
         members = members.withColumn("component", F.col("vertex"))
     else:
         members = members.join(label, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     mixed = members.groupBy("run").agg(F.max("chunk").alias("last"), F.min("component").alias("low"), F.max("component").alias("high"))
-    members = members.join(mixed.where("low != high").select("run", "last"), "run")
+    return members.join(mixed.where("low != high").select("run", "last"), "run")
+
+
+def _nearest_pairs(longest: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of a spanning forest by nearest pairs of the components in each block of the runs of :func:`_longest_runs`.
+
+    Without ``label`` every vertex is a component.
+    """
+    return _block_pairs(_mixed(longest, label).withColumn("named", F.array().cast("array<bigint>")), percent, _nearest_tree)
+
+
+def _long_run_pairs(runs: DataFrame, label: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of runs of more than SHORT_RUN vertices between different components that may be similar."""
+    members = cut_lineage(_mixed(_long_runs(runs)[1], label))
     named = members.groupBy("vertex").agg(F.slice(F.array_sort(F.collect_set("run")), 1, NAMED_RUNS).alias("named"))
-    known = info.select("vertex", "n", "bits").join(named, "vertex")
-    placed = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).join(known, "vertex")
+    return _block_pairs(members.join(info.select("vertex", "n", "bits").join(named, "vertex"), "vertex"), percent, _all_pairs)
+
+
+def _block_pairs(members: DataFrame, percent: int, pairs_of: Callable) -> DataFrame:
+    """The pairs (a, b) that ``pairs_of`` finds in the blocks of runs. A block has two rows of a run and is looked at in one task."""
+    placed = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     rows = placed.select("run", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "vertex", "component", "n", "bits", "named")
     dealt = rows.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[tuple[int, int, int]] = set()
+        met: set[tuple[int, int]] = set()
         held: list[tuple] = []
 
         def made() -> Iterator[pa.RecordBatch]:
-            for found in (_nearest_tree if nearest else _all_pairs)(_Block(held, percent)) if len(held) > 1 else ():
-                fresh = list(set(found) - met)
+            for found in pairs_of(_Block(held, percent)) if len(held) > 1 else ():
+                fresh = list({p[:2] for p in found} - met)
                 if len(met) > 1 << 20:
                     met.clear()
                 met.update(fresh)
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in fresh], pa.int64()) for k in range(3)], names=["a", "b", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in fresh], pa.int64()) for k in range(2)], names=["a", "b"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -539,7 +593,7 @@ def _long_run_pairs(runs: DataFrame, label: DataFrame | None, info: DataFrame, p
         if held:
             yield from made()
 
-    return dealt.mapInArrow(run, "a bigint, b bigint, least bigint").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -557,6 +611,10 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.where("component_a != component_b").select("a", "b")
 
 
+def _as_links(label: DataFrame) -> DataFrame:
+    return label.select(F.col("vertex").alias("a"), F.col("component").alias("b"))
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the smallest id that links lead to (itself included).
 
@@ -576,24 +634,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     runs = cut_lineage(_runs(docs, text, width, percent, _frequent_features(stored)))
 
     short = cut_lineage(_near_enough(_short_run_pairs(runs), vertices, percent))
-    tried = cut_lineage(_nearest(short).union(_long_run_pairs(runs, None, vertices, percent, True).select("a", "b")).distinct())
-    links = cut_lineage(_linked(tried, docs, vertices, text, width, percent))
-    label = components(links)
+    longest = cut_lineage(_longest_runs(runs, vertices))
+    tried = cut_lineage(_nearest(short).union(_nearest_pairs(longest, None, percent)).distinct())
+    label = components(_linked(tried, docs, vertices, text, width, percent))
     while True:
-        near = _apart(_long_run_pairs(runs, label, vertices, percent, True), label).distinct()
-        near = cut_lineage(near.join(tried, ["a", "b"], "left_anti"))
+        near = cut_lineage(_nearest_pairs(longest, label, percent).join(tried, ["a", "b"], "left_anti"))
         if near.isEmpty():
             break
         found = cut_lineage(_linked(near, docs, vertices, text, width, percent))
         tried = cut_lineage(tried.union(near))
         if found.isEmpty():
             break
-        links = cut_lineage(links.union(found))
-        label = components(links)
-    rest = _apart(short, label).union(_apart(_long_run_pairs(runs, label, vertices, percent, False), label))
+        label = components(_as_links(label).union(found))
+    # What blocks give lies in different components.
+    rest = _apart(short, label).union(_long_run_pairs(runs, label, vertices, percent))
     rest = cut_lineage(rest.distinct().join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        label = components(links.union(_linked(rest, docs, vertices, text, width, percent)))
+        label = components(_as_links(label).union(_linked(rest, docs, vertices, text, width, percent)))
 
     named = label.join(vertices.select("vertex", "first"), "vertex")
     smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))

@@ -69,6 +69,23 @@ def test_long_runs_in_several_rows(spark, frame, monkeypatch):
     assert got == expected(rows)
 
 
+@pytest.mark.parametrize(("links", "tables"), [(1 << 18, 2), (40, 99)])
+def test_long_chains_fall_together_in_few_written_tables(spark, monkeypatch, links, tables):
+    written = []
+    cut = jj.cut_lineage
+    monkeypatch.setattr(jj, "cut_lineage", lambda df: written.append(1) or cut(df))
+    monkeypatch.setattr(jj, "LINKS", links, raising=False)
+    names = list(range(10, 170))
+    random.Random(3).shuffle(names)
+    chains = [names[:100], names[100:150], names[150:]]
+    pairs = [(a, b) for chain in chains for a, b in zip(chain, chain[1:])] + [(5, 5)]
+    random.Random(4).shuffle(pairs)
+    got = {r[0]: r[1] for r in jj.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    got.pop(5, None)
+    assert got == {v: min(chain) for chain in chains for v in chain}
+    assert len(written) <= tables
+
+
 def test_odd_rows(spark, frame):
     got = sorted(str(tuple(r)) for r in jj.jaccard_components(frame(ODD)).collect())
     assert got == expected(ODD)
