@@ -181,3 +181,15 @@ def test_trials_that_differ_in_their_pull_share_a_fit(table, monkeypatch):
     assert [(r["trial"], r["k"], r["pull"]) for r in found] == [(i, k, p) for i, (k, p) in enumerate((k, p) for k in (2, 3) for p in (0.0, 0.5, 1.0))]
     # Without a pull all is the constant, whatever the clusters.
     assert found[0]["log_loss"] == found[3]["log_loss"] and len({r["log_loss"] for r in found[:3]}) == 3
+
+
+def test_trees_are_fitted_on_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(J, "PART_ROWS", 50)
+    rows = spark.range(1000, numPartitions=2).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 > 3).cast("int").alias("y"))
+    assert max(J.in_small_parts(rows).rdd.glom().map(len).collect()) <= 100
+    taken = []
+    fit = J.GBTClassifier.fit
+    monkeypatch.setattr(J.GBTClassifier, "fit", lambda self, data: taken.append(data.rdd.getNumPartitions()) or fit(self, data))
+    model = J.fit_trees(rows, ["x"], "y", J.TreeSettings(1, 2, 0.1, 8))
+    assert taken == [20] and model.getNumTrees == 1
+    assert J.in_small_parts(rows.limit(40)).rdd.getNumPartitions() <= 2
