@@ -4,7 +4,9 @@ Cells are so small that all points of a cell are neighbours of each other, so a
 point comparison at all, and the core points of a cell always share a cluster. Copies of a point are one weighted
 point. Two core cells are linked by comparing boxes around their points: boxes entirely within reach link, boxes
 out of reach do not, small boxes are compared point by point and large ones are halved. Clusters are the connected
-cells. No step emits all pairs of a crowded cell.
+cells. No step emits all pairs of a crowded cell. Up to three axes the outermost points of the cells are compared first; pairs of
+cells that the links found so lead to each other need no further comparison, which leaves few pairs where points are crowded.
+Rows of a cell with enough points take their cluster from the cell, only the others from their point.
 
 Above three axes a grid has too many neighbouring cells. There, core points and links are first sought in overlapping
 blocks of bounded size. What is found is right, so cells of the largest group found, all of whose points are core, need
@@ -359,6 +361,25 @@ def _links(core: DataFrame, core_cells: DataFrame, near: DataFrame, grid: _Grid)
             open_pairs = open_pairs.withColumnRenamed(f"{s}box", f"{s}parent").join(inner.drop(s), f"{s}parent")
 
 
+def _outermost(core: DataFrame, grid: _Grid) -> DataFrame:
+    """(cell, ends): the core points of a cell that are first and last on each axis."""
+    point = F.array(*[F.col(f"x{i}") for i in grid.axes])
+    ends = [end(point, F.struct(f"x{i}", "pid")) for i in grid.axes for end in (F.min_by, F.max_by)]
+    return core.groupBy("cell").agg(F.array(*ends).alias("ends"))
+
+
+def _first_links(core: DataFrame, pairs: DataFrame, grid: _Grid) -> DataFrame:
+    """(a, b): those of the pairs of cells that have outermost core points within reach of each other. Not all links are found."""
+    ends = cut_lineage(_outermost(core, grid))
+    for s in ("a", "b"):
+        pairs = pairs.join(ends.select(F.col("cell").alias(s), F.col("ends").alias(f"{s}_ends")), s)
+
+    def near(p: Column) -> Column:
+        return F.exists("b_ends", lambda q: _length([F.abs(p[i] - q[i]) for i in grid.axes], grid.metric) <= grid.eps)
+
+    return pairs.where(F.exists("a_ends", near)).select("a", "b")
+
+
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label): the smallest seed of each node's component. ``nodes`` has a unique seed per node.
 
@@ -412,23 +433,21 @@ def dbscan(
     A row with a NULL or NaN coordinate has no distance to any other and is noise.
     """
     grid = _Grid(len(features), eps, metric)
-    named = df.select(
-        F.col(row_id).cast("long").alias("id"), *[(F.col(c).cast("double") + 0.0).alias(f"x{i}") for i, c in enumerate(features)]
+    named = cut_lineage(
+        df.select(F.col(row_id).cast("long").alias("id"), *[(F.col(c).cast("double") + 0.0).alias(f"x{i}") for i, c in enumerate(features)])
     )
     placed = reduce(lambda a, b: a & b, [F.col(f"x{i}").isNotNull() & ~F.isnan(f"x{i}") for i in range(len(features))])
     lost = named.where(~placed).select(F.col("id").alias(row_id), F.lit(-1).cast("long").alias("cluster"))
     named = named.where(placed)
-    spot = F.concat_ws("|", *[F.col(f"x{i}").cast("string") for i in grid.axes])
-    named = named.withColumn("spot", spot)
-    coordinates = [F.floor(F.col(f"x{i}") / grid.side).cast("long").alias(f"c{i}") for i in grid.axes]
+    spots, keys = [f"x{i}" for i in grid.axes], [f"c{i}" for i in grid.axes]
+    coordinates = [F.floor(F.col(x) / grid.side).cast("long").alias(c) for x, c in zip(spots, keys)]
     points = (
-        named.groupBy("spot", *[f"x{i}" for i in grid.axes])
+        named.groupBy(*spots)
         .agg(F.min("id").alias("pid"), F.count("*").alias("w"))
         .select("*", *coordinates)
-        .withColumn("cell", F.concat_ws("_", *[F.col(f"c{i}").cast("string") for i in grid.axes]))
+        .withColumn("cell", F.concat_ws("_", *[F.col(c).cast("string") for c in keys]))
     )
     points = cut_lineage(points)
-    keys = [f"c{i}" for i in grid.axes]
     cells = cut_lineage(
         points.groupBy("cell", *keys).agg(F.sum("w").alias("w"), F.count("*").alias("n"), *grid.box())
     )
@@ -456,16 +475,27 @@ def dbscan(
     core_cells = cut_lineage(core.groupBy("cell").agg(F.min("pid").alias("seed"), F.count("*").alias("n"), *grid.box()))
     core = cut_lineage(_with_sizes(core, core_cells.select("cell", "n"), "cell", "pid").withColumnRenamed("n", "core_n"))
     placed_cells = core_cells.join(parts, "cell", "left").select("cell", "seed", F.coalesce("part", "cell").alias("part"))
-    part_of = {s: placed_cells.select(F.col("cell").alias(s), F.col("part").alias(f"part_{s}")) for s in ("a", "b")}
-    both_core = near.join(part_of["a"], "a").join(part_of["b"], "b").where("part_a != part_b")
-    both_core = both_core.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _links(core, core_cells, both_core, grid).join(part_of["a"], "a").join(part_of["b"], "b")
-    joined = connected(
-        placed_cells.groupBy(F.col("part").alias("node")).agg(F.min("seed").alias("seed")),
-        links.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct(),
-    )
-    labels = placed_cells.join(joined.withColumnRenamed("node", "part"), "part").select("cell", "label")
-    labelled_cells = cut_lineage(core_cells.join(labels, "cell"))
+
+    def parts_apart(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+        for s in ("a", "b"):
+            pairs = pairs.join(placed.select(F.col("cell").alias(s), F.col("part").alias(f"part_{s}")), s)
+        return pairs.where("part_a != part_b")
+
+    def together(placed: DataFrame, links: DataFrame) -> DataFrame:
+        """``placed`` with the parts that links lead to each other as one, by its smallest seed."""
+        nodes = placed.groupBy(F.col("part").alias("node")).agg(F.min("seed").alias("seed"))
+        linked = parts_apart(links, placed).select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
+        joined = connected(nodes, linked).withColumnRenamed("node", "part")
+        return cut_lineage(placed.join(joined, "part").select("cell", "seed", F.col("label").alias("part")))
+
+    both_core = parts_apart(near, placed_cells).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    both_core = cut_lineage(both_core.distinct())
+    if len(grid.axes) <= GRID_AXES:
+        placed_cells = together(placed_cells, cut_lineage(_first_links(core, both_core, grid)))
+        both_core = cut_lineage(parts_apart(both_core, placed_cells).select("a", "b"))
+    if len(grid.axes) > GRID_AXES or not both_core.isEmpty():
+        placed_cells = together(placed_cells, _links(core, core_cells, both_core, grid))
+    labelled_cells = cut_lineage(core_cells.join(placed_cells.select("cell", F.col("part").alias("label")), "cell"))
     labelled_core = _with_sizes(core, labelled_cells.select("cell", "label", "n"), "cell", "pid").withColumnRenamed("n", "cell_n")
 
     rest = judged.where(~F.col("core"))
@@ -473,9 +503,21 @@ def dbscan(
     at_home = rest.join(labelled_cells.select("cell", F.col("label").alias("value")), "cell").select("pid", "value")
     border = touched.unionByName(at_home).groupBy("pid").agg(F.min("value").alias("label"))
     found = labelled_core.select("pid", "label").unionByName(border.select("pid", "label"))
-    by_spot = cut_lineage(
-        points.select("spot", "pid", "w").join(found, "pid", "left").select("spot", "w", F.coalesce("label", F.lit(-1)).cast("long").alias("cluster"))
+    crowded = cells.where(F.col("w") >= min_samples)
+    by_cell = crowded.select("cell", *keys, "w").join(labelled_cells.select("cell", F.col("label").alias("cluster")), "cell").drop("cell")
+    in_thin = points.where(F.col("cell_w") < min_samples).select("pid", *spots, "w")
+    by_spot = in_thin.join(found, "pid", "left").withColumn("cluster", F.coalesce("label", F.lit(-1)).cast("long")).drop("pid", "label")
+    rows = named.select("*", *coordinates)
+    return reduce(
+        DataFrame.unionByName,
+        [_of_place(rows, cut_lineage(table), on).select(F.col("id").alias(row_id), "cluster") for table, on in ((by_cell, keys), (by_spot, spots))],
+        lost,
     )
-    hot = largest_keys({"spot": by_spot.where(F.col("w") > 1)}, "spot", "w")["spot"]
-    joined = lookup_join(named.select("id", "spot"), by_spot.drop("w"), "spot", hot, "id")
-    return joined.select(F.col("id").alias(row_id), "cluster").unionByName(lost)
+
+
+def _of_place(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` whose columns ``on`` are in ``table``, with its cluster; ``w`` is the number of rows behind an entry."""
+    keyed = table.withColumn("place", F.xxhash64(*on))
+    hot = largest_keys({"place": keyed.where(F.col("w") > 1)}, "place", "w")["place"]
+    joined = lookup_join(rows.withColumn("place", F.xxhash64(*on)), keyed.drop("w"), "place", hot, "id", tuple(on))
+    return joined.where(F.col("cluster").isNotNull())

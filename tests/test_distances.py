@@ -111,6 +111,25 @@ def test_dbscan_against_brute_force(spark, monkeypatch, metric, axes, eps, m, pa
     assert got.cluster.tolist() == _brute_dbscan(x, eps, m, metric).tolist()
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_dbscan_on_crowded_cells_compares_few_pairs(spark, monkeypatch, metric):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.uniform(0, 2, (300, 2)), rng.uniform(4, 5, (80, 2)), rng.uniform(-3, 8, (20, 2)), np.full((9, 2), 4.5)])
+    asked = []
+    links = dbscan._links
+
+    def counted(core, core_cells, near, grid):
+        asked.append(near.count())
+        return links(core, core_cells, near, grid)
+
+    monkeypatch.setattr(dbscan, "_links", counted)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "row_id long, a0 double, a1 double")
+    got = dbscan.dbscan(df, "row_id", ["a0", "a1"], 0.3, 5, metric).toPandas().sort_values("row_id")
+    assert got.cluster.tolist() == _brute_dbscan(x, 0.3, 5, metric).tolist()
+    # Only pairs of cells that may join clusters are left to be halved and compared.
+    assert sum(asked) <= 20
+
+
 @pytest.mark.parametrize("metric,most_open", [("euclidean", 1 << 17), ("manhattan", 1 << 17), ("euclidean", 0)])
 def test_dbscan_above_three_axes_compares_open_cells_only(spark, monkeypatch, metric, most_open):
     monkeypatch.setattr(dbscan, "CROWD", 40)
