@@ -193,3 +193,17 @@ def test_trees_are_fitted_on_parts_of_bounded_size(spark, monkeypatch):
     model = J.fit_trees(rows, ["x"], "y", J.TreeSettings(1, 2, 0.1, 8))
     assert taken == [20] and model.getNumTrees == 1
     assert J.in_small_parts(rows.limit(40)).rdd.getNumPartitions() <= 2
+
+
+def test_model_table_works_out_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(v):
+        seen.add(1)
+        return v
+
+    log = spark.createDataFrame([(i, 45 + i % 4, f"c{i % 3}", i % 2 == 0, float(i)) for i in range(40)], "row_id long, day int, c string, y boolean, v double")
+    log = log.withColumn("n", F.udf(noted, "double")("v"))
+    table, features = J.model_table(log, Roles(row_id="row_id", day="day", categorical=("c",), binary=(), counter=(), numeric=("n",), label=("y",)), "y")
+    assert table.count() == 40 and features == ["c", "n"]
+    assert seen.value == 40

@@ -180,3 +180,30 @@ def test_sketches_of_empty_partitions(spark):
     rows = sketched_quantiles(df, ["a", "b"], [0.5, 1.0]).collect()
     assert sorted((r["column"], r["share"], r["value"]) for r in rows) == [("a", 0.5, 1.0), ("a", 1.0, 2.0)]
     assert not sketched_quantiles(df.where("a > 5"), ["a"], [0.5]).collect()
+
+
+def test_rows_go_down_to_wanted_nodes_only():
+    tree = T.Flat([0, 1, -1, -1, -1], [2, 1, 0, 0, 0], [1, 3, -1, -1, -1], [2, 4, -1, -1, -1], [0.0, 0.0, 1.0, 2.0, 3.0])
+    bins = np.array([[1, 3, 2, 1, 4], [1, 0, 2, 0, 1]], np.uint8)
+    rows = np.array([0, 1, 2, 4])
+    assert {n: r.tolist() for n, r in tree.rows_at(bins, rows)} == {2: [1, 4], 3: [0], 4: [2]}
+    assert [(n, r.tolist()) for n, r in tree.rows_at(bins, rows, {3})] == [(3, [0])]
+    assert [(n, r.tolist()) for n, r in tree.rows_at(bins, rows, {0})] == [(0, [0, 1, 2, 4])]
+
+
+def test_scores_between_rounds_are_bytes_and_the_last_ones_are_not_written(spark, monkeypatch):
+    written = []
+    cut = T.cut_lineage
+
+    def noted(df, *by):
+        if "raw" in df.columns:
+            written.append(df.schema["raw"].dataType.typeName())
+        return cut(df, *by)
+
+    monkeypatch.setattr(T, "cut_lineage", noted)
+    rows = spark.createDataFrame([(i, i % 3, int(i % 5 < 2), float(i % 7)) for i in range(90)], "row_id long, day int, y int, x double")
+    grown = T.grow(rows, "row_id", "day", "y", ["x"], {"x": [1.0, 3.0, 5.0]}, [T.Model((0, 1)), T.Model((1, 2))], T.LeafwiseSettings(3, 3, 0.1, 1))
+    assert written == ["binary"] * 3
+    found = {r["row_id"]: r["score"] for r in T.predict(rows, "row_id", ["x"], {"x": [1.0, 3.0, 5.0]}, grown, 1).collect()}
+    for r in grown.scores.collect():
+        assert abs(1 / (1 + np.exp(-r["raw"][1])) - found[r["row_id"]]) < 1e-12
