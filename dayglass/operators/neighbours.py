@@ -23,6 +23,8 @@ from dayglass.session import cut_lineage
 
 BLOCK = 4096
 DIGITS = 9
+#: Distances of a block that are looked at together.
+STEP = 1 << 18
 #: Coarse pivots around a row's own one whose pivots are tried for it.
 AROUND = 4
 
@@ -135,6 +137,21 @@ class Pieces:
         return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
 
 
+def _first(d: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rounded distance) of the ``take`` smallest of each row by rounded distance, then by column.
+
+    The real ``take``-th distance is found without sorting; only columns that may be as near when rounded are put in order.
+    """
+    kth = np.partition(d, take - 1, axis=1)[:, take - 1]
+    row, column = np.nonzero(d <= (kth * (1 + 1e-12) + 2 * 10.0**-DIGITS)[:, None])
+    near = np.round(d[row, column], DIGITS)
+    order = np.lexsort((column, near, row))
+    begin = np.searchsorted(row, np.arange(len(d)))
+    # Rows are in order already, so a place in the order belongs to the row that was there.
+    order = order[np.arange(len(order)) - begin[row] < take]
+    return row[order], column[order], near[order]
+
+
 def _blocks(n: str) -> Column:
     return F.ceil(F.col(n) / BLOCK).cast("int")
 
@@ -158,14 +175,13 @@ def _compared(visits: DataFrame, pieced: DataFrame, stats: DataFrame, k: int, me
         if len(asked_rows) and len(known):
             known = known.sort_values("id")
             points, rows = _matrix(asked_rows["x"]), _matrix(known["x"])
-            ids, take = known["id"].to_numpy(), min(k, len(known))
-            for start in range(0, len(points), 512):
-                d = _distances(points[start : start + 512], rows, plain)
-                d = np.round(d * d / 2 if metric == "cosine" else d, DIGITS)
-                best = d.argsort(axis=1, kind="stable")[:, :take]
-                columns["query"].append(np.repeat(asked_rows["id"].to_numpy()[start : start + 512], take))
-                columns["neighbour"].append(ids[best].ravel())
-                columns["distance"].append(np.take_along_axis(d, best, axis=1).ravel())
+            ids, take, step = known["id"].to_numpy(), min(k, len(known)), max(1, STEP // len(known))
+            for start in range(0, len(points), step):
+                d = _distances(points[start : start + step], rows, plain)
+                query, best, distance = _first(d * d / 2 if metric == "cosine" else d, take)
+                columns["query"].append(asked_rows["id"].to_numpy()[start + query])
+                columns["neighbour"].append(ids[best])
+                columns["distance"].append(distance)
         return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in columns.items()})
 
     key = ["piece", "rb", "vb"]

@@ -281,3 +281,16 @@ def test_rows_without_a_number_belong_to_no_prototype(spark):
     df = spark.createDataFrame([(0, "a", 0.0), (1, "b", 5.0), (2, None, 5.0), (3, "a", None)], "row_id long, c string, x double")
     got, _ = centres.kprototypes(df, "row_id", ["c"], ["x"], 2, 1, gamma=0.5)
     assert {r["row_id"]: r["cluster"] for r in got.collect()} == {0: 0, 1: 1, 2: 1, 3: None}
+
+
+@pytest.mark.parametrize("take", [1, 5, 40])
+def test_nearest_of_a_block_without_sorting_it(take, monkeypatch):
+    rng = np.random.default_rng(9)
+    d = rng.random((30, 40)) * 3
+    d[:, 20:] = d[:, :20] + rng.choice([0.0, 4e-10, -4e-10, 1e-9, 6e-10], (30, 20))
+    d[3], d[4, 5:] = 1.25, np.inf
+    rounded = np.round(d, neighbours.DIGITS)
+    want = rounded.argsort(axis=1, kind="stable")[:, :take]
+    row, column, near = neighbours._first(d, take)
+    assert (row == np.repeat(np.arange(30), take)).all() and (column == want.ravel()).all()
+    assert (near == np.take_along_axis(rounded, want, axis=1).ravel()).all()
